@@ -3,7 +3,7 @@
 Only lengths matter to a packing, and there are at most ``capacity`` of them.  Their histogram is planned
 on the driver: for each bin, a bitset of reachable sums over the lengths still available finds the fullest
 feasible combination, which is used as often as the counts allow and removed.  Pieces then find their bin
-by their rank within their length, which salted groups count in parallel.
+by their rank within their length, which groups count in parallel; a common length has many of these.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from cellgrid.plans.shared import materialize
 
 CAPACITY = 1024
 END_ID = 2
-ROWS_PER_SALT = 20_000
+ROWS_PER_SALT = 500
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -122,11 +122,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """
     cut = docs.select(F.col(id_col).alias("doc_id"), F.explode(pieces(F.col(text_col), tokenizer, end_id, capacity, with_ids)).alias("p")).select("doc_id", "p.*")
     cut = materialize(cut, "pieces")
-    salts = max(1, -(-cut.count() // ROWS_PER_SALT))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    groups = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
-    counted = groups.groupBy("length").agg(F.sum("n").alias("n")).collect()  # one row per length, capacity rows at most
+    # one row per length, so capacity rows at most: safe to collect and to broadcast at any size
+    counted = cut.groupBy("length").agg(F.count("*").alias("n")).collect()
     plan = plan_bins({r["length"]: r["n"] for r in counted}, capacity)
+    salts = docs.sparkSession.createDataFrame([(r["length"], -(-r["n"] // ROWS_PER_SALT)) for r in counted], "length long, salts long")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts"))
+    groups = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     offsets = groups.select("length", "salt", before.alias("before"))
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
