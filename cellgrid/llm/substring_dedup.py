@@ -9,10 +9,12 @@ windows and shuffles a small part of what shuffling every window would.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ BASE_2 = 0xC2B2AE3D27D4EB4F
 MASK = (1 << 64) - 1
 SEED_2 = 1
 ANCHOR_WORDS = 8
+DOCS_AT_ONCE = 256
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +86,17 @@ def _text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(SEED_2), t).alias("b"))
 
 
+def _packed(text: Column) -> Column:
+    """UTF-8 of a text (null: empty) under zstandard, as half the size is shuffled then."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        packer = zstandard.ZstdCompressor(level=3)
+        return pd.Series([packer.compress(t or b"") for t in texts])
+
+    return of(text.cast("binary"))
+
+
 def repeated_starts(docs: DataFrame, text_col: str = "text", window: int = 35, anchor: int = ANCHOR_WORDS) -> tuple[DataFrame, DataFrame]:
     """What repeats: ``(key, starts)`` of texts given once, and ``key`` of texts given twice or more.
 
@@ -95,30 +109,37 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", window: int = 35, a
     def anchors_of(texts: pd.Series) -> pd.Series:
         return pd.Series([anchors(t, window, anchor) for t in texts])
 
-    @F.pandas_udf("array<struct<h:long,g:int,start:int>>")
-    def windows_of(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-        out = []
-        for t, want in zip(texts, wanted, strict=True):
-            words = word_hashes(t)
-            _, low = window_minima(words, window, anchor)
-            at = np.flatnonzero(np.isin(low.view(np.int64), np.asarray(want, np.int64)))
-            first = rolling(words, window, BASE)[at].view(np.int64).tolist()
-            second = (rolling(words * np.uint64(BASE_2), window, BASE_2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
-            out.append(list(zip(first, second, at.tolist(), strict=True)))
-        return pd.Series(out)
+    def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opener = zstandard.ZstdDecompressor()
+        for b in batches:
+            for lo in range(0, len(b), DOCS_AT_ONCE):  # so that what is held does not grow with Arrow's batches
+                part = b.iloc[lo : lo + DOCS_AT_ONCE]
+                found = []
+                for t, want in zip(part["text"], part["wanted"], strict=True):
+                    words = word_hashes(opener.decompress(t))
+                    _, low = window_minima(words, window, anchor)
+                    at = np.flatnonzero(np.isin(low.view(np.int64), np.asarray(want, np.int64)))
+                    second = (rolling(words * np.uint64(BASE_2), window, BASE_2)[at] >> np.uint64(32)).astype(np.uint32)
+                    found.append((rolling(words, window, BASE)[at].view(np.int64), second.view(np.int32), at.astype(np.int32)))
+                h, g, start = (np.concatenate(x) for x in zip(*found, strict=True))
+                times = [len(x[0]) for x in found]
+                yield pd.DataFrame({**{c: np.repeat(part[c].to_numpy(), times) for c in ("a", "b", "times")}, "h": h, "g": g, "start": start})
 
     text = F.col(text_col)
-    keyed = docs.select(_text_key(text).alias("key"), text.cast("binary").alias("text"))
-    found = materialize(keyed.select("key", anchors_of("text").alias("anchors")), "anchors")
+    found = materialize(docs.select(_text_key(text).alias("key"), anchors_of(text.cast("binary")).alias("anchors")), "anchors")
     texts = materialize(found.groupBy("key").agg(F.count("*").alias("times")), "texts")
     one = found.select("key", F.explode("anchors").alias("anchor"))
     twice = one.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     wanted = one.join(materialize(twice, "repeated"), "anchor").groupBy("key").agg(F.collect_set("anchor").alias("wanted"))
     wanted = materialize(wanted.join(texts, "key"), "wanted")
     # of a text given many times every row that reaches here says the same: weight 2 stands for "also elsewhere"
-    met = keyed.join(wanted, "key").select("key", "times", F.explode(windows_of("text", "wanted")).alias("w")).select("key", "times", "w.*")
-    counted = met.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    again = met.where("times = 1").join(counted, ["h", "g"]).groupBy("key").agg(F.collect_list("start").alias("starts"))
+    keyed = docs.select(_text_key(text).alias("key"), _packed(text).alias("text"))
+    chosen = keyed.join(wanted, "key").select("key.a", "key.b", "times", "text", "wanted")
+    met = chosen.mapInPandas(windows_of, "a long, b long, times long, h long, g int, start int")
+    # written, so that both sides of the join below are plain shuffles, which can be split at a common window
+    counted = materialize(met.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "windows")
+    again = met.where("times = 1").join(counted, ["h", "g"]).groupBy("a", "b").agg(F.collect_list("start").alias("starts"))
+    again = again.select(F.struct("a", "b").alias("key"), "starts")
     return again, texts.where("times > 1").select("key")
 
 
@@ -136,7 +157,7 @@ def _kept(text: bytes | None, starts: np.ndarray | None, whole: bool, window: in
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, anchor: int = ANCHOR_WORDS) -> DataFrame:
-    """The input's rows in struct ``row`` with ``n_words``, ``n_removed``, ``kept_text`` and ``spans``.
+    """``row``, a struct of the input's other columns, with ``n_words``, ``n_removed``, ``kept_text`` and ``spans``.
 
     Each word goes that a repeated window covers; spans are the maximal intervals ``[from, to)`` of
     removed word positions.  Windows are judged on the input.  Null text has no words and an empty kept
@@ -146,9 +167,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, an
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string, spans array<array<long>>")
     def cut(texts: pd.Series, starts: pd.Series, whole: pd.Series) -> pd.DataFrame:
-        out = []
+        out, opener = [], zstandard.ZstdDecompressor()
         for t, s, all_of_it in zip(texts, starts, whole, strict=True):
-            words, keep = _kept(t, None if s is None else np.asarray(s, np.int64), bool(all_of_it), window)
+            words, keep = _kept(opener.decompress(t), None if s is None else np.asarray(s, np.int64), bool(all_of_it), window)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], ~keep, [0]]).astype(np.int8)))
             text = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]).decode("utf-8", "replace")
             out.append((len(words), int((~keep).sum()), text, edge.reshape(-1, 2).tolist()))
@@ -156,10 +177,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, an
 
     again, copies = repeated_starts(docs, text_col, window, anchor)
     marks = again.select("key", "starts", F.lit(False).alias("whole")).unionAll(copies.select("key", F.lit(None).cast("array<int>"), F.lit(True)))
-    rows = docs.select(_text_key(F.col(text_col)).alias("key"), F.struct("*").alias("row"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    row = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(_text_key(F.col(text_col)).alias("key"), row.alias("row"), _packed(F.col(text_col)).alias("packed"))
     both = rows.join(marks, "key", "left")
-    return both.select("row", cut(F.col(f"row.{text_col}").cast("binary"), "starts", F.coalesce("whole", F.lit(False))).alias("cut")).select("row", "cut.*")
-
-
-def kept_sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    return both.select("row", cut("packed", "starts", F.coalesce("whole", F.lit(False))).alias("cut")).select("row", "cut.*")
