@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+# Texts are long, so Arrow's usual batches of 10,000 rows would hold too much of an executor's memory.
+ARROW_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python in batches that suit long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, in a session with small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
