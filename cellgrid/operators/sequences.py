@@ -114,7 +114,7 @@ def intover(df: DataFrame, by: list[str], i: str, v: str, out: str = "integral")
 
 def qsorti(df: DataFrame, by: list[str], v: str, ties: list[str], out: str = "rank") -> DataFrame:
     """Place of each cell in ascending order, missing last, ties by ``ties``."""
-    order = [F.isnan(F.col(v).cast("double")).asc_nulls_last(), F.col(v).asc_nulls_last(), *[F.col(c) for c in ties]]
+    order = [F.col(v).isNull(), F.isnan(F.col(v).cast("double")), F.col(v), *[F.col(c) for c in ties]]
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
 
 

@@ -24,7 +24,7 @@ FITS_BLOCK, FITS_CARD = 2880, 80
 
 def _opened(spark: SparkSession, path: str, schema: str, parse: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
     """``file`` and the fields of ``schema`` for each row that ``parse`` makes of a file."""
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    names = re.findall(r"(?:^|, )(\w+) ", schema)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

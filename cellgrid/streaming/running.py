@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def windowed_stats(stream: DataFrame, time: str, by: list[str], v: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Count, sum, extremes and mean per group and tumbling window; late rows are dropped after ``late``, which bounds the state."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.avg(v).alias("avg")).select(F.col("window.start").alias("start"), *by, "n", "total", "vmin", "vmax", "avg")
+    return _timed(stream, time, late).groupBy(F.window(time, width), *by).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.avg(v).alias("avg")).select(F.col("window.start").alias("start"), *by, "n", "total", "vmin", "vmax", "avg")
 
 
 def windowed_histogram(stream: DataFrame, time: str, v: str, step: float, low: float, bins: int, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     from cellgrid.operators.histograms import bin_of
 
-    keyed = stream.withWatermark(time, late).where(F.col(v).isNotNull()).withColumn("bin", bin_of(F.col(v), step, low, bins))
+    keyed = _timed(stream, time, late).where(F.col(v).isNotNull()).withColumn("bin", bin_of(F.col(v), step, low, bins))
     return keyed.groupBy(F.window(time, width), "bin").agg(F.count("*").alias("hist")).select(F.col("window.start").alias("start"), "bin", "hist")
 
 
