@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """Smallest reachable node for each node of an undirected edge table.
 
     Returns ``(node, component)`` for every node but the smallest of each component (a node that is not
-    listed is its own component's name, or has no edge to another node); self loops and nulls are ignored, repeated edges count once, no edges give no rows.  Each round links every node's larger
+    listed is its own component's name, or has no edge to another node); self loops and nulls are
+    ignored, repeated edges count once, no edges give no rows.  Each round links every node's larger
     neighbours to its smallest one, then every node's smaller neighbours to the smallest, so chains
     shrink geometrically.  Minima are partial aggregates and are written before they are joined, so both
     sides of each join are plain shuffles that adaptive execution can split at a hub node.
