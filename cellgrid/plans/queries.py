@@ -434,12 +434,12 @@ def interpolate_price(spark: SparkSession, d: str) -> DataFrame:
     return search.interpolate(_knots(spark, d), "x", "y", probes, "v").select("p_partkey", r(F.col("yi"), 4).alias("yi"), "err")
 
 
-@query("""SELECT e.event_id, p.event_id AS prev FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+@query("""SELECT e.event_id, coalesce(p.event_id, -1) AS prev FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts""")
 def asof_purchase(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     marked = e.withColumn("_p", F.when(F.col("event_type") == "purchase", F.col("event_id")))
     w = sequences.window(["user_id"], ["ts"]).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.select("event_id", F.last("_p", ignorenulls=True).over(w).alias("prev"))
+    return marked.select("event_id", F.coalesce(F.last("_p", ignorenulls=True).over(w), F.lit(-1)).alias("prev"))
 
 
 # linear algebra ------------------------------------------------------------------------------------
@@ -526,11 +526,11 @@ def bitops(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", E.and2(a, b).alias("b_and"), E.or2(a, b).alias("b_or"), E.xor2(a, b).alias("b_xor"), E.bitnot(a).alias("b_not"), E.shiftleft(a, F.lit(3)).alias("left3"), E.shiftright(a, F.lit(2)).alias("right2"), E.ipow(b, F.lit(3)).alias("cube"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN nullif(o_orderstatus, 'P') IS NULL OR o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS setbadif, coalesce(nullif(o_totalprice, 1e9), 0) AS toval, CAST(o_orderstatus = 'P' AS INT) AS isbad, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS copied FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN nullif(o_orderstatus, 'P') IS NULL OR o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS setbadif, coalesce(nullif(o_totalprice, 1e9), 0) AS toval, CAST(o_orderstatus = 'P' AS INT) AS isbad, CASE WHEN o_orderstatus = 'P' THEN -1 ELSE o_custkey END AS copied FROM orders""")
 def badvalues(spark: SparkSession, d: str) -> DataFrame:
     status = F.nullif(F.col("o_orderstatus"), F.lit("P"))
     mask = (status == "F").cast("int")
-    return read(spark, d, "orders").select("o_orderkey", E.setbadif("o_totalprice", mask).alias("setbadif"), E.setbadtoval(E.setvaltobad("o_totalprice", 1e9), 0.0).alias("toval"), E.isbad(status).alias("isbad"), E.copybad("o_custkey", status).alias("copied"))
+    return read(spark, d, "orders").select("o_orderkey", E.setbadif("o_totalprice", mask).alias("setbadif"), E.setbadtoval(E.setvaltobad("o_totalprice", 1e9), 0.0).alias("toval"), E.isbad(status).alias("isbad"), E.setbadtoval(E.copybad("o_custkey", status), -1).alias("copied"))
 
 
 @query("SELECT p_partkey, round(((2 * x - 3) * x + 0.5) * x - 7, 7) AS poly, round((77 * x + 150 * p_size + 29 * 3) / 256, 10) AS grey, CAST(abs(x - p_size) <= 0.2 * abs(p_size) AS INT) AS near FROM (SELECT *, p_retailprice / 50 AS x FROM part)")
