@@ -8,6 +8,7 @@ order within it gives the same components as all its pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -16,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrid.llm import sketch
 from cellgrid.operators.graph import connected_components
 from cellgrid.plans.shared import materialize
 
@@ -24,21 +26,28 @@ SEED = 42
 BLOCK = 1 << 16
 
 
-def simhash64(text: bytes | None, shingle_words: int) -> int:
-    """The fingerprint of one text as a signed 64-bit integer; 0 for a text without words."""
+def shingle_hashes(text: bytes | None, shingle_words: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, repeats included, in blocks; none for a text without words."""
     words = (text or b"").translate(LOWER).split()  # splits at space and \t..\r only
     n = len(words)
     if not n:
-        return 0
+        return
     joined, k = b" ".join(words), min(shingle_words, n)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    set_bits, total, digest = np.zeros(64, np.int64), n - k + 1, xxhash.xxh64_intdigest
+    total, digest = n - k + 1, xxhash.xxh64_intdigest
     for lo in range(0, total, BLOCK):
         hi = min(total, lo + BLOCK)
         spans = zip(starts[lo:hi].tolist(), ends[lo + k - 1 : hi + k - 1].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def simhash64(hashes: Iterable[np.ndarray]) -> int:
+    """The fingerprint of blocks of shingle hashes as a signed 64-bit integer; 0 without any."""
+    set_bits, total = np.zeros(64, np.int64), 0
+    for block in hashes:
+        set_bits += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(block)
     return int(np.packbits(set_bits * 2 > total, bitorder="little").view("<i8")[0])
 
 
@@ -47,7 +56,33 @@ def fingerprint(text: Column, shingle_words: int = 5) -> Column:
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash64(t, shingle_words) for t in texts], dtype="int64")
+        return pd.Series([simhash64(shingle_hashes(t, shingle_words)) for t in texts], dtype="int64")
+
+    return of(text.cast("binary"))
+
+
+def signature(text: Column, shingle_words: int = 5) -> Column:
+    """Struct of a text's fingerprint ``fp``, its long sketch ``bits`` and its band keys ``keys``."""
+
+    @F.pandas_udf("fp long, bits array<long>, keys array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            blocks = list(shingle_hashes(t, shingle_words))
+            once = sketch.unique_hashes(blocks)
+            out.append((simhash64(blocks), sketch.long_sketch(once), sketch.band_keys(once)))
+        return pd.DataFrame(out, columns=["fp", "bits", "keys"])
+
+    return of(text.cast("binary"))
+
+
+def shingle_set(text: Column, shingle_words: int = 5) -> Column:
+    """The distinct shingles of a text as 32-bit hashes."""
+
+    @F.pandas_udf("array<int>")
+    def of(texts: pd.Series) -> pd.Series:
+        found = (sketch.unique_hashes(shingle_hashes(t, shingle_words)) for t in texts)
+        return pd.Series([np.unique(x.astype(np.uint32)).view(np.int32) for x in found])
 
     return of(text.cast("binary"))
 
@@ -69,12 +104,17 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius).select(F.col("fp").alias("src"), F.col("other").alias("dst")).distinct()
 
 
-def fingerprint_components(distinct: DataFrame, radius: int = 2) -> DataFrame:
+def roots(distinct: DataFrame, links: DataFrame) -> DataFrame:
     """``(fp, root)`` for every distinct fingerprint; a fingerprint without links is its own root."""
-    found = connected_components(fingerprint_links(distinct, radius)).select(F.col("node").alias("fp"), F.col("component").alias("to"))
+    found = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("to"))
     return distinct.select("fp").join(found, "fp", "left").select("fp", F.coalesce("to", "fp").alias("root"))
 
 
+def fingerprint_components(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """``(fp, root)`` over links of at most ``radius`` differing bits."""
+    return roots(distinct, fingerprint_links(distinct, radius))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 2) -> DataFrame:
     """One row ``(doc_id, fp, component_id)`` per input row.
 
@@ -91,22 +131,38 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 2) -> DataFrame:
+def _is_row(id_col: str, text_col: str) -> Column:
+    """Whether a ``row`` has the id ``id`` and the text hash ``th``."""
+    return F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(F.col(f"row.{text_col}"), F.lit(""))) == F.col("th"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
     """The input's rows and columns with one row of each near-duplicate group.
 
-    The row with the smallest id stays (null ids last, then by a hash of the text); of rows repeated with
-    the same id and text one stays.  Null text counts as empty.
+    Texts meet if their fingerprints differ in at most ``radius`` bits or if they share a band of minima,
+    and are linked if the Jaccard similarity of their shingles is ``similarity`` or more; texts of equal
+    fingerprint are one.  Groups are what links connect.  The row with the smallest id stays (null ids last, then by a hash of the text); of rows
+    repeated with the same id and text one stays.  Null text counts as empty, and empty texts are one
+    group.  An empty table gives no rows.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), fingerprint(F.col(text_col), shingle_words).alias("fp"))
-    rows = materialize(keyed, "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min(order).alias("low")), "distinct")
-    rooted = distinct.join(fingerprint_components(distinct, radius), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "th", "bits")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), signature(F.col(text_col), shingle_words).alias("s"))
+    rows = materialize(keyed.select("doc_id", "th", "s.*"), "signatures")
+    distinct = rows.groupBy("fp").agg(F.min(order).alias("o")).select("fp", F.struct("o.n", "o.id", "o.th").alias("low"), F.col("o.bits").alias("bits"))
+    distinct = materialize(distinct, "distinct")
+    met = sketch.band_pairs(rows.select("fp", F.explode("keys").alias("key")), distinct, "fp", similarity)
+    near = materialize(fingerprint_links(distinct, radius).unionAll(met).distinct(), "near")
+    asked = near.select(F.col("src").alias("fp")).unionAll(near.select("dst")).distinct().join(distinct, "fp").select(F.col("fp").alias("node"), "low.id", "low.th")
+    # a text of each fingerprint that is in a pair; rows repeated with one id and text give one
+    texts = docs.select(F.struct("*").alias("row")).join(materialize(asked, "asked"), _is_row(id_col, text_col)).select("node", shingle_set(F.col(f"row.{text_col}"), shingle_words).alias("set"))
+    sets = materialize(texts.dropDuplicates(["node"]), "sets")
+    alike = materialize(sketch.similar(near, sets, similarity), "alike")
+    rooted = distinct.join(roots(distinct, alike), "fp")
     low = rooted.groupBy("root").agg(F.min("low").alias("low")).select("low.*")
     counted = rows.groupBy("doc_id", "th").agg(F.count("*").alias("times"))
     keys = materialize(low.join(counted, (low["id"].eqNullSafe(counted["doc_id"])) & (low["th"] == counted["th"])).select("id", low["th"], "times"), "kept")
     whole = docs.select(F.struct("*").alias("row"))
-    on = F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(F.col(f"row.{text_col}"), F.lit(""))) == F.col("th"))
+    on = _is_row(id_col, text_col)
     once = whole.join(keys.where("times = 1"), on).select("row.*")
     more = whole.join(keys.where("times > 1"), on).groupBy("id", "th").agg(F.first("row").alias("row")).select("row.*")
     return once.unionAll(more)

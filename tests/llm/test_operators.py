@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cellgrid.llm import line_dedup, mixing, packing, quality, simhash, substring_dedup, token_files, tokens, url_filter, warc
+from cellgrid.llm import line_dedup, mixing, packing, quality, simhash, sketch, substring_dedup, token_files, tokens, url_filter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,11 +68,68 @@ def test_simhash_links_chains(spark):
     assert alike == {(i, j) for i in range(7) for j in range(7)} | {(7, 7), (8, 8)}
 
 
-def test_keep_one_of_each(odd, odd_rows):
+def brute_similar(rows, k=5, least=0.8):
+    """Smallest id of each group of (id, text) rows linked by a Jaccard similarity of shingles, or by equal fingerprints."""
+    sets, fps, low = [], [], defaultdict(list)
+    for _, t in rows:
+        w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+        fps.append(brute_fingerprint(t, k))
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if fps[i] == fps[j] or (n := len(sets[i] & sets[j])) and n >= least * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    for i, (d, _) in enumerate(rows):
+        low[find(i)].append(d)
+    return [min((d for d in ids if d is not None), default=None) for ids in low.values()]
+
+
+def test_keep_one_of_each(odd, odd_rows, empty):
     kept = simhash.keep_one_of_each(odd, shingle_words=5)
-    groups = brute_groups([r[:2] for r in odd_rows], 5, 2)
     assert kept.columns == odd.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((x[0] for x in {g[2:] for g in groups}), key=str)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(brute_similar([r[:2] for r in odd_rows]), key=str)
+    assert simhash.keep_one_of_each(empty).count() == 0
+
+
+def test_near_copies_go_and_clean_texts_stay(spark):
+    """A text with 150 edited copies (0.86 similar to it, to one another less), pairs about 0.83, and strangers."""
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(3000)]
+
+    def edited(w, places):
+        w = list(w)
+        for p in places:
+            w[p] = rng.choice(words)
+        return " ".join(w)
+
+    base = rng.choices(words, k=400)
+    rows = [(0, " ".join(base)), *((i, edited(base, rng.sample(range(0, 400, 6), 6))) for i in range(1, 151))]
+    for i in range(200, 240, 2):
+        w = rng.choices(words, k=rng.randrange(80, 600))
+        rows += [(i, " ".join(w)), (i + 1, edited(w, [len(w) // 2 + 5 * j for j in range(len(w) // 60)]))]
+    rows += [(i, " ".join(rng.choices(words, k=rng.randrange(60, 400)))) for i in range(300, 400)]
+    kept = {r[0] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == set(brute_similar(rows)) == {0, *range(200, 240, 2), *range(300, 400)}
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.9])
+def test_sketches_and_bands_at_the_threshold(similarity):
+    rng = np.random.default_rng(5)
+    met, near = 0, 0
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+        shared = round(1000 * similarity)
+        a, b = (np.concatenate([pool[:shared], pool[shared::2]]), np.concatenate([pool[:shared], pool[shared + 1 :: 2]]))
+        met += bool(set(sketch.band_keys(a)) & set(sketch.band_keys(b)))
+        near += int(np.bitwise_count((sketch.long_sketch(a) ^ sketch.long_sketch(b)).view(np.uint64)).sum()) <= sketch.most_bits(similarity)
+    assert met >= 298 and near >= 297
 
 
 # 3 -------------------------------------------------------------------------------------------------

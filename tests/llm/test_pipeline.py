@@ -7,7 +7,7 @@ import zstandard
 
 import corpus_pipeline
 from cellgrid.llm import line_dedup, packing, quality, tokens
-from tests.llm.test_operators import WORD, brute_groups, brute_quality, brute_targets, words_of
+from tests.llm.test_operators import WORD, brute_quality, brute_similar, brute_targets, words_of
 
 
 @pytest.fixture(scope="module")
@@ -56,8 +56,7 @@ def test_line_stage(stages):
 def test_near_dedup_stage(stages):
     _, docs, after = stages[2]
     before = rows(docs)
-    groups = brute_groups([r[:2] for r in before], 5, 2)
-    assert Counter(r[0] for r in rows(after)) == Counter(x[0] for x in {g[2:] for g in groups})
+    assert Counter(r[0] for r in rows(after)) == Counter(brute_similar([r[:2] for r in before]))
     assert not Counter(rows(after)) - Counter(before)
 
 
