@@ -131,9 +131,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _is_row(id_col: str, text_col: str) -> Column:
-    """Whether a ``row`` has the id ``id`` and the text hash ``th``."""
-    return F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(F.col(f"row.{text_col}"), F.lit(""))) == F.col("th"))
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
@@ -141,12 +140,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts meet if their fingerprints differ in at most ``radius`` bits or if they share a band of minima,
     and are linked if the Jaccard similarity of their shingles is ``similarity`` or more; texts of equal
-    fingerprint are one.  Groups are what links connect.  The row with the smallest id stays (null ids last, then by a hash of the text); of rows
-    repeated with the same id and text one stays.  Null text counts as empty, and empty texts are one
-    group.  An empty table gives no rows.
+    fingerprint are one.  Groups are what links connect.  The row with the smallest id stays (null ids last,
+    then by a hash of the text); of rows repeated with the same id and text one stays.  Null text counts as
+    empty, and empty texts are one group.  An empty table gives no rows.
     """
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "th", "bits")
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), signature(F.col(text_col), shingle_words).alias("s"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(F.col(text_col)).alias("th"), signature(F.col(text_col), shingle_words).alias("s"))
     rows = materialize(keyed.select("doc_id", "th", "s.*"), "signatures")
     distinct = rows.groupBy("fp").agg(F.min(order).alias("o")).select("fp", F.struct("o.n", "o.id", "o.th").alias("low"), F.col("o.bits").alias("bits"))
     distinct = materialize(distinct, "distinct")
@@ -154,7 +153,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = materialize(fingerprint_links(distinct, radius).unionAll(met).distinct(), "near")
     asked = near.select(F.col("src").alias("fp")).unionAll(near.select("dst")).distinct().join(distinct, "fp").select(F.col("fp").alias("node"), "low.id", "low.th")
     # a text of each fingerprint that is in a pair; rows repeated with one id and text give one
-    texts = docs.select(F.struct("*").alias("row")).join(materialize(asked, "asked"), _is_row(id_col, text_col)).select("node", shingle_set(F.col(f"row.{text_col}"), shingle_words).alias("set"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    wanted = materialize(asked, "asked").hint("merge")  # the same plan at every size: texts move once here and once at the end
+    texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th"))).select("node", shingle_set(F.col("text"), shingle_words).alias("set"))
     sets = materialize(texts.dropDuplicates(["node"]), "sets")
     alike = materialize(sketch.similar(near, sets, similarity), "alike")
     rooted = distinct.join(roots(distinct, alike), "fp")
@@ -162,7 +163,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counted = rows.groupBy("doc_id", "th").agg(F.count("*").alias("times"))
     keys = materialize(low.join(counted, (low["id"].eqNullSafe(counted["doc_id"])) & (low["th"] == counted["th"])).select("id", low["th"], "times"), "kept")
     whole = docs.select(F.struct("*").alias("row"))
-    on = _is_row(id_col, text_col)
-    once = whole.join(keys.where("times = 1"), on).select("row.*")
+    on = F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("id")) & (_text_hash(F.col(f"row.{text_col}")) == F.col("th"))
+    once = whole.join(keys.where("times = 1").hint("merge"), on).select("row.*")
     more = whole.join(keys.where("times > 1"), on).groupBy("id", "th").agg(F.first("row").alias("row")).select("row.*")
     return once.unionAll(more)
