@@ -138,8 +138,8 @@ def _text_hash(text: Column) -> Column:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
     """The input's rows and columns with one row of each near-duplicate group.
 
-    Texts meet if their fingerprints differ in at most ``radius`` bits or if they share a band of minima,
-    and are linked if the Jaccard similarity of their shingles is ``similarity`` or more; texts of equal
+    Texts meet if their fingerprints differ in at most ``radius`` bits or if they share a band of minima
+    (those a band's leader does not link meet by prefixes of their sets), and are linked if the Jaccard similarity of their shingles is ``similarity`` or more; texts of equal
     fingerprint are one.  Groups are what links connect.  The row with the smallest id stays (null ids last,
     then by a hash of the text); of rows repeated with the same id and text one stays.  Null text counts as
     empty, and empty texts are one group.  An empty table gives no rows.
@@ -149,16 +149,24 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialize(keyed.select("doc_id", "th", "s.*"), "signatures")
     distinct = rows.groupBy("fp").agg(F.min(order).alias("o")).select("fp", F.struct("o.n", "o.id", "o.th").alias("low"), F.col("o.bits").alias("bits"))
     distinct = materialize(distinct, "distinct")
-    met = sketch.band_pairs(rows.select("fp", F.explode("keys").alias("key")), distinct, "fp", similarity)
+    members = sketch.band_members(rows.select("fp", F.explode("keys").alias("key")), "fp")
+    met = sketch.band_pairs(members, distinct, "fp", similarity)
     near = materialize(fingerprint_links(distinct, radius).unionAll(met).distinct(), "near")
-    asked = near.select(F.col("src").alias("fp")).unionAll(near.select("dst")).distinct().join(distinct, "fp").select(F.col("fp").alias("node"), "low.id", "low.th")
-    # a text of each fingerprint that is in a pair; rows repeated with one id and text give one
+    asked = near.select(F.col("src").alias("fp")).unionAll(near.select("dst")).unionAll(members.where("n > 2").select("node")).distinct().join(distinct, "fp").select(F.col("fp").alias("node"), "low.id", "low.th")
+    # a text of each fingerprint that is in a pair or in a band of three; rows repeated with one id and text give one
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     wanted = materialize(asked, "asked").hint("merge")  # the same plan at every size: texts move once here and once at the end
     texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th"))).select("node", shingle_set(F.col("text"), shingle_words).alias("set"))
     sets = materialize(texts.dropDuplicates(["node"]), "sets")
     alike = materialize(sketch.similar(near, sets, similarity), "alike")
-    rooted = distinct.join(roots(distinct, alike), "fp")
+    found = materialize(roots(distinct, alike), "roots")
+    # members of a band that are unlike its leader may be like each other
+    left = sketch.open_members(members, found.select(F.col("fp").alias("node"), "root")).join(sets, "node")
+    more = materialize(sketch.prefix_pairs(materialize(left, "open"), similarity), "open-pairs")
+    links = materialize(sketch.similar(more, sets, similarity), "more-alike")
+    if not links.isEmpty():
+        found = roots(distinct, links.unionAll(found.where("fp != root").select("fp", "root")))
+    rooted = distinct.join(found, "fp")
     low = rooted.groupBy("root").agg(F.min("low").alias("low")).select("low.*")
     counted = rows.groupBy("doc_id", "th").agg(F.count("*").alias("times"))
     keys = materialize(low.join(counted, (low["id"].eqNullSafe(counted["doc_id"])) & (low["th"] == counted["th"])).select("id", low["th"], "times"), "kept")

@@ -78,20 +78,27 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def band_pairs(bands: DataFrame, sketches: DataFrame, node: str, similarity: float) -> DataFrame:
-    """Pairs ``(src, dst)`` of nodes that share a band key and whose sketches are near.
+def band_members(bands: DataFrame, node: str) -> DataFrame:
+    """Rows ``(key, node, n, leader)`` of the nodes that share a band key: ``n`` nodes have it.
 
-    ``bands`` are ``(node, key)``, ``sketches`` ``(node, bits)`` with one row a node.  In each band the node
-    whose bands are the most shared (of these the largest) is met by all others: the text a group was
-    copied from rather than one of its edited copies.  So there is one pair a band and node, however large
-    a group is, and counts and choices are partial aggregates.
+    ``bands`` are ``(node, key)``.  A band's leader is the node whose bands are the most shared (of these the
+    largest): the text a group was copied from rather than one of its edited copies.
     """
     each = materialize(bands.select(F.col(node).alias("node"), "key").distinct(), "bands")
     shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
     held = materialize(each.join(shared, "key"), "held-bands")
     score = materialize(held.groupBy("node").agg(F.sum("n").alias("score")), "band-scores")
     first = materialize(held.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")), "band-leaders")
-    pairs = held.join(first, "key").select(F.col("node").alias("src"), F.col("top.node").alias("dst")).where("src != dst").distinct()
+    return materialize(held.join(first, "key").select("key", "node", "n", F.col("top.node").alias("leader")), "band-members")
+
+
+def band_pairs(members: DataFrame, sketches: DataFrame, node: str, similarity: float) -> DataFrame:
+    """Pairs ``(src, dst)`` of a band's leader with each other member whose sketch is near its own.
+
+    ``sketches`` are ``(node, bits)`` with one row a node.  There is one pair a band and node, however large
+    a group is.  Members that only meet each other are left to ``open_members`` and ``prefix_pairs``.
+    """
+    pairs = members.select(F.col("node").alias("src"), F.col("leader").alias("dst")).where("src != dst").distinct()
     pairs = materialize(pairs, "band-pairs")  # with its size, so that the joins below can be planned by it
     a = sketches.select(F.col(node).alias("src"), F.col("bits").alias("a"))
     b = sketches.select(F.col(node).alias("dst"), F.col("bits").alias("b"))
@@ -99,6 +106,47 @@ def band_pairs(bands: DataFrame, sketches: DataFrame, node: str, similarity: flo
     return pairs.join(a, "src").join(b, "dst").where(close).select("src", "dst")
 
 
+def open_members(members: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``(node, root)`` of the nodes with a band where members beside the leader have different roots.
+
+    ``rooted`` are ``(node, root)``, one row a node.  The leader has met all others, and texts of one root
+    are one group already, so no other band can add to the groups.
+    """
+    others = materialize(members.where("n > 2 and node != leader").select("key", "node").join(rooted, "node"), "followers")
+    split = materialize(others.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "split-bands")
+    return others.join(split, "key").select("node", "root").distinct()
+
+
+def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(src, dst)`` of ``nodes`` ``(node, root, set)`` of different roots, among them all of this Jaccard similarity or more.
+
+    Sets x and y, x the smaller, of similarity s share s / (1 + s) * (|x| + |y|) elements or more.  So in any
+    one order of elements, here the rarest first, their first common one is among the first
+    |x| - 2s / (1 + s) * |x| + 1 of x and the first |y| - s * |y| + 1 of y, and what follows it suffices in
+    both: joining on these loses no pair.  Of an element that most often has one root only the other rows
+    meet all, so members of one large group don't meet each other.
+    """
+    own = nodes.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("token"))
+    often = materialize(own.groupBy("token").agg(F.count("*").alias("often")), "tokens")
+    order = F.array_sort(F.collect_list(F.struct("often", "token")))
+    ranked = own.join(often, "token").groupBy("node", "root", "n").agg(order.alias("order"))
+    up_to = lambda share: (F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-6) + 1).cast("int")
+    ranked = ranked.select("node", "root", "n", F.posexplode(F.slice("order", F.lit(1), up_to(similarity))).alias("k", "e"))
+    ranked = ranked.where("e.often > 1").select(F.col("e.token").alias("token"), "node", "root", "n", (F.col("n") - F.col("k")).alias("rest"), (F.col("k") < up_to(2 * similarity / (1 + similarity))).alias("short"))
+    ranked = materialize(ranked, "prefixes")
+    by_root = materialize(ranked.groupBy("token", "root").agg(F.count("*").alias("c")), "token-roots")
+    most = materialize(by_root.groupBy("token").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("top.root").alias("main")), "main-roots")
+    held = materialize(ranked.join(most, "token").withColumn("main", F.col("root") == F.col("main")), "met-prefixes")
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        fit = F.least("a.rest", "b.rest") >= F.lit(similarity / (1 + similarity)) * (F.col("a.n") + F.col("b.n")) - 1e-6
+        sizes = (F.col("a.n") <= F.col("b.n")) & (F.col("a.n") >= F.lit(similarity) * F.col("b.n") - 1e-6)
+        on = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root"))
+        return a.alias("a").join(b.alias("b"), on & sizes & fit).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst"))
+
+    return meet(held.where("short and not main"), held).unionAll(meet(held.where("short and main"), held.where("not main"))).distinct()
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` whose ``sets`` ``(node, set)``, one row a node, have this Jaccard similarity or more."""
     a = sets.select(F.col("node").alias("src"), F.col("set").alias("a"))

@@ -119,6 +119,22 @@ def test_near_copies_go_and_clean_texts_stay(spark):
     assert kept == set(brute_similar(rows)) == {0, *range(200, 240, 2), *range(300, 400)}
 
 
+def test_pairs_in_a_family_without_its_base(spark):
+    """Texts about 0.77 like one that is not there, so less like each other, and 400 pairs of them at 0.805."""
+    rng = random.Random(3)
+    base = [f"base{i}" for i in range(236)]
+    rows = []
+    for i in range(0, 800, 2):
+        at = rng.sample(range(4, 230, 5), 11)
+        for own, places in ((i, at[:6]), (i + 1, at)):
+            w = list(base)
+            for p in places:
+                w[p] = f"edit{i}x{p}"
+            rows.append((own, " ".join(w)))
+    kept = {r[0] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == set(brute_similar(rows)) == set(range(0, 800, 2))
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.9])
 def test_sketches_and_bands_at_the_threshold(similarity):
     rng = np.random.default_rng(5)
