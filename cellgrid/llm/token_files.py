@@ -19,6 +19,8 @@ from cellgrid.plans.shared import materialize
 
 # Fixed value: the vocabulary's end-of-document identifier.
 END_OF_DOCUMENT = 50256
+# What the same identifier inside a text is written as: outside the vocabulary, so it ends no document.
+IN_TEXT = 0xFFFF
 BLOCK_BYTES = 256 << 10
 BLOCKS_PER_GROUP = 1024
 
@@ -35,7 +37,8 @@ def tokenize_to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Flat files of 16-bit ids, one for each task, as blocks ``(file, block, data, ids)``.
 
     ids are the ids of the documents that end in the block, in order: a label beside the flat data that
-    the scan does not use.  Null text has no tokens but a separator.
+    the scan does not use.  Null text has no tokens but a separator.  A text that names the separator in
+    full has its identifier as an ordinary one, written as ``IN_TEXT``.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +52,8 @@ def tokenize_to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for b in batches:
             for doc, text, part in zip(b["doc_id"].astype("Int64"), b["text"], b["part"], strict=True):
                 name = f"tokens-{part:06d}"
-                data = np.append(token_ids(text, path), END_OF_DOCUMENT).astype("<u2").tobytes()
+                found = token_ids(text, path)
+                data = np.append(np.where(found == END_OF_DOCUMENT, IN_TEXT, found), END_OF_DOCUMENT).astype("<u2").tobytes()
                 held += data
                 total += len(data)
                 ends.append((total, None if doc is pd.NA else int(doc)))

@@ -197,6 +197,13 @@ def test_document_tokens(odd, odd_rows, empty):
     assert token_files.document_tokens(empty).collect() == []
 
 
+def test_document_tokens_with_the_separator_inside(spark):
+    texts = ["one two", f"a {tokens.END_OF_TEXT} b", "three", f"{tokens.END_OF_TEXT}{tokens.END_OF_TEXT}", "four five six seven", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_files.document_tokens(docs).collect()}
+    assert got == {i: len(tokens.token_ids(t, tokens.vocabulary())) for i, t in enumerate(texts)}
+
+
 def test_tokens_in_small_blocks(odd, odd_rows):
     blocks = token_files.tokenize_to_blocks(odd, block_bytes=128).cache()
     got = token_files.count_tokens(blocks, blocks_per_group=3)
