@@ -62,16 +62,16 @@ def fingerprint(text: Column, shingle_words: int = 5) -> Column:
 
 
 def signature(text: Column, shingle_words: int = 5) -> Column:
-    """Struct of a text's fingerprint ``fp``, its long sketch ``bits`` and its band keys ``keys``."""
+    """Struct of a text's fingerprint ``fp``, its long sketch ``bits``, whether its set is ``small``, and its band keys ``keys``."""
 
-    @F.pandas_udf("fp long, bits array<long>, keys array<long>")
+    @F.pandas_udf("fp long, bits array<long>, small boolean, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             blocks = list(shingle_hashes(t, shingle_words))
             once = sketch.unique_hashes(blocks)
-            out.append((simhash64(blocks), sketch.long_sketch(once), sketch.band_keys(once)))
-        return pd.DataFrame(out, columns=["fp", "bits", "keys"])
+            out.append((simhash64(blocks), sketch.long_sketch(once), len(once) < sketch.SMALL_SET, sketch.band_keys(once)))
+        return pd.DataFrame(out, columns=["fp", "bits", "small", "keys"])
 
     return of(text.cast("binary"))
 
@@ -144,10 +144,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     then by a hash of the text); of rows repeated with the same id and text one stays.  Null text counts as
     empty, and empty texts are one group.  An empty table gives no rows.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "th", "bits")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "th", "bits", "small")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(F.col(text_col)).alias("th"), signature(F.col(text_col), shingle_words).alias("s"))
     rows = materialize(keyed.select("doc_id", "th", "s.*"), "signatures")
-    distinct = rows.groupBy("fp").agg(F.min(order).alias("o")).select("fp", F.struct("o.n", "o.id", "o.th").alias("low"), F.col("o.bits").alias("bits"))
+    distinct = rows.groupBy("fp").agg(F.min(order).alias("o")).select("fp", F.struct("o.n", "o.id", "o.th").alias("low"), "o.bits", "o.small")
     distinct = materialize(distinct, "distinct")
     members = sketch.band_members(rows.select("fp", F.explode("keys").alias("key")), "fp")
     met = sketch.band_pairs(members, distinct, "fp", similarity)

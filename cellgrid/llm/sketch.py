@@ -21,6 +21,8 @@ SKETCH_LONGS = 16
 SKETCH_BITS = 64 * SKETCH_LONGS
 STEP = np.uint64(0x9E3779B97F4A7C15)
 AT_ONCE = 255 * 8
+# Sets below this size are compared in full whatever their sketches: ties in their few bits break the angle's formula.
+SMALL_SET = 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -93,16 +95,16 @@ def band_members(bands: DataFrame, node: str) -> DataFrame:
 
 
 def band_pairs(members: DataFrame, sketches: DataFrame, node: str, similarity: float) -> DataFrame:
-    """Pairs ``(src, dst)`` of a band's leader with each other member whose sketch is near its own.
+    """Pairs ``(src, dst)`` of a band's leader with each other member whose sketch is near its own, or whose set is small.
 
-    ``sketches`` are ``(node, bits)`` with one row a node.  There is one pair a band and node, however large
+    ``sketches`` are ``(node, bits, small)`` with one row a node.  There is one pair a band and node, however large
     a group is.  Members that only meet each other are left to ``open_members`` and ``prefix_pairs``.
     """
     pairs = members.select(F.col("node").alias("src"), F.col("leader").alias("dst")).where("src != dst").distinct()
     pairs = materialize(pairs, "band-pairs")  # with its size, so that the joins below can be planned by it
-    a = sketches.select(F.col(node).alias("src"), F.col("bits").alias("a"))
-    b = sketches.select(F.col(node).alias("dst"), F.col("bits").alias("b"))
-    close = differing(F.col("a"), F.col("b")) <= most_bits(similarity)
+    a = sketches.select(F.col(node).alias("src"), F.col("bits").alias("a"), F.col("small").alias("few"))
+    b = sketches.select(F.col(node).alias("dst"), F.col("bits").alias("b"), F.col("small").alias("few_b"))
+    close = F.col("few_b") | F.col("few") | (differing(F.col("a"), F.col("b")) <= most_bits(similarity))
     return pairs.join(a, "src").join(b, "dst").where(close).select("src", "dst")
 
 

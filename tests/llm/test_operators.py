@@ -135,6 +135,21 @@ def test_pairs_in_a_family_without_its_base(spark):
     assert kept == set(brute_similar(rows)) == set(range(0, 800, 2))
 
 
+def test_small_sets_meet(spark):
+    """Texts of 8 words and the same with a ninth share 4 of 5 shingles."""
+    rows = []
+    for i in range(0, 80, 2):
+        w = [f"w{i}x{j}" for j in range(9)]
+        rows += [(i, " ".join(w[:8])), (i + 1, " ".join(w))]
+    met = {x for x in range(0, 80, 2) if set(sketch.band_keys(hashes_of(rows[x][1]))) & set(sketch.band_keys(hashes_of(rows[x + 1][1])))}
+    kept = {r[0] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or i - 1 not in met} and len(met) >= 38
+
+
+def hashes_of(text):
+    return sketch.unique_hashes(simhash.shingle_hashes(text.encode(), 5))
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.9])
 def test_sketches_and_bands_at_the_threshold(similarity):
     rng = np.random.default_rng(5)
