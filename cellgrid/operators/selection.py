@@ -26,10 +26,15 @@ def where(df: DataFrame, mask: Column) -> DataFrame:
     return df.where(true_mask(mask))
 
 
-def whichover(df: DataFrame, by: list[str], mask: Column, i: str, size: int) -> DataFrame:
-    """For each group an array of the true indices in order, padded with -1 to the dimension's size."""
+def whichover(df: DataFrame, by: list[str], mask: Column, i: str, size: int | None = None) -> DataFrame:
+    """For each group an array of the true indices in order, padded with -1 to the dimension's size.
+
+    Without a size it is the group's own number of cells; a group of more cells than the size is an error.
+    """
     held = F.array_sort(F.collect_list(F.when(true_mask(mask), F.col(i))))
-    return df.groupBy(*by).agg(held.alias("_h")).select(*by, F.slice(F.concat("_h", F.array_repeat(F.lit(-1).cast("long"), size)), 1, size).alias("inds"))
+    n = F.col("_n") if size is None else F.when(F.col("_n") <= size, F.lit(size)).otherwise(F.raise_error(F.lit("a group has more cells than the size")).cast("int"))
+    pad = F.array_repeat(F.lit(-1).cast("long"), n - F.size("_h"))
+    return df.groupBy(*by).agg(held.alias("_h"), F.count("*").cast("int").alias("_n")).select(*by, F.concat("_h", pad).alias("inds"))
 
 
 def one2nd(flat: Column, shape: list[int]) -> list[Column]:

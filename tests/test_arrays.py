@@ -316,3 +316,12 @@ def test_partitioning_does_not_matter(spark, parts):
     got = sequences.statsover(df, ["k"], "v").orderBy("k").collect()
     want = {k: np.array([i * 37 % 101 for i in range(k, 300, 5)], float) for k in range(5)}
     assert all(r["avg"] == pytest.approx(want[r["k"]].mean()) and r["prms"] == pytest.approx(want[r["k"]].std(ddof=1)) for r in got)
+
+
+def test_whichover_keeps_every_index(spark):
+    cells = spark.createDataFrame([(g, i, i % 5 != 1) for g, n in ((0, 12), (1, 3)) for i in range(n)], "g long, i0 long, m boolean")
+    got = {r["g"]: r["inds"] for r in selection.whichover(cells, ["g"], F.col("m"), "i0").collect()}
+    assert got == {0: [0, 2, 3, 4, 5, 7, 8, 9, 10, -1, -1, -1], 1: [0, 2, -1]}
+    assert all(len(r["inds"]) == 12 for r in selection.whichover(cells, ["g"], F.col("m"), "i0", 12).collect())
+    with pytest.raises(Exception, match="more cells"):
+        selection.whichover(cells, ["g"], F.col("m"), "i0", 7).collect()
