@@ -1,28 +1,23 @@
-"""Sketches of shingle sets: long SimHash sketches that estimate similarity, and bands of minima that meet where it is high.
+"""Pairs of shingle sets by Jaccard similarity: bands of minima, and a prefix-filter join for what bands leave open.
 
 A 64-bit fingerprint tells texts apart that share 8 or 9 in 10 of their shingles.  Bands find such pairs: two
-sets of similarity s agree in a band of five minima with probability s^5, so of 20 bands one at least meets
-for 99.9% of pairs at 0.8.  Sketches of 1024 bits drop most chance meetings, and the sets of what is left decide.
+sets of similarity s agree in a band of five minima with probability s^5, so of 24 bands one at least meets
+for 99.99% of pairs at 0.8.  Whether a pair is alike is decided by its sets alone.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.plans.shared import materialize
 
-BANDS, BAND_ROWS = 20, 5
-SKETCH_LONGS = 16
-SKETCH_BITS = 64 * SKETCH_LONGS
+BANDS, BAND_ROWS = 24, 5
 STEP = np.uint64(0x9E3779B97F4A7C15)
 AT_ONCE = 255 * 8
-# Sets below this size are compared in full whatever their sketches: ties in their few bits break the angle's formula.
-SMALL_SET = 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -33,7 +28,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 _MULTIPLIERS = _mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * STEP) | np.uint64(1)
-_OFFSETS = np.arange(1, SKETCH_LONGS + 1, dtype=np.uint64) * STEP
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -50,71 +44,33 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def long_sketch(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of a set's hashes in SKETCH_LONGS signed integers."""
-    ones = np.zeros(SKETCH_BITS, np.int64)
-    for lo in range(0, len(hashes), 255):
-        wide = _mixed(hashes[lo : lo + 255, None] + _OFFSETS[None, :])
-        ones += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(hashes)).view(np.int64)
-
-
 def unique_hashes(parts: Iterable[np.ndarray]) -> np.ndarray:
     found = list(parts)
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits of two sketches beyond which a pair is too unlike to compare in full.
-
-    Sets of one size with Jaccard similarity s meet at the cosine 2s / (1 + s), and the angle over pi is
-    the share of differing bits.  Three standard deviations are added, so that 99.9% of pairs at the very
-    threshold pass.
-    """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(SKETCH_BITS * share + 3 * math.sqrt(SKETCH_BITS * share * (1 - share)))
-
-
-def differing(a: Column, b: Column) -> Column:
-    """Differing bits of two sketch columns."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-
-
-def band_members(bands: DataFrame, node: str) -> DataFrame:
+def band_members(bands: DataFrame) -> DataFrame:
     """Rows ``(key, node, n, leader)`` of the nodes that share a band key: ``n`` nodes have it.
 
-    ``bands`` are ``(node, key)``.  A band's leader is the node whose bands are the most shared (of these the
-    largest): the text a group was copied from rather than one of its edited copies.
+    ``bands`` are ``(node, key)``, each once.  A band's leader is the node whose bands are the most shared (of
+    these the largest): the text a group was copied from rather than one of its edited copies.
     """
-    each = materialize(bands.select(F.col(node).alias("node"), "key").distinct(), "bands")
-    shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
-    held = materialize(each.join(shared, "key"), "held-bands")
+    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    held = materialize(bands.join(shared, "key"), "held-bands")
     score = materialize(held.groupBy("node").agg(F.sum("n").alias("score")), "band-scores")
     first = materialize(held.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")), "band-leaders")
     return materialize(held.join(first, "key").select("key", "node", "n", F.col("top.node").alias("leader")), "band-members")
 
 
-def band_pairs(members: DataFrame, sketches: DataFrame, node: str, similarity: float) -> DataFrame:
-    """Pairs ``(src, dst)`` of a band's leader with each other member whose sketch is near its own, or whose set is small.
-
-    ``sketches`` are ``(node, bits, small)`` with one row a node.  There is one pair a band and node, however large
-    a group is.  Members that only meet each other are left to ``open_members`` and ``prefix_pairs``.
-    """
-    pairs = members.select(F.col("node").alias("src"), F.col("leader").alias("dst")).where("src != dst").distinct()
-    pairs = materialize(pairs, "band-pairs")  # with its size, so that the joins below can be planned by it
-    a = sketches.select(F.col(node).alias("src"), F.col("bits").alias("a"), F.col("small").alias("few"))
-    b = sketches.select(F.col(node).alias("dst"), F.col("bits").alias("b"), F.col("small").alias("few_b"))
-    close = F.col("few_b") | F.col("few") | (differing(F.col("a"), F.col("b")) <= most_bits(similarity))
-    return pairs.join(a, "src").join(b, "dst").where(close).select("src", "dst")
-
-
-def open_members(members: DataFrame, rooted: DataFrame) -> DataFrame:
-    """``(node, root)`` of the nodes with a band where members beside the leader have different roots.
+def open_members(members: DataFrame, alike: DataFrame) -> DataFrame:
+    """``(node, root)`` of the nodes with a band where members beside the leader are not known to be one group.
 
-    ``rooted`` are ``(node, root)``, one row a node.  The leader has met all others, and texts of one root
-    are one group already, so no other band can add to the groups.
+    ``alike`` are links ``(node, leader)`` that were found to hold; texts linked to one leader are one group
+    already, so comparing them adds nothing.  ``root`` is the smallest leader a node is linked to, else itself.
     """
-    others = materialize(members.where("n > 2 and node != leader").select("key", "node").join(rooted, "node"), "followers")
+    to = alike.groupBy("node").agg(F.min("leader").alias("to"))
+    others = members.where("n > 2 and node != leader").select("key", "node")
+    others = materialize(others.join(materialize(to, "led"), "node", "left").select("key", "node", F.coalesce("to", "node").alias("root")), "followers")
     split = materialize(others.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "split-bands")
     return others.join(split, "key").select("node", "root").distinct()
 
@@ -150,7 +106,7 @@ def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose ``sets`` ``(node, set)``, one row a node, have this Jaccard similarity or more."""
+    """Those of ``pairs`` ``(src, dst)`` whose ``sets`` ``(node, set)``, one row a node, have this Jaccard similarity or more."""
     a = sets.select(F.col("node").alias("src"), F.col("set").alias("a"))
     b = sets.select(F.col("node").alias("dst"), F.col("set").alias("b"))
     both = F.size(F.array_intersect("a", "b"))

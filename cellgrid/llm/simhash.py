@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrid.llm import sketch
+from cellgrid.llm import bands
 from cellgrid.operators.graph import connected_components
 from cellgrid.plans.shared import materialize
 
@@ -62,16 +62,16 @@ def fingerprint(text: Column, shingle_words: int = 5) -> Column:
 
 
 def signature(text: Column, shingle_words: int = 5) -> Column:
-    """Struct of a text's fingerprint ``fp``, its long sketch ``bits``, whether its set is ``small``, and its band keys ``keys``."""
+    """Struct of a text's fingerprint ``fp`` and its band keys ``keys``, of which the fingerprint itself is one."""
 
-    @F.pandas_udf("fp long, bits array<long>, small boolean, keys array<long>")
+    @F.pandas_udf("fp long, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             blocks = list(shingle_hashes(t, shingle_words))
-            once = sketch.unique_hashes(blocks)
-            out.append((simhash64(blocks), sketch.long_sketch(once), len(once) < sketch.SMALL_SET, sketch.band_keys(once)))
-        return pd.DataFrame(out, columns=["fp", "bits", "small", "keys"])
+            fp = simhash64(blocks)
+            out.append((fp, np.unique(np.append(bands.band_keys(bands.unique_hashes(blocks)), fp))))
+        return pd.DataFrame(out, columns=["fp", "keys"])
 
     return of(text.cast("binary"))
 
@@ -81,7 +81,7 @@ def shingle_set(text: Column, shingle_words: int = 5) -> Column:
 
     @F.pandas_udf("array<int>")
     def of(texts: pd.Series) -> pd.Series:
-        found = (sketch.unique_hashes(shingle_hashes(t, shingle_words)) for t in texts)
+        found = (bands.unique_hashes(shingle_hashes(t, shingle_words)) for t in texts)
         return pd.Series([np.unique(x.astype(np.uint32)).view(np.int32) for x in found])
 
     return of(text.cast("binary"))
@@ -131,47 +131,54 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _text_hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def _text_key(text: Column) -> list[Column]:
+    """Two 64-bit hashes of a text (null: as empty)."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b")]
+
+
+def _same_row(id_col: Column, left: DataFrame, right: DataFrame) -> Column:
+    return id_col.eqNullSafe(right["id"]) & (left["a"] == right["a"]) & (left["b"] == right["b"])
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
     """The input's rows and columns with one row of each near-duplicate group.
 
-    Texts meet if their fingerprints differ in at most ``radius`` bits or if they share a band of minima
-    (those a band's leader does not link meet by prefixes of their sets), and are linked if the Jaccard similarity of their shingles is ``similarity`` or more; texts of equal
-    fingerprint are one.  Groups are what links connect.  The row with the smallest id stays (null ids last,
-    then by a hash of the text); of rows repeated with the same id and text one stays.  Null text counts as
-    empty, and empty texts are one group.  An empty table gives no rows.
+    Different texts (by 128 hash bits) are linked if the Jaccard similarity of their shingles is ``similarity``
+    or more, whatever their fingerprints.  They meet if their fingerprints differ in at most ``radius`` bits, or
+    if they share a band of minima; each meets the text that leads the group, and those of a group that this
+    doesn't join meet each other by prefixes of their sets.  Groups are what links connect.  The row with the
+    smallest id stays (null ids last); of rows repeated with the same id and text the one whose columns come
+    first as JSON.  Texts without words have one fingerprint and equal, empty sets: they are linked.  Null text counts as empty.  An empty table gives no rows.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "th", "bits", "small")
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(F.col(text_col)).alias("th"), signature(F.col(text_col), shingle_words).alias("s"))
-    rows = materialize(keyed.select("doc_id", "th", "s.*"), "signatures")
-    distinct = rows.groupBy("fp").agg(F.min(order).alias("o")).select("fp", F.struct("o.n", "o.id", "o.th").alias("low"), "o.bits", "o.small")
-    distinct = materialize(distinct, "distinct")
-    members = sketch.band_members(rows.select("fp", F.explode("keys").alias("key")), "fp")
-    met = sketch.band_pairs(members, distinct, "fp", similarity)
-    near = materialize(fingerprint_links(distinct, radius).unionAll(met).distinct(), "near")
-    asked = near.select(F.col("src").alias("fp")).unionAll(near.select("dst")).unionAll(members.where("n > 2").select("node")).distinct().join(distinct, "fp").select(F.col("fp").alias("node"), "low.id", "low.th")
-    # a text of each fingerprint that is in a pair or in a band of three; rows repeated with one id and text give one
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    wanted = materialize(asked, "asked").hint("merge")  # the same plan at every size: texts move once here and once at the end
-    texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th"))).select("node", shingle_set(F.col("text"), shingle_words).alias("set"))
-    sets = materialize(texts.dropDuplicates(["node"]), "sets")
-    alike = materialize(sketch.similar(near, sets, similarity), "alike")
-    found = materialize(roots(distinct, alike), "roots")
-    # members of a band that are unlike its leader may be like each other
-    left = sketch.open_members(members, found.select(F.col("fp").alias("node"), "root")).join(sets, "node")
-    more = materialize(sketch.prefix_pairs(materialize(left, "open"), similarity), "open-pairs")
-    links = materialize(sketch.similar(more, sets, similarity), "more-alike")
-    if not links.isEmpty():
-        found = roots(distinct, links.unionAll(found.where("fp != root").select("fp", "root")))
-    rooted = distinct.join(found, "fp")
-    low = rooted.groupBy("root").agg(F.min("low").alias("low")).select("low.*")
-    counted = rows.groupBy("doc_id", "th").agg(F.count("*").alias("times"))
-    keys = materialize(low.join(counted, (low["id"].eqNullSafe(counted["doc_id"])) & (low["th"] == counted["th"])).select("id", low["th"], "times"), "kept")
-    whole = docs.select(F.struct("*").alias("row"))
-    on = F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("id")) & (_text_hash(F.col(f"row.{text_col}")) == F.col("th"))
-    once = whole.join(keys.where("times = 1").hint("merge"), on).select("row.*")
-    more = whole.join(keys.where("times > 1"), on).groupBy("id", "th").agg(F.first("row").alias("row")).select("row.*")
-    return once.unionAll(more)
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_text_key(F.col(text_col)), signature(F.col(text_col), shingle_words).alias("s"))
+    rows = materialize(keyed.select("doc_id", "a", "b", "s.*"), "signatures")
+    # nodes are numbered once, in a written table, so that a repeated task cannot number them anew
+    nodes = rows.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
+    members = bands.band_members(nodes.select("node", F.explode("keys").alias("key")))
+    # of the fingerprints within the radius of one another a text each; those of one fingerprint share a band
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    links = materialize(fingerprint_links(first, radius), "balls")
+    links = links.join(first.select(F.col("fp").alias("src"), F.col("node").alias("x")), "src").join(first.select(F.col("fp").alias("dst"), F.col("node").alias("y")), "dst").select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    near = materialize(links.unionAll(members.where("node != leader").select("node", "leader")).distinct(), "near")
+    # the shingles of every text in a pair: texts move once here and once at the end, by the same plan at every size
+    asked = near.select(F.col("src").alias("node")).unionAll(near.select("dst")).distinct().join(nodes, "node").select("node", "id", "a", "b")
+    asked = materialize(asked, "asked")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_text_key(F.col(text_col)), F.col(text_col).alias("text"))
+    sets = texts.join(asked.hint("merge"), _same_row(texts["doc_id"], texts, asked)).select("node", shingle_set(F.col("text"), shingle_words).alias("set"))
+    sets = materialize(sets.dropDuplicates(["node"]), "sets")
+    alike = materialize(bands.similar(near, sets, similarity), "alike")
+    left = bands.open_members(members, alike.select(F.col("src").alias("node"), F.col("dst").alias("leader"))).join(sets, "node")
+    more = materialize(bands.prefix_pairs(materialize(left, "open"), similarity), "open-pairs")
+    alike = alike.unionAll(bands.similar(more, sets, similarity))
+    found = connected_components(alike)
+    rooted = materialize(nodes.join(found, "node", "left").select("a", "b", "id", "times", F.coalesce("component", "node").alias("root")), "rooted")
+    # the text with the smallest id, null ids last, then the smallest hashes
+    low = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")).alias("low")).select("low.*")
+    held = rows.groupBy("doc_id", "a", "b").agg(F.count("*").alias("times"))
+    keys = materialize(low.join(held, _same_row(held["doc_id"], held, low)).select(low["id"], low["a"], low["b"], "times"), "kept")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_text_key(F.col(text_col)), F.struct("*").alias("row"))
+    once, again = keys.where("times = 1").hint("merge"), keys.where("times > 1")
+    repeated = whole.join(again, _same_row(whole["doc_id"], whole, again)).groupBy("id", whole["a"], whole["b"]).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return whole.join(once, _same_row(whole["doc_id"], whole, once)).select("row.*").unionAll(repeated.select("row.*"))
