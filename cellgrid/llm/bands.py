@@ -62,15 +62,14 @@ def band_members(bands: DataFrame) -> DataFrame:
     return materialize(held.join(first, "key").select("key", "node", "n", F.col("top.node").alias("leader")), "band-members")
 
 
-def open_members(members: DataFrame, alike: DataFrame) -> DataFrame:
-    """``(node, root)`` of the nodes with a band where members beside the leader are not known to be one group.
+def open_members(members: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``(node, root)`` of the nodes with a band where members beside the leader have different roots.
 
-    ``alike`` are links ``(node, leader)`` that were found to hold; texts linked to one leader are one group
-    already, so comparing them adds nothing.  ``root`` is the smallest leader a node is linked to, else itself.
+    ``rooted`` are ``(node, root)`` of the nodes that are linked so far; any other is its own root.  The leader
+    has met all others, and texts of one root are one group already, so no other band can add to the groups.
     """
-    to = alike.groupBy("node").agg(F.min("leader").alias("to"))
     others = members.where("n > 2 and node != leader").select("key", "node")
-    others = materialize(others.join(materialize(to, "led"), "node", "left").select("key", "node", F.coalesce("to", "node").alias("root")), "followers")
+    others = materialize(others.join(rooted, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "followers")
     split = materialize(others.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "split-bands")
     return others.join(split, "key").select("node", "root").distinct()
 

@@ -169,10 +169,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = texts.join(asked.hint("merge"), _same_row(texts["doc_id"], texts, asked)).select("node", shingle_set(F.col("text"), shingle_words).alias("set"))
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
     alike = materialize(bands.similar(near, sets, similarity), "alike")
-    left = bands.open_members(members, alike.select(F.col("src").alias("node"), F.col("dst").alias("leader"))).join(sets, "node")
+    led = connected_components(alike).select("node", F.col("component").alias("root"))
+    left = bands.open_members(members, led).join(sets, "node")
     more = materialize(bands.prefix_pairs(materialize(left, "open"), similarity), "open-pairs")
-    alike = alike.unionAll(bands.similar(more, sets, similarity))
-    found = connected_components(alike)
+    found = connected_components(led.select(F.col("node").alias("src"), F.col("root").alias("dst")).unionAll(bands.similar(more, sets, similarity)))
     rooted = materialize(nodes.join(found, "node", "left").select("a", "b", "id", "times", F.coalesce("component", "node").alias("root")), "rooted")
     # the text with the smallest id, null ids last, then the smallest hashes
     low = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")).alias("low")).select("low.*")
