@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,10 +11,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cellgrid.llm import bands, line_dedup, mixing, packing, quality, simhash, substring_dedup, token_files, tokens, url_filter, warc
+from cellgrid.llm import bands, line_dedup, mixing, packing, quality, queries, simhash, substring_dedup, token_files, tokens, url_filter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -303,6 +305,43 @@ def test_quality_bands(spark):
     assert [r["kept"] for r in quality.scores(frame).orderBy("doc_id").collect()] == [True, False, False, False, True, False]
 
 
+def brute_kept(texts):
+    """The verdict from zstandard ratios and numpy quantiles of rows, not of counted hundredths."""
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    ratio = lambda b: (len(b), len(packer.compress(b)))
+    data = [(t or "").encode() for t in texts]
+    failed = [brute_quality(t)[5] for t in texts]
+    cut = [[d] if len(d) <= 4096 else [c for i in range(0, len(d), 4096) if len(c := d[i : i + 4096]) >= 1024] for d in data]
+    whole, parts = [ratio(d) for d in data], [[ratio(c) for c in cs] for cs in cut]
+    bands = []
+    for sizes in ({w for w, f in zip(whole, failed, strict=True) if not f}, {c for cs, f in zip(parts, failed, strict=True) if not f for c in cs}):
+        bins = defaultdict(list)
+        for n, m in sizes:
+            bins[math.floor(2 * math.log2(n))].append(math.floor(100 * n / m) / 100 + 0.005)
+        made = {}
+        for b, found in bins.items():
+            low, high = max(x for x in quality.LIMITS if x[0] <= 2 ** (b / 2))[1:]
+            found += [low + (high - low) * (i + 0.5) / 20 for i in range(20)]
+            q1, q2, q3 = (np.quantile(found, q, method="inverted_cdf") for q in (0.25, 0.5, 0.75))
+            reach = max(2 * (q3 - q1), q2 * (0.06 + 2 / math.sqrt(2 ** (b / 2))))
+            made[b] = max(low, q1 - reach), min(high, q3 + reach)
+        bands.append(made)
+    inside = lambda x, made: made[math.floor(2 * math.log2(x[0]))][0] <= x[0] / x[1] <= made[math.floor(2 * math.log2(x[0]))][1]
+    return [not f and inside(w, bands[0]) and sum(not inside(c, bands[1]) for c in cs) <= 0.25 * len(cs) for f, w, cs in zip(failed, whole, parts, strict=True)]
+
+
+def test_quality_query_on_documents(spark):
+    """The whole query, and that its bands reject marked-up junk and leave documents labelled good alone."""
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    good = {r[0] for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id").collect()}
+    want = {r[0]: (*brute_quality(r[1]), k) for r, k in zip(rows, brute_kept([r[1] for r in rows]), strict=True)}
+    got = {r["doc_id"]: r for r in queries.op5_quality_rules(spark, folder).collect()}
+    assert {d: tuple(r)[1:] for d, r in got.items()} == want
+    banned = {d for d, r in got.items() if not r["base_failed"] and not r["kept"]}
+    assert len(banned) >= 10 and len(banned & good) <= 0.005 * len(good)
+
+
 # 6 -------------------------------------------------------------------------------------------------
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/e"), ("block", "bad.org", ""), ("allow", "com", "/"), ("block", "", "")]
