@@ -27,3 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Words of a text as a long (null: 0), in Spark's own expressions."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
+
+
+def column(name: str) -> Column:
+    """A column by its own name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")

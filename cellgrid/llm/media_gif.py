@@ -9,14 +9,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cellgrid.llm.common import column
 
 # Fixed values of the GIF89a format and of its 8-bit code streams.
 CLEAR, END, FIRST_FREE, MAX_CODES = 256, 257, 258, 4096
 FULL = MAX_CODES - FIRST_FREE  # codes of an 8-bit stream after which its table is full, of a narrower one a little more
 ROWS_PER_FRAME = 4096
 BINS = 16
+# The largest canvas or frame that is decoded, in pixels; a header that claims more makes its file a broken one.
+MOST_PIXELS = 1 << 25
+# Frames are handed on once they hold this many bytes.
+BATCH_BYTES = 8 << 20
 FRAME_FIELDS = "frame int, start_ms long, duration_ms int, left int, top int, width int, height int, disposal int, transparent int, hist_r array<long>, hist_g array<long>, hist_b array<long>, rgba binary"
 
 
@@ -62,8 +70,8 @@ def lzw_encode(data: bytes) -> bytes:
     return out[:size].astype(np.uint8).tobytes()
 
 
-def lzw_decode(stream: bytes, min_bits: int) -> bytes:
-    """The samples of a code stream; it may clear early, late or never, and may lack its end code.
+def lzw_decode(stream: bytes, min_bits: int, most: int = 1 << 40) -> bytes:
+    """The samples of a code stream, at least the first ``most``; it may clear early, late or never, and may lack its end code.
 
     The widths of codes depend only on how many came since the last clear code, so runs of codes are cut
     out of the bytes at once; only the strings they stand for are built one after another.
@@ -71,7 +79,7 @@ def lzw_decode(stream: bytes, min_bits: int) -> bytes:
     clear, bits = 1 << min_bits, len(stream) * 8
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, prev, at, n, out = list(roots), b"", 0, 0, []
+    table, prev, at, n, out, size = list(roots), b"", 0, 0, [], 0
     fresh = _W8 if min_bits == 8 else _widths(min_bits, 0, MAX_CODES)
     while True:
         width = fresh if not n else np.full(MAX_CODES, 12)
@@ -81,7 +89,8 @@ def lzw_decode(stream: bytes, min_bits: int) -> bytes:
         codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (pos & 7) & ((1 << width[: len(pos)]) - 1)
         stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
         run = codes[: stop[0]] if len(stop) else codes
-        add, put, free = table.append, out.append, len(table)
+        strings: list[bytes] = []
+        add, put, free = table.append, strings.append, len(table)
         for c in run.tolist():
             if c < free:
                 entry = table[c]
@@ -94,6 +103,10 @@ def lzw_decode(stream: bytes, min_bits: int) -> bytes:
                 free += 1
             put(entry)
             prev = entry
+        out.append(b"".join(strings))
+        size += len(out[-1])
+        if size >= most:
+            break
         if len(stop):
             if codes[stop[0]] == clear + 1:
                 break
@@ -143,11 +156,15 @@ def decode_gif(data: bytes) -> Iterator[dict]:
     """Timed frames as shown: palette applied, drawn over what disposal left, transparent pixels skipped.
 
     Yields dicts with the fields of FRAME_FIELDS; ``rgba`` is the whole canvas, the histograms count the
-    opaque pixels of the canvas in 16 bins a channel.  ``patch`` is the frame's own rectangle of RGB.
+    opaque pixels of the canvas in 16 bins a channel.  ``patch`` is the frame's own rectangle of RGB.  A broken
+    file raises ValueError, IndexError or struct.error after the frames before the break; sizes are held
+    against MOST_PIXELS before any memory is taken for them.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     wide, tall, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if wide * tall > MOST_PIXELS:
+        raise ValueError("too large a GIF")
     shared, at = _palette(data, 13, flags)
     canvas, kept = np.zeros((tall, wide, 4), np.uint8), None
     index = start = delay = disposal = 0
@@ -163,12 +180,14 @@ def decode_gif(data: bytes) -> Iterator[dict]:
         if data[at] != 0x2C:
             raise ValueError("unknown GIF block")
         left, top, w, h, local = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > MOST_PIXELS:
+            raise ValueError("too large a GIF frame")
         own, at = _palette(data, at + 10, local)
         colours = shared if own is None else own
         if colours is None:
             colours = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
         stream, after = _blocks(data, at + 1)
-        drawn = np.frombuffer(lzw_decode(stream, data[at])[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        drawn = np.frombuffer(lzw_decode(stream, data[at], w * h)[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         at = after
         if local & 0x40:
             order = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, h, step)]
@@ -199,24 +218,46 @@ def decode_gif(data: bytes) -> Iterator[dict]:
 def frames(media: DataFrame, content_col: str = "content", keep_pixels: bool = True) -> DataFrame:
     """One row for each frame of each GIF: the other columns of ``media`` in ``row``, then FRAME_FIELDS.
 
-    Null content gives no frames; bytes that are no GIF, or a broken one, give one row whose frame is -1.
-    Repeated rows give repeated frames, an empty table none.  Clashing names are safe inside ``row``.
+    Null content gives no frames.  Bytes that are no GIF, or a broken one, give the frames before the break and
+    then a row whose frame is -1.  Repeated rows give repeated frames, an empty table none.  Clashing names
+    are safe inside ``row``.  Frames are handed on as they are decoded, so a long film needs no more memory
+    than a short one.
     """
+    names = [c for c in media.columns if c != content_col]
+    row = F.struct(*[column(c) for c in names]) if names else F.lit(None).cast("struct<none:int>")
+    rows = media.select(row.alias("row"), column(content_col).cast("binary").alias("content"))
+    fields = StructType.fromDDL(FRAME_FIELDS)
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary()}
+    types = [(f.name, kinds[f.dataType.simpleString()]) for f in fields]
+
+    def decoded(data: bytes) -> Iterator[dict]:
+        try:
+            for f in decode_gif(data):
+                yield f if keep_pixels else f | {"rgba": None}
+        except (ValueError, IndexError, struct.error):
+            yield {"frame": -1}
 
-    @F.pandas_udf(f"array<struct<{FRAME_FIELDS.replace(' array', ':array').replace(' int', ':int').replace(' long', ':long').replace(' binary', ':binary')}>>")
-    def decoded(content: pd.Series) -> pd.Series:
-        out = []
-        for data in content:
-            try:
-                got = [] if data is None else [{k: v for k, v in f.items() if k != "patch" and (keep_pixels or k != "rgba")} for f in decode_gif(data)]
-            except (ValueError, IndexError, struct.error):
-                got = [{"frame": -1}]
-            out.append(got)
-        return pd.Series(out)
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, held = [], 0
 
-    names = [c for c in media.columns if c != content_col]
-    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None).cast("struct<none:int>")
-    return media.select(row.alias("row"), F.explode(decoded(F.col(content_col))).alias("f")).select("row", "f.*")
+            def out(batch: pa.RecordBatch = batch, found: list = found) -> pa.RecordBatch:
+                columns = [pa.array([f.get(n) for _, f in found], t) for n, t in types]
+                return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array([i for i, _ in found], pa.int32())), *columns], ["row", *(n for n, _ in types)])
+
+            for i, content in enumerate(batch.column("content")):
+                for f in decoded(content.as_py()) if content.is_valid else ():
+                    f.pop("patch", None)
+                    found.append((i, f))
+                    held += len(f.get("rgba") or b"")
+                    if held >= BATCH_BYTES:
+                        yield out()
+                        found.clear()
+                        held = 0
+            if found:
+                yield out()
+
+    return rows.mapInArrow(decode, StructType([rows.schema["row"], *fields]))
 
 
 def pad(data: bytes, unit: int = 64) -> bytes:
@@ -235,21 +276,32 @@ def media_of_text(text: Column, unit: int = 64) -> Column:
 
 def media_digest(content: Column) -> Column:
     """Samples read back from a grey GIF: their length, SHA-256 and CRC-32 of the last 64; its own size and
-    SHA-256; and a feature text of frame count, canvas, duration and summed histograms."""
+    SHA-256; and a feature text of frame count, canvas, duration and summed histograms.  Null or broken
+    content, and a GIF without frames, has its own size and SHA-256 only (null: nothing)."""
 
     @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     def digest(content: pd.Series) -> pd.DataFrame:
         out = []
         for data in content:
+            if data is None:
+                out.append((None,) * 6)
+                continue
             sha, n, tail, count, end, hist, size = hashlib.sha256(), 0, b"", 0, 0, np.zeros((3, BINS), np.int64), (0, 0)
-            for f in decode_gif(data):
-                got = f["patch"][..., 0].tobytes()
-                sha.update(got)
-                n, tail, count, end = n + len(got), (tail + got)[-64:], count + 1, f["start_ms"] + f["duration_ms"]
-                hist += np.array([f["hist_r"], f["hist_g"], f["hist_b"]])
-                size = (max(size[0], f["left"] + f["width"]), max(size[1], f["top"] + f["height"]))
+            try:
+                for f in decode_gif(data):
+                    got = f["patch"][..., 0].tobytes()
+                    sha.update(got)
+                    n, tail, count, end = n + len(got), (tail + got)[-64:], count + 1, f["start_ms"] + f["duration_ms"]
+                    hist += np.array([f["hist_r"], f["hist_g"], f["hist_b"]])
+                    size = (max(size[0], f["left"] + f["width"]), max(size[1], f["top"] + f["height"]))
+            except (ValueError, IndexError, struct.error):
+                count = 0
+            if not count:
+                out.append((None, None, None, len(data), hashlib.sha256(data).hexdigest(), None))
+                continue
             feature = f"frames={count};size={size[0]}x{size[1]};ms={end};" + ";".join(f"{c}={','.join(map(str, h))}" for c, h in zip("rgb", hist.tolist(), strict=True))
             out.append((n, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature))
-        return pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        got = pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        return got.astype({"payload_bytes": "Int64", "tail_crc32": "Int64", "media_bytes": "Int64"})
 
     return digest(content)

@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.llm.common import column
 from cellgrid.plans.shared import materialize
 
 # Two odd multipliers of the polynomial hashes, any fixed odd values do.
@@ -177,7 +178,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, an
 
     again, copies = repeated_starts(docs, text_col, window, anchor)
     marks = again.select("key", "starts", F.lit(False).alias("whole")).unionAll(copies.select("key", F.lit(None).cast("array<int>"), F.lit(True)))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    others = [column(c) for c in docs.columns if c != text_col]
     row = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
     rows = docs.select(_text_key(F.col(text_col)).alias("key"), row.alias("row"), _packed(F.col(text_col)).alias("packed"))
     both = rows.join(marks, "key", "left")

@@ -7,10 +7,13 @@ stitches documents that cross blocks, so a file of any size is counted by as man
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +28,35 @@ BLOCK_BYTES = 256 << 10
 BLOCKS_PER_GROUP = 1024
 
 
-def read_token_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks ``(file, block, data)`` of the flat files under a path that Spark can read, each under 2 GB."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / block_bytes).cast("int") - 1, F.lit(0)))
-    at = F.explode(blocks).alias("block")
-    return files.select("file", "content", at).select("file", F.col("block").cast("long"), F.substring("content", F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("data"))
+def read_token_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, seek: bool = True) -> DataFrame:
+    """Blocks ``(file, block, data)`` of the flat files under a path.
+
+    Spark lists files and lengths without their contents; blocks are then dealt to tasks, and each is read by
+    seeking to it, so files may have any length.  Where only Spark's readers reach the store, ``seek=False``
+    has each file read whole by one task: files must be under 2 GB there.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / block_bytes) - 1, F.lit(0).cast("long")))).alias("block")
+    if not seek:
+        blocks = files.select(F.col("path").alias("file"), "content", at)
+        return blocks.select("file", "block", F.substring("content", (F.col("block") * block_bytes + 1).cast("int"), F.lit(block_bytes)).alias("data"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file, block, length in zip(b["file"], b["block"], b["length"], strict=True):
+                system, place = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", quote(file, safe=":/")))
+                with system.open_input_file(place) as f:
+                    data = f.read_at(max(0, min(block_bytes, length - block * block_bytes)), block * block_bytes)
+                yield pd.DataFrame({"file": [file], "block": [block], "data": [data]})
+
+    return files.select(F.col("path").alias("file"), "length", at).repartition("file", "block").mapInPandas(read, "file string, block long, data binary")
 
 
 def tokenize_to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Flat files of 16-bit ids, one for each task, as blocks ``(file, block, data, ids)``.
 
     ids are the ids of the documents that end in the block, in order: a label beside the flat data that
-    the scan does not use.  Null text has no tokens but a separator.  A text that names the separator in
+    the scan does not use.  An id of ``IN_TEXT`` or more is an error.  Null text has no tokens but a separator.  A text that names the separator in
     full has its identifier as an ordinary one, written as ``IN_TEXT``.
     """
 
@@ -53,6 +72,8 @@ def tokenize_to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for doc, text, part in zip(b["doc_id"].astype("Int64"), b["text"], b["part"], strict=True):
                 name = f"tokens-{part:06d}"
                 found = token_ids(text, path)
+                if found.max(initial=0) >= IN_TEXT:
+                    raise ValueError(f"{tokenizer} has ids that 16 bits don't hold")
                 data = np.append(np.where(found == END_OF_DOCUMENT, IN_TEXT, found), END_OF_DOCUMENT).astype("<u2").tobytes()
                 held += data
                 total += len(data)

@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
+from pathlib import Path
 from urllib.parse import quote
 
 import pandas as pd
@@ -180,10 +182,18 @@ def find_record(bundles: DataFrame, page_id: int) -> DataFrame:
 
 
 def export(bundles: DataFrame, folder: str) -> list[str]:
-    """Write each bundle as ``<bundle>.warc.zst`` in a folder of the driver, one at a time; for tools that want files."""
-    out = []
-    for row in bundles.select("bundle", "content").toLocalIterator():
-        out.append(f"{folder}/{row['bundle']}.warc.zst")
-        with open(out[-1], "wb") as f:
-            f.write(row["content"])
-    return out
+    """Write each bundle as ``<bundle>.warc.zst`` in a folder that all executors mount, from the executors; their names.
+
+    A file gets its name only once it is whole, and a bundle is named by its content, so tasks may be repeated.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            names = [f"{folder}/{name}.warc.zst" for name in b["bundle"]]
+            for name, content in zip(names, b["content"], strict=True):
+                part = Path(f"{name}.{uuid.uuid4().hex}")
+                part.write_bytes(content)
+                part.replace(name)
+            yield pd.DataFrame({"path": names})
+
+    return [r["path"] for r in bundles.select("bundle", "content").mapInPandas(write, "path string").toLocalIterator()]

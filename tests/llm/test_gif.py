@@ -118,6 +118,22 @@ def test_interlace():
     assert shown(frame, 1) == [[RED, GREEN, BLUE, WHITE][i] for i in rows]
 
 
+def test_hostile_headers_take_no_memory(spark):
+    """A canvas or a frame of four thousand million pixels, and a code stream far longer than its frame."""
+    canvas = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b","
+    frame = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0, 0, 0) + struct.pack("<BHHHHBB", 0x2C, 0, 0, 65535, 65535, 0, 8) + b"\0;"
+    bomb = media_gif.encode_gif(bytes(1 << 20)).replace(struct.pack("<HHB", 64, 4096, 0), struct.pack("<HHB", 4, 4, 0))
+    assert len(media_gif.lzw_decode(media_gif.lzw_encode(bytes(1 << 24)), 8, 16)) < 1 << 23
+    good = gif((2, 1), [{"at": (0, 0, 2, 1), "px": [0, 3], "delay": 3}] * 2, PALETTE)
+    files = [canvas, frame, bomb, good[:-1] + b"\x99", None, b"", b"no gif"]
+    media = spark.createDataFrame([(i, None if f is None else bytearray(f)) for i, f in enumerate(files)], "a long, content binary").withColumnRenamed("a", "a`b")
+    got = sorted((r["row"]["a`b"], r["frame"]) for r in media_gif.frames(media).collect())
+    assert got == [(0, -1), (1, -1), *((2, i) for i in range(4)), (3, -1), (3, 0), (3, 1), (5, -1), (6, -1)]
+    digests = media.select("*", media_gif.media_digest(media["content"]).alias("d")).select("content", "d.*").collect()
+    assert [r["payload_bytes"] is not None for r in digests] == [False, False, True, False, False, False, False]
+    assert all(r["media_bytes"] == (None if r["content"] is None else len(r["content"])) for r in digests)
+
+
 def test_frames_table(spark):
     good = gif((2, 1), [{"at": (0, 0, 2, 1), "px": [0, 3], "delay": 3}] * 2, PALETTE)
     rows = [(1, bytearray(good), "a"), (2, None, "b"), (3, bytearray(b"no gif"), "c"), (4, bytearray(good[:40]), "d"), (1, bytearray(good), "a"), (5, bytearray(), "e")]

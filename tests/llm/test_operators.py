@@ -218,6 +218,8 @@ def test_separator_scan(spark, tmp_path, group):
             want.add((name, 2, at, 3))
         flat.astype("<u2").tofile(tmp_path / name)
     blocks = token_files.read_token_files(spark, str(tmp_path), block_bytes=64)
+    whole = token_files.read_token_files(spark, str(tmp_path), block_bytes=64, seek=False)
+    assert Counter(map(str, blocks.collect())) == Counter(map(str, whole.collect()))
     got = token_files.count_tokens(blocks, eod=0, blocks_per_group=group).collect()
     assert {(r["file"].rpartition("/")[2], r["nth"], r["start"], r["n_tokens"]) for r in got} == want
     assert len(got) == len(want)
@@ -238,6 +240,25 @@ def test_document_tokens_with_the_separator_inside(spark):
     assert got == {i: len(tokens.token_ids(t, tokens.vocabulary())) for i, t in enumerate(texts)}
 
 
+def test_ids_beyond_16_bits_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "IN_TEXT", 50)
+    with pytest.raises(Exception, match="16 bits"):
+        token_files.tokenize_to_blocks(spark.createDataFrame([(1, "some words")], "doc_id long, text string")).collect()
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t ", "a", "7", "!?", "\u00a0"])
+def test_very_long_runs(spark, tmp_path, run):
+    """A run of one class of characters exhausts neither library: the queries give the slower library's ids."""
+    long = f"before {run * (1_500_000 // len(run))} after"
+    ids = tokens._libraries(tokens.vocabulary())[0].encode(long, add_special_tokens=False).ids
+    spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_tokens"] for r in queries.op3_token_counts(spark, str(tmp_path)).collect()}
+    assert got[1] == len(ids)
+    pieces = sorted((r["start"], r["length"], r["ids_crc32"]) for r in queries.op9_best_fit_packing(spark, str(tmp_path)).where("doc_id = 1").collect())
+    whole = np.array([*ids, 2], "<u4")
+    assert pieces == [(a, n, zlib.crc32(whole[a : a + n].tobytes())) for a, n in packing.cut_points(len(whole), 1024)]
+
+
 def test_tokens_in_small_blocks(odd, odd_rows):
     blocks = token_files.tokenize_to_blocks(odd, block_bytes=128).cache()
     got = token_files.count_tokens(blocks, blocks_per_group=3)
@@ -368,6 +389,13 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.where("false"), url_filter.rule_table(spark, RULES)).collect() == []
 
 
+def test_a_host_of_many_labels(spark):
+    """Suffixes are as many as the rules' hosts have different numbers of labels, not as the URL's host has."""
+    url = "http://" + "a." * 100_000 + "www.example.com/en/x"
+    got = url_filter.judge_urls(spark.createDataFrame([(1, url)], "page_id long, url string"), url_filter.rule_table(spark, RULES[:5])).collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [("www.example.com/en/", "allow")]
+
+
 # 7 -------------------------------------------------------------------------------------------------
 
 
@@ -386,6 +414,14 @@ def test_line_dedup(odd, odd_rows, empty):
     assert line_dedup.drop_boilerplate(empty).collect() == []
 
 
+def test_line_dedup_by_host(spark):
+    """Pages grouped by their URL's host, as the odd rows are by source."""
+    rows = [(i, f"HTTP://{'ab'[i % 2]}.org/{i}" if i % 9 else None, f"menu {i % 2 if i % 9 else 'x'}\nline {i}\nfoot") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = line_dedup.drop_boilerplate(pages, text_col="html", site=url_filter.url_host(pages["url"]))
+    assert {r["row"]["page_id"]: r["kept_text"] for r in got.collect()} == {i: f"line {i}" for i, _, _ in rows}
+
+
 # 8 -------------------------------------------------------------------------------------------------
 
 
