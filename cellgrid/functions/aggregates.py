@@ -75,11 +75,12 @@ def minmaximum(v, i) -> list[Column]:
 
 
 def medover(v) -> Column:
+    """Median, for groups whose distinct values fit in a task (``sequences.medover`` has no such bound)."""
     return F.median(_c(v))
 
 
 def pctover(v, p: float) -> Column:
-    """Percentile, linear between neighbours at place (n - 1) p; p is clamped to 0..1."""
+    """Percentile, linear between neighbours at place (n - 1) p; p is clamped to 0..1; bounded as ``medover``."""
     return F.percentile(_c(v), min(1.0, max(0.0, p)))
 
 
@@ -149,6 +150,6 @@ def canreduce(name: str) -> bool:
     return name in REDUCE
 
 
-def reduce(name: str, v) -> Column:
-    """A reduction by name, as a user of the array language writes it."""
-    return REDUCE[name](v)
+def reduce(name, v) -> Column:
+    """A reduction by name, as a user of the array language writes it, or by a function from a column to an aggregate."""
+    return name(_c(v)) if callable(name) else REDUCE[name](v)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -12,50 +11,144 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STEPS = 400
+# From here on, if it is also twice the order squared, Bessel functions are their expansion for large arguments.
+FAR = 1000.0
+CELLS = 1 << 21
+Function = Callable[[np.ndarray], np.ndarray]
 
 
-def _batched(f: Callable[[float], float]) -> Callable[[Column], Column]:
+def _or_nan(x: Column, value: Column) -> Column:
+    """Missing where x is; what pandas hands back as missing elsewhere is NaN."""
+    return F.when(x.isNotNull(), F.coalesce(value, F.lit(math.nan)))
+
+
+def _batched(f: Function) -> Callable[[Column], Column]:
+    """A numpy function as a Column function over Arrow batches; NaN stays NaN and missing cells missing."""
+
     def of(x: Column) -> Column:
         @F.pandas_udf("double")
         def each(v: pd.Series) -> pd.Series:
-            return v.astype("float64").map(f, na_action="ignore")
+            a = v.to_numpy(np.float64, na_value=np.nan)
+            with np.errstate(all="ignore"):
+                return pd.Series(f(a))
 
-        return each(x.cast("double"))
+        return _or_nan(x, each(x.cast("double")))
 
     return of
 
 
-def _normal_quantile(p: float) -> float:
-    return NormalDist().inv_cdf(p) if 0 < p < 1 else {0.0: -math.inf, 1.0: math.inf}.get(p, math.nan)
-
-
-erf = _batched(math.erf)
-erfc = _batched(math.erfc)
+def _erf(x: np.ndarray) -> np.ndarray:
+    """The error function: its series of positive terms near 0, the complement beyond."""
+    near = np.abs(x) < 3
+    a = np.where(near, x, 0.0)
+    term = total = a.copy()
+    for k in range(1, 90):
+        term = term * 2 * a * a / (2 * k + 1)
+        total = total + term
+    series = 2 / math.sqrt(math.pi) * np.exp(-a * a) * total
+    return np.where(near, series, np.sign(x) * (1 - _far_erfc(np.abs(x))))
+
+
+def _far_erfc(x: np.ndarray) -> np.ndarray:
+    """The complement from 3 on, by its continued fraction from the far end."""
+    x = np.where(x < 3, 3.0, x)
+    below = np.zeros_like(x)
+    for k in range(80, 0, -1):
+        below = k / 2 / (x + below)
+    return np.where(np.isinf(x), 0.0, np.exp(-x * x) / math.sqrt(math.pi) / (x + below))
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return np.where(x >= 3, _far_erfc(x), 1 - _erf(np.where(x >= 3, 0.0, x)))
+
+
+def _normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Newton's method in the smaller tail, from the quantile's leading term; infinite at 0 and 1, NaN beyond."""
+    q = np.minimum(p, 1 - p)
+    inside = (q > 0) & (q < 0.5)
+    t = np.where(inside, q, 0.25)
+    x = np.sqrt(-2 * np.log(2 * t))
+    for _ in range(60):
+        tail = _erfc(x / math.sqrt(2)) / 2
+        slope = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        step = (tail - t) / slope
+        x = x + step / (1 - x * step / 2)
+    out = np.where(inside, np.where(p < 0.5, -x, x), np.where(q == 0.5, 0.0, np.where(p == 0, -np.inf, np.where(p == 1, np.inf, np.nan))))
+    return np.where(np.isnan(p), np.nan, out)
+
+
+erf = _batched(_erf)
+erfc = _batched(_erfc)
 ndtri = _batched(_normal_quantile)
 erfi = _batched(lambda y: _normal_quantile((y + 1) / 2) / math.sqrt(2))
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log |gamma|: Stirling's series from 15 on, the recurrence up to there, reflection below 1/2; infinite at the poles."""
+    up = np.where(x < 0.5, 1 - x, x)
+    shift, moved = np.zeros_like(up), up.copy()
+    for _ in range(15):
+        low = moved < 15
+        shift = shift + np.where(low, np.log(np.where(low, moved, 1.0)), 0.0)
+        moved = moved + low
+    inverse, square = 1 / moved, 1 / (moved * moved)
+    series = inverse * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square * (1 / 1680 - square / 1188))))
+    value = (moved - 0.5) * np.log(moved) - moved + math.log(2 * math.pi) / 2 + series - shift
+    reflected = np.where(x < 0.5, math.log(math.pi) - np.log(np.abs(np.sin(math.pi * np.fmod(x, 2)))) - value, value)
+    return np.where((x <= 0) & (x == np.floor(x)) | np.isinf(x), np.inf, reflected)
+
+
 def lgamma(x: Column) -> Column:
     """Struct of log |gamma| and gamma's sign."""
+    x = x.cast("double")
+    whole = x == F.floor(x)
+    sign = F.when((x > 0) | whole | (F.pmod(F.floor(x), F.lit(2)) == 0), 1).otherwise(-1)
+    return F.struct(_batched(_log_gamma)(x).alias("value"), F.when(x.isNotNull(), sign).alias("sign"))
+
+
+def _in_parts(x: np.ndarray, steps: int, f: Function) -> np.ndarray:
+    """f over parts of x of which the work, steps for each value, fits in CELLS."""
+    rows = max(1, CELLS // steps)
+    return np.concatenate([f(x[lo : lo + rows]) for lo in range(0, len(x), rows)]) if len(x) else x
 
-    @F.pandas_udf("value double, sign int")
-    def each(v: pd.Series) -> pd.DataFrame:
-        out = [(None, None) if pd.isna(a) else (math.inf, 1) if a <= 0 and a == int(a) else (math.lgamma(a), 1 if a > 0 or math.floor(a) % 2 == 0 else -1) for a in v]
-        return pd.DataFrame(out, columns=["value", "sign"])
 
-    return each(x.cast("double"))
+def _expansion(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bessel functions of both kinds far from 0, by the terms of the large-argument expansion down to the smallest."""
+    mu, term = 4 * n * n, np.ones_like(x)
+    p, q = np.ones_like(x), np.zeros_like(x)
+    for k in range(1, 12):
+        term = term * (mu - (2 * k - 1) ** 2) / (k * 8 * x)
+        part = term * (-1) ** (k // 2)
+        p, q = (p, q + part) if k % 2 else (p + part, q)
+    angle = x - (n / 2 + 0.25) * math.pi
+    size = np.sqrt(2 / (math.pi * x))
+    return size * (p * np.cos(angle) - q * np.sin(angle)), size * (p * np.sin(angle) + q * np.cos(angle))
 
 
 def _bessel_j(x: np.ndarray, n: int) -> np.ndarray:
-    """Bessel's integral over half a turn, by the midpoint rule, which converges geometrically here."""
-    steps = STEPS + 4 * int(np.nanmax(np.abs(x), initial=0.0)) + 4 * abs(n)
+    """Bessel's integral over half a turn, by the midpoint rule, which converges geometrically here; an expansion far out."""
+    limit = max(FAR, 2.0 * n * n)
+    far = np.abs(x) > limit
+    steps = STEPS + 4 * int(np.abs(np.where(far, 0.0, x)).max(initial=0.0)) + 4 * abs(n)
     t = (np.arange(steps) + 0.5) * math.pi / steps
-    return np.cos(n * t[None, :] - x[:, None] * np.sin(t)[None, :]).mean(axis=1)
+    near = _in_parts(np.where(far, 0.0, x), steps, lambda a: np.cos(n * t[None, :] - a[:, None] * np.sin(t)[None, :]).mean(axis=1))
+    sign = np.where((x < 0) & (n % 2 != 0), -1.0, 1.0)
+    return np.where(np.isinf(x), 0.0, np.where(far, sign * _expansion(np.where(far & np.isfinite(x), np.abs(x), limit), n)[0], near))
 
 
 def _bessel_y(x: np.ndarray, n: int) -> np.ndarray:
-    """The integral for the second kind: an oscillating part and a decaying tail, by Gauss-Legendre."""
-    nodes, weights = np.polynomial.legendre.leggauss(STEPS)
+    """The integral for the second kind: an oscillating part and a decaying tail, by Gauss-Legendre; an expansion far out."""
+    limit = max(FAR, 2.0 * n * n)
+    far = x > limit
+    y = np.where(far, _expansion(np.where(far & np.isfinite(x), x, limit), n)[1], 0.0)
+    x = np.where(far, 1.0, x)
+    steps = STEPS + int(np.where(x > 0, x, 0.0).max(initial=0.0)) + abs(n)
+    nodes, weights = np.polynomial.legendre.leggauss(min(steps, 2000))
+    near = _in_parts(x, len(nodes), lambda a: _near_bessel_y(a, n, nodes, weights))
+    return np.where(far, y, near)
+
+
+def _near_bessel_y(x: np.ndarray, n: int, nodes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     t = (nodes + 1) * math.pi / 2
     first = (np.sin(x[:, None] * np.sin(t) - n * t) * weights).sum(axis=1) / 2
     with np.errstate(all="ignore"):
@@ -70,13 +163,12 @@ def _bessel(kind: Callable[[np.ndarray, int], np.ndarray], n: int) -> Callable[[
     def of(x: Column) -> Column:
         @F.pandas_udf("double")
         def each(v: pd.Series) -> pd.Series:
-            a, out = v.to_numpy(np.float64), np.full(len(v), np.nan)
-            for lo in range(0, len(a), 512):
-                part = a[lo : lo + 512]
-                out[lo : lo + 512] = kind(np.nan_to_num(part), n)
-            return pd.Series(out).where(v.notna().to_numpy(), None)
+            a = v.to_numpy(np.float64, na_value=np.nan)
+            with np.errstate(all="ignore"):
+                out = np.where(np.isnan(a), np.nan, kind(np.nan_to_num(a, posinf=np.inf, neginf=-np.inf), n))
+            return pd.Series(out)
 
-        return each(x.cast("double"))
+        return _or_nan(x, each(x.cast("double")))
 
     return of
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,42 @@ def ones(spark: SparkSession, shape: list[int], dtype: str = "double") -> DataFr
     return _filled(spark, shape, F.lit(1).cast(dtype))
 
 
+def constant(spark: SparkSession, shape: list[int], value: float, dtype: str = "double") -> DataFrame:
+    """Cells of one value, NaN or an infinity as well."""
+    return _filled(spark, shape, F.lit(value).cast(dtype))
+
+
+def empty(spark: SparkSession, dims: int = 1, dtype: str = "double") -> DataFrame:
+    """An array without cells."""
+    return spark.createDataFrame([], ", ".join([*(f"i{k} long" for k in range(dims)), f"v {dtype}"]))
+
+
+def literal(spark: SparkSession, values: list, undef: float = 0.0) -> DataFrame:
+    """Cells of a nested list, the innermost lists along the first dimension; short ones are filled with ``undef``, None is missing."""
+    depth, level = 0, values
+    while isinstance(level, list):
+        depth, level = depth + 1, next((x for x in level if isinstance(x, list)), level[0] if level else 0.0)
+    sizes = [0] * depth
+
+    def measure(part: list, k: int) -> None:
+        sizes[k] = max(sizes[k], len(part))
+        for x in part:
+            if isinstance(x, list):
+                measure(x, k + 1)
+
+    measure(values, 0)
+
+    def rows(part: object, k: int, at: tuple) -> Iterator[tuple]:
+        if k == depth:
+            yield *reversed(at), None if part is None else float(part)
+        else:
+            held = part if isinstance(part, list) else [part]
+            for n in range(sizes[k]):
+                yield from rows(held[n] if n < len(held) else [] if k + 1 < depth else undef, k + 1, (*at, n))
+
+    return spark.createDataFrame(list(rows(values, 0, ())), ", ".join([*(f"i{k} long" for k in range(depth)), "v double"]))
+
+
 def sequence(spark: SparkSession, shape: list[int], dtype: str = "double") -> DataFrame:
     return _filled(spark, shape, F.col("id").cast(dtype))
 
@@ -63,6 +100,11 @@ def random(spark: SparkSession, shape: list[int], seed: int = 0, normal: bool =
     return _filled(spark, shape, F.randn(seed) if normal else F.rand(seed))
 
 
+def randsym(spark: SparkSession, shape: list[int], seed: int = 0) -> DataFrame:
+    """Uniform strictly between 0 and 1."""
+    return _filled(spark, shape, (F.floor(F.rand(seed) * float(1 << 52)) + 0.5) / float(1 << 52))
+
+
 def identity(spark: SparkSession, n: int) -> DataFrame:
     return _filled(spark, [n, n], (F.col("i0") == F.col("i1")).cast("double"))
 

@@ -28,18 +28,24 @@ def histogram(df: DataFrame, v: str, step: float, low: float, bins: int, weight:
 
 
 def histogram2d(df: DataFrame, a: str, b: str, steps: tuple, lows: tuple, bins: tuple, weight: str | None = None, out: str = "hist") -> DataFrame:
-    good = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    """``(bin_a, bin_b, hist)``; cells missing or NaN in either are left out."""
+    good = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double")))
     keys = [bin_of(F.col(c), s, lo, n).alias(name) for c, s, lo, n, name in zip((a, b), steps, lows, bins, ("bin_a", "bin_b"), strict=True)]
     sums = good.groupBy(*keys).agg((F.sum(weight) if weight else F.count("*")).alias(out))
     return _filled(df, sums, {"bin_a": bins[0], "bin_b": bins[1]}, out, [])
 
 
 def hist(df: DataFrame, v: str, low: float | None = None, high: float | None = None, step: float | None = None, weight: str | None = None) -> DataFrame:
-    """``(centre, bin, hist)`` with limits and step taken from the data where they are not given."""
-    lo, hi, n = df.agg(F.min(v), F.max(v), F.count(v)).first()
+    """``(centre, bin, hist)`` with limits and step taken from the data where they are not given, by one job.
+
+    Without a good value there is one bin around 0, or around the limits given, that holds nothing.
+    """
+    number = F.when(~F.isnan(F.col(v).cast("double")), F.col(v))
+    lo, hi, n = df.agg(F.min(number), F.max(number), F.count(number)).first()
+    lo, hi = (0.0, 0.0) if not n else (lo, hi)
     low, high = lo if low is None else low, hi if high is None else high
     if step is None:
-        step = (high - low) / min(100, math.sqrt(n)) or 1.0
+        step = (high - low) / min(100, math.sqrt(max(1, n))) or 1.0
     bins = max(1, int((high - low) / step + 0.5))
     found = histogram(df, v, step, low, bins, weight)
     return found.select((F.lit(low) + (F.col("bin") + 0.5) * step).alias("centre"), "bin", "hist")

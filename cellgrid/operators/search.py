@@ -1,8 +1,8 @@
 """Search in sorted knots and interpolation, as as-of joins: a union, and running windows over it.
 
 No probe meets more than its own neighbours.  With ``by`` every group has knots of its own; without, the
-knots are one vector: probes are then dealt into ranges of the value, and the running state of one range
-is carried into the next from one summary row per range.
+knots are one vector: knots and probes are then dealt into ranges of the value, as many as there are shuffle
+partitions, and the running state of one range is carried into the next from one summary row per range.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
-
+from cellgrid.operators import ranged
+from cellgrid.plans.shared import materialize
 
 def _running(knots: DataFrame, x: str, payload: list[str], probes: DataFrame, v: str, by: list[str], inclusive: bool) -> DataFrame:
     """Probe rows with ``_below``, the knots before them, and ``_left``, the payload of the last one."""
@@ -21,23 +21,17 @@ def _running(knots: DataFrame, x: str, payload: list[str], probes: DataFrame, v:
     k = knots.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), kind.alias("_o"), F.struct(*[F.col(c) for c in [x, *payload]]).alias("_knot"), F.lit(None).cast(probes.select(F.struct("*")).schema[0].dataType).alias("_probe"))
     p = probes.select(*by, F.col(v).cast("double").alias("_x"), F.lit(0 if not inclusive else 1).alias("_o"), F.lit(None).cast(k.schema["_knot"].dataType).alias("_knot"), F.struct("*").alias("_probe"))
     both = k.unionAll(p)
+    run = lambda keys: Window.partitionBy(*keys).orderBy("_x", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    seen = lambda w: {"_below": F.count("_knot").over(w), "_left": F.last("_knot", ignorenulls=True).over(w)}
     if by:
-        part, keys = both, by
-    else:
-        # limits of the ranges from the probes' approximate quantiles; equal values always share a range
-        cuts = sorted(set(p.approxQuantile("_x", [i / RANGES for i in range(1, RANGES)], 0.01)))
-        where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_x"))) if cuts else F.lit(0)
-        part, keys = both.withColumn("_r", where), ["_r"]
-    w = Window.partitionBy(*keys).orderBy("_x", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    run = part.withColumns({"_below": F.count("_knot").over(w), "_left": F.last("_knot", ignorenulls=True).over(w)}).where("_probe is not null")
-    if by:
-        return run
-    whole = part.where("_knot is not null").groupBy("_r").agg(F.count("*").alias("_n"), F.max_by("_knot", "_x").alias("_k"))
-    prior = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
-    frame = both.sparkSession.range(RANGES).select(F.col("id").cast("int").alias("_r")).join(whole, "_r", "left")
-    carried = frame.select("_r", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_n0"), F.last("_k", ignorenulls=True).over(prior).alias("_k0"))
-    joined = run.join(F.broadcast(carried), "_r")  # RANGES rows
-    return joined.withColumns({"_below": F.col("_below") + F.col("_n0"), "_left": F.coalesce("_left", "_k0")}).drop("_r", "_n0", "_k0")
+        return both.withColumns(seen(run(by))).where("_probe is not null")
+    # equal values may lie in several ranges, as their order goes on with a hash of the row
+    part = ranged.ranges(both, ["_x", "_o", F.xxhash64("_knot", "_probe")])
+    latest = F.max_by("_knot", F.when(F.col("_knot").isNotNull(), F.struct("_x", F.xxhash64("_knot", "_probe"))))
+    sums = part.groupBy("_r").agg(F.struct(F.count("_knot").alias("n"), latest.alias("k")).alias("_t"))
+    prior = ranged.carried(sums, lambda a, b: (a[0] + b["n"], b["k"] or a[1]), (0, None), "_r")
+    joined = part.withColumns(seen(run(["_r"]))).where("_probe is not null").join(prior, "_r")
+    return joined.withColumns({"_below": F.col("_below") + F.col("_before.n"), "_left": F.coalesce("_left", "_before.k")}).drop("_r", "_before")
 
 
 def vsearch(knots: DataFrame, x: str, probes: DataFrame, v: str, mode: str = "sample", by: list[str] | None = None, out: str = "found") -> DataFrame:
@@ -48,12 +42,11 @@ def vsearch(knots: DataFrame, x: str, probes: DataFrame, v: str, mode: str = "sa
     bin_exclusive: the bin whose left edge is at or below it, or below it, -1 under all edges.
     """
     by = by or []
-    inclusive = mode in ("insert_rightmost", "bin_inclusive")
+    inclusive = mode in ("insert_rightmost", "bin_inclusive", "match")
     run = _running(knots, x, [], probes, v, by, inclusive)
     below = F.col("_below")
     if mode == "match":
-        after = _running(knots, x, [], probes, v, by, True)
-        hit = after.withColumn(out, F.when(F.col(f"_left.{x}").cast("double") == F.col("_x"), F.col("_below") - 1).otherwise(-F.col("_below") - 1))
+        hit = run.withColumn(out, F.when(F.col(f"_left.{x}").cast("double") == F.col("_x"), F.col("_below") - 1).otherwise(-F.col("_below") - 1))
         return hit.select("_probe.*", F.col(out).cast("long"))
     if mode == "sample":
         sizes = knots.groupBy(*by).agg((F.count(x) - 1).alias("_last"))
@@ -68,14 +61,34 @@ def vsearch(knots: DataFrame, x: str, probes: DataFrame, v: str, mode: str = "sa
     return run.select("_probe.*", found.cast("long").alias(out))
 
 
+def vsearchvec(knots: DataFrame, columns: list[str], probes: DataFrame, wanted: list[str], out: str = "found") -> DataFrame:
+    """Place of each vector among sorted distinct ones: an equal one's, else where it would go in.
+
+    Vectors are held in columns of one type and compare lexicographically; ``knots`` need not be ordered.
+    """
+    kind = probes.select(F.struct("*")).schema[0].dataType
+    key = lambda names: F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(names)])
+    k = knots.select(key(columns).alias("_x"), F.lit(1).alias("_o"), F.lit(None).cast(kind).alias("_probe")).distinct()
+    p = probes.select(key(wanted).alias("_x"), F.lit(0).alias("_o"), F.struct("*").alias("_probe"))
+    held = ranged.ranges(k.unionAll(p), ["_x", "_o", F.xxhash64("_probe")])
+    prior = ranged.carried(held.groupBy("_r").agg(F.sum("_o").alias("_t")), lambda a, b: a + b, 0, "_r")
+    w = Window.partitionBy("_r").orderBy("_x", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    run = held.withColumn("_n", F.sum("_o").over(w)).where("_probe is not null").join(prior, "_r")
+    return run.select("_probe.*", (F.col("_n") + F.col("_before")).alias(out))
+
+
 def interpolate(knots: DataFrame, x: str, y: str, probes: DataFrame, v: str, by: list[str] | None = None, out: str = "yi") -> DataFrame:
     """Linear interpolation; outside the knots the end segments are extended and ``err`` is 1."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy(x)
-    spans = knots.select(*by, x, y, F.lead(x).over(w).alias("_x1"), F.lead(y).over(w).alias("_y1"), F.lag(x).over(w).alias("_x0"), F.lag(y).over(w).alias("_y0"))
+    near = {"_x1": (x, 1), "_y1": (y, 1), "_x0": (x, -1), "_y0": (y, -1)}
+    if by:
+        w = Window.partitionBy(*by).orderBy(x)
+        spans = knots.select(*by, x, y, *[(F.lead(c, 1) if k > 0 else F.lag(c, 1)).over(w).alias(n) for n, (c, k) in near.items()])
+    else:
+        spans = materialize(ranged.neighbours(ranged.indexed(knots.select(x, y), [x]), "_i", near), "knots")
     ends = knots.groupBy(*by).agg(F.min(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_first"), F.max(x).alias("_hi"))
-    second = spans.where("_x0 is null").select(*by, F.col("_x1").alias("_sx"), F.col("_y1").alias("_sy"))
-    ends = ends.join(second, by) if by else ends.crossJoin(second)  # one row each
+    second = spans.where("_x0 is null" if by else "_i = 0").select(*by, F.col("_x1").alias("_sx"), F.col("_y1").alias("_sy"))
+    ends = ends.join(second, by) if by else ends.crossJoin(F.broadcast(second))  # one row each
     run = _running(spans, x, [y, "_x1", "_y1", "_x0", "_y0"], probes, v, by, True)
     run = run.join(ends, by) if by else run.crossJoin(F.broadcast(ends))
     under, top = F.col("_left").isNull(), F.col("_left._x1").isNull()

@@ -26,6 +26,29 @@ def where(df: DataFrame, mask: Column) -> DataFrame:
     return df.where(true_mask(mask))
 
 
+def where_both(df: DataFrame, mask: Column) -> tuple[DataFrame, DataFrame]:
+    """The cells where the mask is true, and all others."""
+    return df.where(true_mask(mask)), df.where(~true_mask(mask))
+
+
+def which_nd(df: DataFrame, mask: Column, dims: list[str]) -> DataFrame:
+    """Coordinates of the true cells, a column for each dimension."""
+    return df.where(true_mask(mask)).select(*dims)
+
+
+def which_nd_both(df: DataFrame, mask: Column, dims: list[str]) -> tuple[DataFrame, DataFrame]:
+    return which_nd(df, mask, dims), df.where(~true_mask(mask)).select(*dims)
+
+
+def where_nd(df: DataFrame, mask: DataFrame, dims: list[str], m: str = "v") -> DataFrame:
+    """Cells of a larger array whose leading coordinates are true in a mask array ``(dims..., m)``: a semi join."""
+    return df.join(mask.where(true_mask(F.col(m))).select(*dims), dims, "left_semi")
+
+
+def where_nd_both(df: DataFrame, mask: DataFrame, dims: list[str], m: str = "v") -> tuple[DataFrame, DataFrame]:
+    return where_nd(df, mask, dims, m), df.join(mask.where(true_mask(F.col(m))).select(*dims), dims, "left_anti")
+
+
 def whichover(df: DataFrame, by: list[str], mask: Column, i: str, size: int | None = None) -> DataFrame:
     """For each group an array of the true indices in order, padded with -1 to the dimension's size.
 
@@ -103,6 +126,36 @@ def xchg(df: DataFrame, i: str, j: str) -> DataFrame:
     return df.withColumns({i: F.col(j), j: F.col(i)})
 
 
+def reorder(df: DataFrame, dims: list[str], order: list[int]) -> DataFrame:
+    """Dimension k becomes the one that was ``order[k]``."""
+    return df.withColumns({d: F.col(dims[o]) for d, o in zip(dims, order, strict=True)})
+
+
+def mv(df: DataFrame, dims: list[str], source: int, to: int) -> DataFrame:
+    """A dimension moved to another place, those between shifted by one; negative places count from the end."""
+    order = list(range(len(dims)))
+    order.insert(to % len(dims), order.pop(source % len(dims)))
+    return reorder(df, dims, order)
+
+
+def squeeze(df: DataFrame, shape: dict[str, int]) -> DataFrame:
+    """Without the dimensions of size 1."""
+    return df.drop(*[d for d, n in shape.items() if n == 1])
+
+
+def using(df: DataFrame, i: str, places: list[int]) -> list[DataFrame]:
+    """The cells at each of some places of a dimension, as an array of its own."""
+    return [df.where(F.col(i) == p).drop(i) for p in places]
+
+
+def setbadat(df: DataFrame, dims: list[str], place: list[int], v: str) -> DataFrame:
+    """One cell made missing."""
+    hit = F.lit(True)
+    for d, p in zip(dims, place, strict=True):
+        hit = hit & (F.col(d) == p)
+    return df.withColumn(v, F.when(~hit, F.col(v)))
+
+
 def clump(df: DataFrame, i: str, j: str, size: int, out: str = "i0") -> DataFrame:
     flat = (F.col(i) + F.col(j) * size).cast("long")
     return df.withColumn("_f", flat).drop(i, j).withColumnRenamed("_f", out)
@@ -121,6 +174,28 @@ def dup(df: DataFrame, i: str, size: int, times: int) -> DataFrame:
     return dummy(df, times, "_t").withColumn(i, F.col(i) + F.col("_t") * size).drop("_t")
 
 
+def dup_n(df: DataFrame, dims: dict[str, tuple[int, int]]) -> DataFrame:
+    """Repeated along several dimensions, given as ``name: (size, times)``."""
+    for i, (size, times) in dims.items():
+        df = dup(df, i, size, times)
+    return df
+
+
+def inflate_n(df: DataFrame, dims: dict[str, int]) -> DataFrame:
+    """Each cell blown up to a block, of ``name: times`` along each dimension."""
+    for i, times in dims.items():
+        df = dummy(df, times, "_t").withColumn(i, F.col(i) * times + F.col("_t")).drop("_t")
+    return df
+
+
+def glue(parts: list[DataFrame], i: str, sizes: list[int]) -> DataFrame:
+    """Parts behind one another on a dimension: side by side (augment) on the first, below one another (stack) on the second."""
+    whole, at = parts[0], sizes[0]
+    for p, n in zip(parts[1:], sizes[1:], strict=True):
+        whole, at = append(whole, p, i, at), at + n
+    return whole
+
+
 def append(a: DataFrame, b: DataFrame, i: str, size_a: int) -> DataFrame:
     """b behind a on one dimension."""
     return a.unionByName(b.withColumn(i, F.col(i) + size_a))
@@ -155,6 +230,12 @@ def squaretotri(df: DataFrame, i: str, j: str, v: str) -> DataFrame:
     return df.where(F.col(i) <= F.col(j)).select((F.col(j) * (F.col(j) + 1) / 2 + F.col(i)).cast("long").alias("i0"), v)
 
 
+def tritosquare(tri: DataFrame, v: str) -> DataFrame:
+    """A packed lower triangle ``(i0, v)`` as cells ``(i, j, v)``; the other half is absent."""
+    j = F.floor((F.sqrt(8 * F.col("i0") + 1) - 1) / 2)
+    return tri.select((F.col("i0") - F.floor(j * (j + 1) / 2)).cast("long").alias("i"), j.cast("long").alias("j"), v)
+
+
 def tritosym(df: DataFrame, i: str, j: str, v: str) -> DataFrame:
     """Both halves from the lower triangle."""
     low = df.where(F.col(i) <= F.col(j)).select(i, j, v)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import math
+import warnings
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrid.operators import ranged
 from cellgrid.operators.graph import connected_components
 
+# Cells of a tile's side: a task holds a tile and its surroundings.
+TILE = 128
+
 
 def _fourier(kind: str, re: Column, im: Column) -> Column:
     @F.pandas_udf("re array<double>, im array<double>")
@@ -72,6 +80,59 @@ def fftconvolve(x: Column, kernel: Column) -> Column:
     return of(x, kernel)
 
 
+# long vectors and arrays as cells --------------------------------------------------------------------
+
+
+def _axis_dft(cells: DataFrame, by: list[str], i: str, inverse: bool) -> DataFrame:
+    """Transform along one dimension ``i`` of complex cells ``(by, i, re, im)``: a group's vector is one task's row."""
+    packed = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(i).cast("long").alias("i"), "re", "im"))).alias("z"))
+    kind = "ifft" if inverse else "fft"
+    done = packed.select(*by, _fourier(kind, F.col("z.re"), F.col("z.im")).alias("w"))
+    return done.select(*by, F.posexplode(F.arrays_zip(F.col("w.re").alias("re"), F.col("w.im").alias("im"))).alias(i, "z")).select(*by, F.col(i).cast("long").alias(i), "z.re", "z.im")
+
+
+def fft_cells(cells: DataFrame, by: list[str], i: str, rows: int, columns: int, inverse: bool = False) -> DataFrame:
+    """Transform of vectors of ``rows * columns`` cells ``(by, i, re, im)``, each dense, however long they are.
+
+    The index is taken as a matrix: columns are transformed, turned by the twiddle factors, and rows are
+    transformed, so no task holds more of a vector than one row or column.
+    """
+    n = rows * columns
+    apart = cells.select(*by, F.floor(F.col(i) / columns).alias("_a"), F.pmod(F.col(i).cast("long"), F.lit(columns)).alias("_b"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    first = _axis_dft(apart, [*by, "_b"], "_a", inverse)
+    angle = F.col("_a") * F.col("_b") * F.lit((2 if inverse else -2) * math.pi / n)
+    re, im = F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle), F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)
+    second = _axis_dft(first.select(*by, "_a", "_b", re.alias("re"), im.alias("im")), [*by, "_a"], "_b", inverse)
+    return second.select(*by, (F.col("_a") + F.col("_b") * rows).cast("long").alias(i), "re", "im")
+
+
+def fftnd(cells: DataFrame, by: list[str], dims: list[str], inverse: bool = False) -> DataFrame:
+    """Transform of dense complex cells along several dimensions, one after another."""
+    for d in dims:
+        cells = _axis_dft(cells, [*by, *[x for x in dims if x != d]], d, inverse)
+    return cells.select(*by, *dims, "re", "im")
+
+
+def kernctr(kernel: DataFrame, dims: list[str], kernel_shape: list[int], shape: list[int]) -> DataFrame:
+    """A small kernel's cells shifted so that its middle is at the origin of an array of ``shape``, around the ends."""
+    return kernel.withColumns({d: F.pmod(F.col(d) - k // 2, F.lit(n)).cast("long") for d, k, n in zip(dims, kernel_shape, shape, strict=True)})
+
+
+def convolve_nd(cells: DataFrame, by: list[str], dims: list[str], shape: list[int], kernel: dict[tuple[int, ...], float], boundary: str = "periodic") -> DataFrame:
+    """Convolution in any number of dimensions with a small kernel ``offset: weight``.
+
+    Each cell is sent to the cells it bears on and one aggregation sums them, in part before the shuffle.
+    Rules are periodic, or truncate (nothing beyond the ends).
+    """
+    if boundary not in ("periodic", "truncate"):
+        raise ValueError(f"unknown boundary rule {boundary}")
+    taps = F.array(*[F.struct(*[F.lit(o).alias(f"o{n}") for n, o in enumerate(offset)], F.lit(float(w)).alias("w")) for offset, w in kernel.items()])
+    sent = cells.select(*by, *dims, "v", F.explode(taps).alias("_t"))
+    to = [_edge(F.col(d) + F.col(f"_t.o{n}"), size, boundary).cast("long").alias(d) for n, (d, size) in enumerate(zip(dims, shape, strict=True))]
+    moved = sent.select(*by, *to, (F.col("v") * F.col("_t.w")).alias("_p")).dropna(subset=dims)
+    return moved.groupBy(*by, *dims).agg(F.when(F.count("*") == F.count("_p"), F.sum("_p")).alias("v"))
+
+
 # images --------------------------------------------------------------------------------------------
 
 
@@ -86,26 +147,80 @@ def _edge(i: Column, n: int, boundary: str) -> Column:
     return F.when((i >= 0) & (i < n), i)
 
 
-def _neighbours(img: DataFrame, by: list[str], shape: tuple[int, int], offsets: list[tuple[int, int, float]], boundary: str) -> DataFrame:
-    """Each target cell's neighbours ``_v`` with their weight ``_x``: an equi-join of shifted targets with the cells."""
-    taps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(x)).alias("x")) for a, b, x in offsets])
-    asked = img.select(*by, "i", "j", F.explode(taps).alias("t"))
-    asked = asked.select(*by, "i", "j", F.col("t.x").alias("_x"), _edge(F.col("i") + F.col("t.a"), shape[0], boundary).cast("long").alias("_i"), _edge(F.col("j") + F.col("t.b"), shape[1], boundary).cast("long").alias("_j"))
-    cells = img.select(*by, F.col("i").cast("long").alias("_i"), F.col("j").cast("long").alias("_j"), F.col("v").cast("double").alias("_v"))
-    return asked.join(cells, [*by, "_i", "_j"], "left" if boundary == "truncate" else "inner")
+def _shown_at(i: Column, n: int, reach: int, boundary: str) -> Column:
+    """Places from -reach to n - 1 + reach at which a cell is seen under a boundary rule."""
+    i = i.cast("long")
+    if boundary == "periodic":
+        places = F.array(i, i - n, i + n)
+    elif boundary == "reflect":
+        places = F.array(i, -i - 1, 2 * n - 1 - i)
+    elif boundary == "replicate":
+        before, after = F.sequence(F.lit(-reach).cast("long"), F.lit(-1).cast("long")), F.sequence(F.lit(n).cast("long"), F.lit(n - 1 + reach).cast("long"))
+        places = F.concat(F.array(i), F.when(i == 0, before).otherwise(F.array().cast("array<bigint>")), F.when(i == n - 1, after).otherwise(F.array().cast("array<bigint>"))) if reach else F.array(i)
+    else:
+        places = F.array(i)
+    return F.filter(places, lambda p: (p >= -reach) & (p < n + reach))
+
+
+def _tiled(img: DataFrame, by: list[str], shape: tuple[int, int], reach: tuple[int, int], boundary: str, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Cells of the image whose value is what ``of`` makes of their surroundings.
+
+    Tiles of TILE x TILE cells get the cells within ``reach`` of them, once each, and are computed as dense arrays
+    (NaN where there is no cell): ``of`` is given all windows, shaped (rows, columns, window, window).
+    """
+    if reach[0] > shape[0] or reach[1] > shape[1]:
+        raise ValueError("a window reaches over the image more than once")
+
+    def tiles(c: str, n: int, r: int) -> Column:
+        last = F.lit((n - 1) // TILE).cast("long")
+        return F.sequence(F.greatest(F.floor((F.col(c) - r) / TILE), F.lit(0).cast("long")), F.least(F.floor((F.col(c) + r) / TILE), last))
+
+    seen = img.select(*by, "i", "j", F.col("v").cast("double").alias("v"), F.explode(_shown_at(F.col("i"), shape[0], reach[0], boundary)).alias("_i"))
+    seen = seen.withColumn("_j", F.explode(_shown_at(F.col("j"), shape[1], reach[1], boundary)))
+    sent = seen.withColumn("_ti", F.explode(tiles("_i", shape[0], reach[0]))).withColumn("_tj", F.explode(tiles("_j", shape[1], reach[1])))
+    own = (F.col("_i") == F.col("i")) & (F.col("_j") == F.col("j")) & (F.floor(F.col("_i") / TILE) == F.col("_ti")) & (F.floor(F.col("_j") / TILE) == F.col("_tj"))
+    kinds = {c: img.schema[c].dataType.simpleString() for c in [*by, "i", "j"]}
+
+    def each(t: pd.DataFrame) -> pd.DataFrame:
+        top, left = t["_ti"].iloc[0] * TILE - reach[0], t["_tj"].iloc[0] * TILE - reach[1]
+        m = np.full((TILE + 2 * reach[0], TILE + 2 * reach[1]), np.nan)
+        m[t["_i"] - top, t["_j"] - left] = t["v"].to_numpy(float)
+        windows = np.lib.stride_tricks.sliding_window_view(m, (2 * reach[0] + 1, 2 * reach[1] + 1))
+        out = t.loc[t["_own"], [*kinds]]
+        got = pd.Series(dtype=float)
+        if len(out):
+            at = out["i"] - top - reach[0], out["j"] - left - reach[1]
+            got = pd.Series(of(windows[: at[0].max() + 1, : at[1].max() + 1])[at], index=out.index)
+        return out.assign(v=got.where(got.notna(), None))
+
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", v double"
+    return sent.withColumn("_own", own).groupBy(*by, "_ti", "_tj").applyInPandas(each, schema)
 
 
 def conv2d(img: DataFrame, by: list[str], shape: tuple[int, int], kernel: list[list[float]], boundary: str = "periodic") -> DataFrame:
-    """Convolution with a small kernel given as rows over i of columns over j, centred."""
-    ci, cj = len(kernel) // 2, len(kernel[0]) // 2
-    offsets = [(ci - a, cj - b, x) for a, row in enumerate(kernel) for b, x in enumerate(row)]
-    near = _neighbours(img, by, shape, offsets, boundary)
-    return near.groupBy(*by, "i", "j").agg(F.sum(F.col("_v") * F.col("_x")).alias("v"))
+    """Convolution with a small kernel given as rows over i of columns over j, centred; missing cells are left out."""
+    k = np.asarray(kernel, float)
+    reach = (k.shape[0] // 2, k.shape[1] // 2)
+    whole = np.zeros((2 * reach[0] + 1, 2 * reach[1] + 1))
+    whole[: k.shape[0], : k.shape[1]] = k
+    flipped = whole[::-1, ::-1]
+
+    def of(windows: np.ndarray) -> np.ndarray:
+        some = ~np.isnan(windows).all(axis=(2, 3))
+        return np.where(some, np.einsum("abij,ij->ab", np.nan_to_num(windows, posinf=np.inf, neginf=-np.inf), flipped), np.nan)
+
+    return _tiled(img, by, shape, reach, boundary, of)
+
+
+def _quiet(f: Callable[..., np.ndarray], windows: np.ndarray) -> np.ndarray:
+    with warnings.catch_warnings():  # windows without a cell give NaN
+        warnings.simplefilter("ignore", RuntimeWarning)
+        return f(windows.reshape(*windows.shape[:2], -1), axis=2)
 
 
 def med2d(img: DataFrame, by: list[str], shape: tuple[int, int], height: int, width: int, boundary: str = "periodic") -> DataFrame:
-    offsets = [(a - height // 2, b - width // 2, 1.0) for a in range(height) for b in range(width)]
-    return _neighbours(img, by, shape, offsets, boundary).groupBy(*by, "i", "j").agg(F.median("_v").alias("v"))
+    """Median over an odd box around each cell, missing cells left out."""
+    return _tiled(img, by, shape, (height // 2, width // 2), boundary, lambda w: _quiet(np.nanmedian, w))
 
 
 def box2d(img: DataFrame, by: list[str], shape: tuple[int, int], wi: int, wj: int, edgezero: bool = False) -> DataFrame:
@@ -118,16 +233,13 @@ def box2d(img: DataFrame, by: list[str], shape: tuple[int, int], wi: int, wj: in
     return part.select(*by, "i", "j", F.when(inside, F.col("_s") / (wi * wj)).otherwise(F.lit(0.0) if edgezero else F.col("v")).alias("v"))
 
 
-AROUND = [(a, b, 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-
-
 def patch2d(img: DataFrame, by: list[str], shape: tuple[int, int], bad: str | None = None) -> DataFrame:
     """Cells flagged by ``bad`` (missing ones without) become the mean of their good neighbours, if any."""
     flag = F.coalesce(F.col(bad) != 0, F.lit(False)) if bad else F.col("v").isNull()
+    good = img.select(*by, "i", "j", F.when(~flag, F.col("v")).alias("v"))
+    means = _tiled(good, by, shape, (1, 1), "truncate", lambda w: _quiet(np.nanmean, w)).withColumnRenamed("v", "_m")
     marked = img.withColumn("_bad", flag)
-    good = marked.withColumn("v", F.when(~F.col("_bad"), F.col("v")))
-    means = _neighbours(good, by, shape, AROUND, "truncate").groupBy(*by, "i", "j").agg(F.avg("_v").alias("_m"))
-    return marked.join(means, [*by, "i", "j"], "left").select(*by, "i", "j", F.when(F.col("_bad"), F.coalesce("_m", "v")).otherwise(F.col("v")).alias("v"))
+    return ranged.same_keys(marked, means, [*by, "i", "j"], "left").select(*by, "i", "j", F.when(F.col("_bad"), F.coalesce("_m", "v")).otherwise(F.col("v")).alias("v"))
 
 
 def max2d_ind(img: DataFrame, by: list[str]) -> DataFrame:
@@ -153,7 +265,7 @@ def label_components(img: DataFrame, shape: tuple[int, int], connectivity: int =
     sent = on.select(F.col("id").alias("src"), F.explode(F.array(*[F.struct((F.col("i") + a).alias("_i"), (F.col("j") + b).alias("_j")) for a, b in steps])).alias("t")).select("src", "t.*")
     found = connected_components(sent.join(other, ["_i", "_j"]).select("src", "dst"))
     rooted = on.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("i", "j", F.coalesce("component", "id").alias("root"))
-    roots = rooted.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")))  # one row per component
+    roots = ranged.indexed(rooted.select("root").distinct(), ["root"], "nth").select("root", (F.col("nth") + 1).alias("label"))
     labelled = rooted.join(roots, "root").select("i", "j", "label")
     return img.select("i", "j").join(labelled, ["i", "j"], "left").select("i", "j", F.coalesce("label", F.lit(0)).alias("label"))
 
@@ -186,7 +298,9 @@ def circ_mean(img: DataFrame, ci: float, cj: float) -> DataFrame:
 
 def resample(img: DataFrame, shape: tuple[int, int], target: DataFrame, at_i: Column, at_j: Column, method: str = "linear", boundary: str = "truncate") -> DataFrame:
     """Values of the image at places given for each row of ``target``: nearest cell, or bilinear over four."""
-    held = target.withColumns({"_a": at_i.cast("double"), "_b": at_j.cast("double")}).withColumn("_id", F.struct(*[F.col(c) for c in target.columns]))
+    # rows that are repeated are asked for once and repeated in the end
+    once = target.groupBy(*target.columns).agg(F.count("*").cast("int").alias("_times"))
+    held = once.withColumns({"_a": at_i.cast("double"), "_b": at_j.cast("double")}).withColumn("_id", F.struct(*[F.col(c) for c in target.columns]))
     cells = img.select(F.col("i").cast("long").alias("_i"), F.col("j").cast("long").alias("_j"), F.col("v").cast("double").alias("_v"))
     if method == "sample":
         corners = F.array(F.struct(F.floor(F.col("_a") + 0.5).alias("i"), F.floor(F.col("_b") + 0.5).alias("j"), F.lit(1.0).alias("w")))
@@ -194,9 +308,9 @@ def resample(img: DataFrame, shape: tuple[int, int], target: DataFrame, at_i: Co
         fa, fb = F.floor("_a"), F.floor("_b")
         ra, rb = F.col("_a") - fa, F.col("_b") - fb
         corners = F.filter(F.array(*[F.struct((fa + p).alias("i"), (fb + q).alias("j"), ((ra if p else 1 - ra) * (rb if q else 1 - rb)).alias("w")) for p in (0, 1) for q in (0, 1)]), lambda c: c["w"] > 0)
-    asked = held.select("_id", F.explode(corners).alias("c")).select("_id", F.col("c.w").alias("_w"), _edge(F.col("c.i"), shape[0], boundary).cast("long").alias("_i"), _edge(F.col("c.j"), shape[1], boundary).cast("long").alias("_j"))
-    sums = asked.join(cells, ["_i", "_j"], "left").groupBy("_id").agg(F.sum(F.coalesce("_v", F.lit(0.0)) * F.col("_w")).alias("value"))
-    return sums.select("_id.*", "value")
+    asked = held.select("_id", "_times", F.explode(corners).alias("c")).select("_id", "_times", F.col("c.w").alias("_w"), _edge(F.col("c.i"), shape[0], boundary).cast("long").alias("_i"), _edge(F.col("c.j"), shape[1], boundary).cast("long").alias("_j"))
+    sums = asked.join(cells, ["_i", "_j"], "left").groupBy("_id", "_times").agg(F.sum(F.coalesce("_v", F.lit(0.0)) * F.col("_w")).alias("value"))
+    return sums.select("_id", "value", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("_id.*", "value")
 
 
 def rot2d(img: DataFrame, shape: tuple[int, int], degrees: float, method: str = "linear") -> DataFrame:

@@ -1,64 +1,22 @@
-"""Queries that exercise the operators on the driver's tables, each with its SQL twin where SQL has one.
-
-lineitem is an array per order whose cells are ordered by ``ORDER``; events is one per user, ordered by time;
-embeddings holds packed vectors.
-"""
+"""Queries that exercise reductions, windows, sets, selection, search, products and arithmetic, with their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.functions import aggregates as A
 from cellgrid.functions import elementwise as E
-from cellgrid.functions import special as S
 from cellgrid.operators import generate, histograms, linalg, search, selection, sequences, sets, signal, transforms
-
-ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-SQL_ORDER = ", ".join(ORDER)
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def items(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """lineitem with the cell index ``i0``."""
-    return sequences.with_index(read(spark, d, "lineitem"), ["l_orderkey"], ORDER).select("l_orderkey", "i0", *columns)
-
-
-def events(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.with_index(read(spark, d, "events").select("user_id", "event_id", "ts", "value"), ["user_id"], ["ts", "event_id"])
-
-
-def r(c: Column, digits: int = 6) -> Column:
-    return F.round(c, digits)
-
-
-ITEMS = f"(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {SQL_ORDER}) - 1 AS i0 FROM lineitem)"
-EVENTS = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i0 FROM events)"
+from cellgrid.plans.registry import EVENTS, ITEMS, ORACLE_SQL, QUERIES, Query, events, items, query, r, read
+from cellgrid.plans.registry import vectors as _vectors
 
 # reductions ----------------------------------------------------------------------------------------
 
 
 @query("""SELECT l_returnflag, round(avg(l_quantity), 6) AS avg, round(stddev_samp(l_quantity), 6) AS prms, round(median(l_quantity), 6) AS med, min(l_quantity) AS vmin, max(l_quantity) AS vmax, round(stddev_pop(l_quantity), 6) AS rms FROM lineitem GROUP BY 1""")
 def stats_unweighted(spark: SparkSession, d: str) -> DataFrame:
-    got = read(spark, d, "lineitem").groupBy("l_returnflag").agg(*A.uniform_stats("l_quantity"))
+    got = sequences.stats(read(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
     return got.select("l_returnflag", *[r(F.col(c)).alias(c) if c not in ("vmin", "vmax") else F.col(c) for c in got.columns[1:]])
 
 
@@ -97,7 +55,14 @@ def maximum_n_ind_price(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT l_returnflag, l_linestatus, median(l_quantity) AS med, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1, 2""")
 def medover_pctover(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(A.medover("l_quantity").alias("med"), r(A.pctover("l_extendedprice", 0.9), 4).alias("p90"))
+    x, by = read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]
+    high = sequences.pctover(x, by, "l_extendedprice", {"p90": 0.9})
+    return sequences.medover(x, by, "l_quantity").join(high, by).select(*by, "med", r(F.col("p90"), 4).alias("p90"))
+
+
+@query("SELECT l_returnflag, median(l_quantity) AS med, round(quantile_cont(l_tax, 0.9), 6) AS p90 FROM lineitem GROUP BY 1")
+def percentile_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(A.medover("l_quantity").alias("med"), r(A.pctover("l_tax", 0.9)).alias("p90"))
 
 
 @query("SELECT l_orderkey, list_sort(list(l_extendedprice))[least(count(*) - 1, CAST(floor(count(*) * 0.3) AS BIGINT)) + 1] AS oddpct FROM lineitem GROUP BY 1")
@@ -335,12 +300,9 @@ def which_both_status(spark: SparkSession, d: str) -> DataFrame:
     return selection.which_both(read(spark, d, "orders"), mask, "o_orderkey")
 
 
-@query(f"SELECT l_orderkey, list_resize(list(i0 ORDER BY i0) FILTER (l_discount > 0.05), 7, -1) AS inds FROM {ITEMS} GROUP BY 1 HAVING count(*) FILTER (l_discount > 0.05) > 0")
+@query(f"""SELECT l_orderkey, list_resize(coalesce(list(i0 ORDER BY i0) FILTER (l_discount > 0.05), []), count(*), -1) AS inds FROM {ITEMS} GROUP BY 1""")
 def whichover_disc(spark: SparkSession, d: str) -> DataFrame:
-    got = selection.whichover(items(spark, d, "l_discount"), ["l_orderkey"], F.col("l_discount") > 0.05, "i0")
-    # the SQL's 7 cells; whichover itself gives all
-    seven = F.slice(F.concat("inds", F.array_repeat(F.lit(-1).cast("long"), 7)), 1, 7)
-    return got.where(F.element_at("inds", 1) >= 0).select("l_orderkey", seven.alias("inds"))
+    return selection.whichover(items(spark, d, "l_discount"), ["l_orderkey"], F.col("l_discount") > 0.05, "i0")
 
 
 @query("SELECT o_orderkey, n_name AS value FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey")
@@ -387,6 +349,12 @@ def clump_splitdim(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("flat", back[1].alias("i1"), back[0].cast("int").alias("i0"))
 
 
+@query("SELECT s_suppkey * 25 + s_nationkey AS flat, s_suppkey AS i1, CAST(s_nationkey AS BIGINT) AS i0 FROM supplier")
+def splitdim_keys(spark: SparkSession, d: str) -> DataFrame:
+    flat = selection.clump(read(spark, d, "supplier").select("s_nationkey", "s_suppkey"), "s_nationkey", "s_suppkey", 25, "f")
+    return selection.splitdim(flat.withColumn("flat", F.col("f")), "f", 25, "i0", "i1").select("flat", F.col("i1").cast("long").alias("i1"), F.col("i0").cast("long").alias("i0"))
+
+
 @query("SELECT n_nationkey AS i0, n_name AS v FROM nation UNION ALL SELECT r_regionkey + 25, r_name FROM region")
 def append_names(spark: SparkSession, d: str) -> DataFrame:
     a = read(spark, d, "nation").select(F.col("n_nationkey").alias("i0"), F.col("n_name").alias("v"))
@@ -401,16 +369,16 @@ def reshape_grow(spark: SparkSession, d: str) -> DataFrame:
 
 # search --------------------------------------------------------------------------------------------
 
-KNOTS = "(SELECT p_retailprice AS x, sum(p_size) AS y FROM part WHERE p_partkey % 4 = 0 GROUP BY 1)"
+KNOTS = "(SELECT p_retailprice AS x, sum(p_size) AS y FROM part GROUP BY 1)"
 
 
 def _knots(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").where("p_partkey % 4 = 0").groupBy(F.col("p_retailprice").alias("x")).agg(F.sum("p_size").cast("double").alias("y"))
+    return read(spark, d, "part").groupBy(F.col("p_retailprice").alias("x")).agg(F.sum("p_size").cast("double").alias("y"))
 
 
 def _vsearch(mode: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        probes = read(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("v"))
+        probes = read(spark, d, "part").select("p_partkey", (F.col("p_retailprice") + F.col("p_partkey") % 2 / 100).alias("v"))
         return search.vsearch(_knots(spark, d), "x", probes, "v", mode).select("p_partkey", "found")
 
     run.__name__ = f"vsearch_{mode}"
@@ -418,19 +386,21 @@ def _vsearch(mode: str) -> Query:
 
 
 for _mode, _sql in {
-    "insert_leftmost": f"(SELECT count(*) FROM {KNOTS} WHERE x < p_retailprice)",
-    "insert_rightmost": f"(SELECT count(*) FROM {KNOTS} WHERE x <= p_retailprice)",
-    "sample": f"least((SELECT count(*) FROM {KNOTS} WHERE x < p_retailprice), (SELECT count(*) - 1 FROM {KNOTS}))",
-    "match": f"(SELECT CASE WHEN max(x) = p_retailprice THEN count(*) - 1 ELSE -count(*) - 1 END FROM {KNOTS} WHERE x <= p_retailprice)",
-    "bin_inclusive": f"(SELECT count(*) - 1 FROM {KNOTS} WHERE x <= p_retailprice)",
-    "bin_exclusive": f"(SELECT count(*) - 1 FROM {KNOTS} WHERE x < p_retailprice)",
+    "insert_leftmost": "below",
+    "insert_rightmost": "upto",
+    "sample": "least(below, (SELECT max(k) FROM n) - 1)",
+    "match": "CASE WHEN upto > below THEN upto - 1 ELSE -upto - 1 END",
+    "bin_inclusive": "upto - 1",
+    "bin_exclusive": "below - 1",
 }.items():
-    query(f"SELECT p_partkey, {_sql} AS found FROM part")(_vsearch(_mode))
+    query(f"""WITH n AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM {KNOTS}), p AS (SELECT p_partkey, p_retailprice + p_partkey % 2 / 100 AS v FROM part),
+        f AS (SELECT p_partkey, coalesce(k, 0) AS upto, coalesce(k, 0) - CAST(coalesce(x = v, false) AS INT) AS below FROM p ASOF LEFT JOIN n ON p.v >= n.x)
+        SELECT p_partkey, CAST({_sql} AS BIGINT) AS found FROM f""")(_vsearch(_mode))
 
 
-@query(f"""WITH k AS (SELECT x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS n FROM {KNOTS} WINDOW w AS (ORDER BY x)), e AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM k)
-    SELECT p_partkey, round(k.y + (v - k.x) * (k.y1 - k.y) / (k.x1 - k.x), 4) AS yi, CAST(v < lo OR v > hi AS INT) AS err FROM (SELECT p_partkey, p_retailprice * 1.02 - 15 AS v FROM part) p, e
-    JOIN k ON k.n = greatest(1, least(e.n - 1, (SELECT count(*) FROM k b WHERE b.x <= v)))""")
+@query(f"""WITH k AS (SELECT x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS n FROM {KNOTS} WINDOW w AS (ORDER BY x)), e AS (SELECT min(x) AS lo, max(x) AS hi, max(n) AS m FROM k),
+    p AS (SELECT p_partkey, p_retailprice * 1.02 - 15 AS v FROM part), f AS (SELECT p_partkey, v, coalesce(n, 0) AS n FROM p ASOF LEFT JOIN k ON p.v >= k.x)
+    SELECT p_partkey, round(k.y + (v - k.x) * (k.y1 - k.y) / (k.x1 - k.x), 4) AS yi, CAST(v < lo OR v > hi AS INT) AS err FROM f, e JOIN k ON k.n = greatest(1, least(e.m - 1, f.n))""")
 def interpolate_price(spark: SparkSession, d: str) -> DataFrame:
     probes = read(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 1.02 - 15).alias("v"))
     return search.interpolate(_knots(spark, d), "x", "y", probes, "v").select("p_partkey", r(F.col("yi"), 4).alias("yi"), "err")
@@ -439,18 +409,13 @@ def interpolate_price(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT e.event_id, coalesce(p.event_id, -1) AS prev FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts""")
 def asof_purchase(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
-    marked = e.withColumn("_p", F.when(F.col("event_type") == "purchase", F.col("event_id")))
-    w = sequences.window(["user_id"], ["ts"]).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.select("event_id", F.coalesce(F.last("_p", ignorenulls=True).over(w), F.lit(-1)).alias("prev"))
+    marked = e.withColumn("p", F.when(F.col("event_type") == "purchase", F.col("event_id") + 1))
+    return sequences.locf(marked, ["user_id"], ["ts", "event_id"], "p", "prev").select("event_id", (F.col("prev") - 1).alias("prev"))
 
 
 # linear algebra ------------------------------------------------------------------------------------
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-
-
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q), 6) AS dot, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cos FROM embeddings, q""")
 def inner_vcos(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
@@ -482,11 +447,10 @@ def matmult_cells(spark: SparkSession, d: str) -> DataFrame:
     return linalg.matmult(*_mats(spark, d)).select("i", "j", r(F.col("v"), 2).alias("v"))
 
 
-@query(f"{MATS} SELECT a.i, b.j, round(sum(a.v * b.v), 2) AS v FROM a JOIN b ON a.j = b.i GROUP BY 1, 2")
+@query(f"""{MATS}, p AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM a JOIN b ON a.j = b.i GROUP BY 1, 2) SELECT t.i, u.j, round(coalesce(p.v, 0), 2) AS v
+    FROM (SELECT unnest(range((SELECT max(i) + 1 FROM a))) AS i) t CROSS JOIN (SELECT unnest(range((SELECT max(j) + 1 FROM b))) AS j) u LEFT JOIN p ON p.i = t.i AND p.j = u.j""")
 def matmult_blocks(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _mats(spark, d)
-    present = linalg.block_matmult(a, b, 64).where("v != 0")
-    return present.select("i", "j", r(F.col("v"), 2).alias("v"))
+    return linalg.block_matmult(*_mats(spark, d), 64).select("i", "j", r(F.col("v"), 2).alias("v"))
 
 
 @query("SELECT a.n_nationkey AS i, b.r_regionkey AS j, CAST(a.n_regionkey * b.r_regionkey AS BIGINT) AS v FROM nation a, region b")
@@ -594,12 +558,10 @@ def mercator(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey", r(x).alias("x"), r(y).alias("y"))
 
 
-@query()
-def special_functions(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("l_tax") * 40
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(S.erf(x)).alias("erf"), r(S.bessj0(x)).alias("j0"), r(S.lgamma(x + 1)["value"]).alias("lgamma"))
+@query("SELECT i AS i0, round(CAST(i * 3 AS DOUBLE) / 999 + 1, 9) AS v FROM range(1000) t(i)")
+def xlinvals(spark: SparkSession, d: str) -> DataFrame:
+    return generate.axislinvals(spark, [1000], 0, 1.0, 4.0).select("i0", r(F.col("v"), 9).alias("v"))
 
 
-@query("SELECT i AS i0, CAST(i * 3 AS DOUBLE) / 999 + 1 AS v FROM range(1000) t(i)")
-def xlinvals(spark: SparkSession, d: str) -> DataFrame:
-    return generate.axislinvals(spark, [1000], 0, 1.0, 4.0).select("i0", (F.lit(1.0) + F.col("i0") * 3.0 / 999).alias("v"))
+# the other modules register their queries when they are imported
+from cellgrid.plans import queries_arrays, queries_images, queries_sources, queries_values  # noqa: E402, F401

@@ -1,14 +1,17 @@
 """Binary array files: raw arrays with text headers, FITS images and tables, PNM images, STL meshes.
 
 Files are read whole by Spark's ``binaryFile`` source, one row per file, and opened into cells in Arrow
-batches; a file is the unit of work, as its header comes first.  Writers encode a packed array into bytes.
+batches; a file is the unit of work, as its header comes first.  Writers encode packed arrays into a column of
+bytes, and ``save`` has the executors write such columns as files.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -36,6 +39,35 @@ def _opened(spark: SparkSession, path: str, schema: str, parse: Callable[[bytes]
     return files.mapInPandas(read, f"file string, {schema}")
 
 
+def save(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """Write each row's bytes as a file in a folder that all executors mount; how many were written.
+
+    A file gets its name only once it is whole, so a repeated task leaves none half written.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, data in zip(b["name"], b["content"], strict=True):
+                part = Path(folder) / f".{n}.{uuid.uuid4().hex}"
+                part.write_bytes(data)
+                part.replace(Path(folder) / n)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    done = files.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(write, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _encoded(columns: list[Column], encode: Callable[..., bytes]) -> Column:
+    """A column of bytes from packed arrays and their shapes; null if any is."""
+
+    @F.pandas_udf("binary")
+    def of(data: pd.Series, shape: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or n is None else encode(np.asarray(x, float), [int(k) for k in n]) for x, n in zip(data, shape, strict=True)])
+
+    return of(*columns)
+
+
 ARRAY = "dtype string, shape array<long>, data array<double>"
 
 
@@ -186,6 +218,11 @@ def fits_bytes(data: np.ndarray, header: dict | None = None) -> bytes:
     return (head + " " * pad(len(head))).encode() + body + bytes(pad(len(body)))
 
 
+def fits_of(data: Column, shape: Column, dtype: str = "f8", header: dict | None = None) -> Column:
+    """A packed array, first dimension fastest, and its shape as the bytes of a FITS image."""
+    return _encoded([data, shape], lambda x, n: fits_bytes(x.astype(dtype).reshape(n[::-1]), header))
+
+
 # PNM -----------------------------------------------------------------------------------------------
 
 
@@ -227,6 +264,11 @@ def pnm_bytes(data: np.ndarray, raw: bool = True) -> bytes:
     return head + (data.astype(np.uint8).tobytes() if raw else ("\n".join(" ".join(map(str, r)) for r in data.reshape(h, -1).astype(int).tolist()) + "\n").encode())
 
 
+def pnm_of(data: Column, shape: Column, raw: bool = True) -> Column:
+    """A packed grey array (width, height), or colours (3, width, height), as the bytes of a PGM or PPM."""
+    return _encoded([data, shape], lambda x, n: pnm_bytes(x.reshape(n[::-1]), raw))
+
+
 def imageformat(content: Column) -> Column:
     """Name of an image format by its first bytes."""
     hexed = F.hex(F.substring(content, 1, 8))
@@ -279,6 +321,11 @@ def stl_bytes(corners: np.ndarray) -> bytes:
     return b"\0" * 80 + struct.pack("<I", len(c)) + rows.tobytes()
 
 
+def stl_of(corners: Column) -> Column:
+    """A packed array of faces, each nine coordinates, as the bytes of a binary mesh."""
+    return _encoded([corners, F.array(F.size(corners))], lambda x, n: stl_bytes(x.reshape(-1, 3, 3)))
+
+
 def cells(packed: DataFrame, data: str = "data", shape: str = "shape") -> DataFrame:
     """Packed arrays as cells: the other columns, ``i`` (coordinates) and ``v``."""
     others = [c for c in packed.columns if c not in (data, shape)]

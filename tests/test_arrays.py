@@ -1,6 +1,7 @@
 """Literal cases of the operators, with missing cells, NaN, ties and empty groups."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from cellgrid.functions import aggregates as A
 from cellgrid.functions import elementwise as E
 from cellgrid.functions import special as S
-from cellgrid.operators import generate, graph, histograms, linalg, search, selection, sequences, sets, signal, transforms
+from cellgrid.operators import generate, graph, histograms, linalg, ranged, search, selection, sequences, sets, signal, transforms
 
 NAN, INF = float("nan"), float("inf")
 
@@ -160,6 +161,106 @@ def test_histograms(spark):
         histograms.indadd(spark.createDataFrame([(9, 2.0)], "i long, v double"), "v", "i", 5).collect()
 
 
+def test_histograms_of_nothing_and_of_nan(spark):
+    assert [(r["bin"], r["hist"]) for r in histograms.hist(vector(spark, []), "v").collect()] == [(0, 0)]
+    assert sum(r["hist"] for r in histograms.hist(vector(spark, [None, NAN, 1, 2, 5]), "v").collect()) == 3
+    two = spark.createDataFrame([(NAN, 1.0), (1.0, NAN), (None, 1.0), (0.5, 0.5)], "a double, b double")
+    assert sum(r["hist"] for r in histograms.histogram2d(two, "a", "b", (1.0, 1.0), (0.0, 0.0), (2, 2)).collect()) == 1
+
+
+@pytest.fixture
+def small_chunks(monkeypatch):
+    monkeypatch.setattr(ranged, "CHUNK", 7)
+
+
+SCANS = {
+    "cumusumover": lambda df, by: sequences.cumusumover(df, by, ["i0"], "v"),
+    "cumuprodover": lambda df, by: sequences.cumuprodover(df, by, ["i0"], "v"),
+    "locf": lambda df, by: sequences.locf(df, by, ["i0"], "v"),
+    "numdiff": lambda df, by: sequences.numdiff(df, by, ["i0"], "v"),
+    "diff2": lambda df, by: sequences.diff2(df, by, ["i0"], "v"),
+    "diffcentred": lambda df, by: sequences.diffcentred(df, by, ["i0"], "v"),
+    "lags": lambda df, by: sequences.lags(df, by, ["i0"], "v", 3, 4),
+    "rotate": lambda df, by: sequences.rotate(df, by, "i0", 5),
+    "conv1d": lambda df, by: sequences.conv1d(df, by, "i0", "v", [0.5, 0.25, 2.0]),
+    "intover": lambda df, by: sequences.intover(df, by, "i0", "v"),
+    "qsorti": lambda df, by: sequences.qsorti(df, by, "v", ["i0"]),
+    "qsortveci": lambda df, by: sequences.qsortveci(df, by, ["w", "v"], ["i0"]),
+    "rle": lambda df, by: sequences.rle(df, by, ["i0"], "w"),
+    "rlevec": lambda df, by: sequences.rlevec(df, by, ["i0"], ["w", "u"]),
+    "rld": lambda df, by: sequences.rld(sequences.rle(df, by, ["i0"], "w"), by),
+    "rleseq": lambda df, by: sequences.rleseq(df, by, ["i0"], "u"),
+    "enumvecg": lambda df, by: sequences.enumvecg(df, by, ["w"]),
+    "partial": lambda df, by: sequences.partial(df, by, ["i0"], "v", "b"),
+    "pctover": lambda df, by: sequences.pctover(df, by, "v", {"a": 0.3, "b": 1.0, "c": -1.0}),
+    "stats": lambda df, by: sequences.stats(df, by, "v"),
+}
+
+
+@pytest.mark.parametrize("n", [0, 1, 50])
+@pytest.mark.parametrize("name", sorted(SCANS))
+def test_long_vectors_as_one_group(spark, small_chunks, name, n):
+    """Without groups, a vector is scanned in ranges; the result is that of a window over one group."""
+    if n == 0 and name in ("stats", "pctover", "intover"):
+        pytest.skip("a row for the whole vector, but none for a group that isn't there")
+    rng = np.random.default_rng(n)
+    rows = [(i, None if x == 3 else float(x), int(w), int(u)) for i, (x, w, u) in enumerate(zip(rng.integers(1, 9, n), rng.integers(0, 2, n), np.arange(n) // 3 % 5 + np.arange(n) % 3, strict=True))]
+    df = spark.createDataFrame(rows, "i0 long, v double, w int, u int").repartition(3)
+    plain = lambda d: sorted(str([f"{x:.6g}" if isinstance(x, float) else x for x in r]) for r in d.collect())
+    long, group = SCANS[name](df, []), SCANS[name](df.withColumn("g", F.lit(1)), ["g"])
+    assert plain(long) == plain(group.select(long.columns))
+
+
+def test_no_window_covers_a_vector(spark):
+    df = vector(spark, range(20)).withColumn("w", F.col("i0") % 2).withColumn("u", F.col("i0"))
+    for name in ("cumusumover", "locf", "numdiff", "qsorti", "rle", "lags"):
+        plan = SCANS[name](df, [])._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan, name
+
+
+def test_search_of_vectors(spark):
+    k = spark.createDataFrame([(1, "a"), (1, "c"), (3, "b"), (3, "b")], "x int, y string")
+    p = spark.createDataFrame([(0, "z"), (1, "a"), (1, "b"), (3, "b"), (4, "a")], "x int, y string").repartition(4)
+    assert {(r["x"], r["y"]): r["found"] for r in search.vsearchvec(k, ["x", "y"], p, ["x", "y"]).collect()} == {(0, "z"): 0, (1, "a"): 0, (1, "b"): 1, (3, "b"): 2, (4, "a"): 3}
+
+
+def test_resample_of_repeated_places(spark):
+    img = spark.createDataFrame([(i, j, float(10 * i + j)) for i in range(3) for j in range(3)], "i long, j long, v double")
+    asked = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0), (0.5, 0.5)], "a double, b double")
+    assert sorted(r["value"] for r in signal.resample(img, (3, 3), asked, F.col("a"), F.col("b")).collect()) == [5.5, 11, 11]
+
+
+def test_tiles_of_larger_images(spark, monkeypatch):
+    monkeypatch.setattr(signal, "TILE", 4)
+    rng = np.random.default_rng(5)
+    m, k = rng.random((11, 9)), rng.random((3, 5))
+    img = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(11) for j in range(9)], "i long, j long, v double")
+    for boundary, mode in (("periodic", "wrap"), ("reflect", "symmetric"), ("replicate", "edge")):
+        padded = np.pad(m, ((1, 1), (2, 2)), mode=mode)
+        want = {(i, j): sum(k[1 - a, 2 - b] * padded[i + a + 1, j + b + 2] for a in (-1, 0, 1) for b in range(-2, 3)) for i in range(11) for j in range(9)}
+        got = {(r["i"], r["j"]): r["v"] for r in signal.conv2d(img, [], (11, 9), k.tolist(), boundary).collect()}
+        assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_bessel_far_out(spark):
+    """Large arguments take no memory and agree with the integral where both hold."""
+    x = np.array([1e8, -3e12, 999.0, 1001.0, 5.0])
+    assert np.abs(S._bessel_j(x, 0)).max() < 1 and np.isfinite(S._bessel_y(np.abs(x), 1)).all()
+    at = np.array([400.0, 700.0, 990.0])
+    for n in (0, 1, 3):
+        assert np.allclose(S._bessel_j(at, n), S._expansion(at, n)[0], atol=1e-9) and np.allclose(S._bessel_y(at, n), S._expansion(at, n)[1], atol=1e-7)
+    assert np.isnan(one(spark, S.bessj0(F.lit(NAN)))[0]) and one(spark, S.bessj0(F.lit(INF)), S.erf(F.lit(None).cast("double")), S.ndtri(F.lit(1.0))) == (0, None, INF)
+
+
+def test_special_functions_against_the_library():
+    x = np.concatenate([np.linspace(-6, 6, 241), [-30.0, 0.0, 30.0]])
+    assert np.allclose(S._erf(x), [math.erf(a) for a in x], rtol=1e-13, atol=1e-15) and np.allclose(S._erfc(x), [math.erfc(a) for a in x], rtol=1e-10)
+    p = np.concatenate([np.linspace(0.001, 0.999, 101), [1e-12, 1 - 1e-12]])
+    assert np.allclose(S._normal_quantile(p), [NormalDist().inv_cdf(a) for a in p], rtol=1e-9, atol=1e-12)
+    g = np.concatenate([np.linspace(0.05, 60, 500), [-0.5, -2.3, -7.9, 1e6]])
+    assert np.allclose(S._log_gamma(g), [math.lgamma(a) for a in g], rtol=1e-11, atol=1e-12)
+
+
 def test_selection(spark):
     df = generate.sequence(spark, [10, 4])
     cut = selection.slice_dim(selection.slice_dim(df, "i0", 1, 3, 2), "i1", 1, -2, size=4)
@@ -216,10 +317,16 @@ def test_linear_algebra(spark):
     a, b = rng.random((7, 9)), rng.random((9, 5))
     cells = lambda m: spark.createDataFrame([(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], "i long, j long, v double")
     for f in (linalg.matmult, lambda x, y: linalg.block_matmult(x, y, 4)):
-        got = np.zeros((8, 8))
-        for r in f(cells(a), cells(b)).collect():
-            got[r["i"], r["j"]] = r["v"]
-        assert np.allclose(got[:7, :5], a @ b)
+        got = {(r["i"], r["j"]): r["v"] for r in f(cells(a), cells(b)).collect()}
+        assert set(got) == {(i, j) for i in range(7) for j in range(5)} and all(v == pytest.approx((a @ b)[k]) for k, v in got.items())
+    holed = cells(a).withColumn("v", F.when((F.col("i") != 2) | (F.col("j") != 3), F.col("v")))
+    got = {(r["i"], r["j"]): r["v"] for r in linalg.block_matmult(holed, cells(b), 4).collect()}
+    assert {k for k, v in got.items() if v is None} == {(2, j) for j in range(5)}
+    assert linalg.block_matmult(holed.where("false"), cells(b)).collect() == []
+    gram = spark.createDataFrame([([1.0, INF],), ([2.0, 1.0],)], "x array<double>")
+    assert {(r["i"], r["j"]): r["v"] for r in linalg.gram(gram, "x").collect()} == {(0, 0): 5, (0, 1): INF, (1, 0): INF, (1, 1): INF}
+    gap = gram.unionAll(spark.createDataFrame([([None, 1.0],)], "x array<double>"))
+    assert {(r["i"], r["j"]) for r in linalg.gram(gap, "x").collect() if r["v"] is None} == {(0, 0), (0, 1), (1, 0)}
     m = rng.random((4, 4))
     df = spark.createDataFrame([(m.tolist(), [1.0, 2.0, 3.0, 4.0]), ([[1.0, 1.0], [1.0, 1.0]], [1.0, 1.0]), (None, None)], "m array<array<double>>, b array<double>")
     got = df.select(linalg.inv(F.col("m")), linalg.det(F.col("m")), linalg.solve(F.col("m"), F.col("b")), linalg.lu_decomp(F.col("m")), linalg.svd(F.col("m"))["s"], linalg.eigens_sym(F.transform("m", lambda r: r))["values"]).collect()
