@@ -73,11 +73,11 @@ def whole_array_more(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH z AS (SELECT o_orderkey, o_totalprice / 1e5 AS re, (o_custkey - 500) / 300 AS im FROM orders), m AS (SELECT *, sqrt(re * re + im * im) AS r FROM z), s AS (SELECT *, sqrt((r + re) / 2) AS a, sqrt((r - re) / 2) * CASE WHEN im < 0 THEN -1 ELSE 1 END AS b FROM m)
-    SELECT o_orderkey, round(re, 8) AS re, round(-im, 6) AS conj_im, round(a, 6) AS root_re, round(b, 6) AS root_im, round(CASE WHEN b < 0 THEN -a ELSE a END, 6) AS up_re, round(abs(b), 6) AS up_im, round(ln(r), 6) AS log_re, round(atan2(im, re), 6) AS log_im, round(2 * re, 8) AS twice, round(re, 8) AS c_re, round(im, 6) AS i_im FROM s""")
+    SELECT o_orderkey, round(re, 8) AS re, round(-im, 6) + 0e0 AS conj_im, round(a, 6) AS root_re, round(b, 6) AS root_im, round(CASE WHEN b < 0 THEN -a ELSE a END, 6) AS up_re, round(abs(b), 6) AS up_im, round(ln(r), 6) AS log_re, round(atan2(im, re), 6) AS log_im, round(2 * re, 8) AS twice, round(re, 8) AS c_re, round(im, 6) AS i_im FROM s""")
 def complex_functions(spark: SparkSession, d: str) -> DataFrame:
     z = E.czip(F.col("o_totalprice") / 1e5, (F.col("o_custkey") - 500) / 300)
     s, u, g, twice = E.csqrt(z), E.csqrt_up(z), E.clog(z), E.cplus(z, E.conj(z))
-    return read(spark, d, "orders").select("o_orderkey", r(E.re(z), 8).alias("re"), r(E.im(E.conj(z))).alias("conj_im"), r(E.re(s)).alias("root_re"), r(E.im(s)).alias("root_im"), r(E.re(u)).alias("up_re"), r(E.im(u)).alias("up_im"), r(E.re(g)).alias("log_re"), r(E.im(g)).alias("log_im"), r(E.re(twice), 8).alias("twice"),
+    return read(spark, d, "orders").select("o_orderkey", r(E.re(z), 8).alias("re"), (r(E.im(E.conj(z))) + 0.0).alias("conj_im"), r(E.re(s)).alias("root_re"), r(E.im(s)).alias("root_im"), r(E.re(u)).alias("up_re"), r(E.im(u)).alias("up_im"), r(E.re(g)).alias("log_re"), r(E.im(g)).alias("log_im"), r(E.re(twice), 8).alias("twice"),
         r(E.re(E.r2c(E.re(z))), 8).alias("c_re"), r(E.im(E.i2c(E.im(z)))).alias("i_im"))
 
 
@@ -95,16 +95,31 @@ def vector_compare(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT vec_id, e[1] AS a, e[2] AS b, e[3] AS c, e[4] AS d, e[5] AS x, e[6] AS y FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)), n AS (SELECT *, a * d - b * c AS det, a * a + b * b + c * c + d * d AS q, sqrt((a - d) * (a - d) / 4 + b * b) AS h FROM m)
-    SELECT vec_id, round(det, 6) AS det, round(d / det * abs(det), 5) AS inv00, round((d * x - b * y) / det * abs(det), 5) AS x0, round((a + d) / 2 - h, 5) AS low, round((a + d) / 2 + h, 5) AS high, round(sqrt((q + sqrt(greatest(0, q * q - 4 * det * det))) / 2), 5) AS s0,
+    SELECT vec_id, round(det, 6) AS det, round(d / det * abs(det), 5) AS inv00, round((d * x - b * y) / det * abs(det), 5) + 0e0 AS x0, round((a + d) / 2 - h, 5) AS low, round((a + d) / 2 + h, 5) AS high, round(sqrt((q + sqrt(greatest(0, q * q - 4 * det * det))) / 2), 5) AS s0,
     round(CASE WHEN b * b >= 4 * c THEN (-b - sqrt(b * b - 4 * c)) / 2 ELSE -b / 2 END, 5) AS root FROM n""")
 def small_matrices(spark: SparkSession, d: str) -> DataFrame:
     e = lambda k: F.col("e")[k]
     m, sym = F.array(F.array(e(0), e(1)), F.array(e(2), e(3))), F.array(F.array(e(0), e(1)), F.array(e(1), e(3)))
     size = F.abs(linalg.det(m))
-    return vectors(spark, d).select("vec_id", r(linalg.det(m)).alias("det"), r(linalg.inv(m)[0][0] * size, 5).alias("inv00"), r(linalg.solve(m, F.array(e(4), e(5)))[0] * size, 5).alias("x0"), r(linalg.eigens_sym(sym)["values"][0], 5).alias("low"), r(linalg.eigens_sym(sym)["values"][1], 5).alias("high"),
+    return vectors(spark, d).select("vec_id", r(linalg.det(m)).alias("det"), r(linalg.inv(m)[0][0] * size, 5).alias("inv00"), (r(linalg.solve(m, F.array(e(4), e(5)))[0] * size, 5) + 0.0).alias("x0"), r(linalg.eigens_sym(sym)["values"][0], 5).alias("low"), r(linalg.eigens_sym(sym)["values"][1], 5).alias("high"),
         r(linalg.svd(m)["s"][0], 5).alias("s0"), r(S.polyroots(F.array(F.lit(1.0), e(1), e(2)))[0]["re"], 5).alias("root"))
 
 
+@query("""WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT count(DISTINCT k) AS n, round(sum(v * v), 4) AS energy, round(sum(v * v), 4) AS kept FROM c""")
+def svd_tall_energy(spark: SparkSession, d: str) -> DataFrame:
+    """Squares of a long matrix's singular values add up to those of its cells, and so do those of its turned rows."""
+    values, turned = linalg.svd_tall(vectors(spark, d), "e", "u")
+    kept = turned.select(F.explode(F.arrays_zip("u", F.lit(values).alias("s"))).alias("x")).agg(r(F.sum((F.col("x.u") * F.col("x.s")) ** 2), 4).alias("kept"))
+    return kept.select(F.lit(len(values)).cast("long").alias("n"), r(F.lit(sum(x * x for x in values)), 4).alias("energy"), "kept")
+
+
+@query("SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope FROM lineitem")
+def least_squares(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select(F.array(F.lit(1.0), "l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    a, b = linalg.solve_tall(rows, "x", "y")
+    return spark.range(1).select(F.round(F.lit(a), 4).alias("intercept"), F.round(F.lit(b), 6).alias("slope"))
+
+
 _LONLAT = "(SELECT c_custkey, radians(c_nationkey * 5 - 60) AS x, radians(c_custkey % 140 - 70 + 0.25) AS y FROM customer)"
 
 

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
@@ -42,4 +48,30 @@ def materialize(df: DataFrame, label: str, compression: str | None = None) -> Da
     if compression:
         writer = writer.option("compression", compression)
     writer.parquet(path)
+    held = _HELD.get()
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written table, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that ``materialize`` writes within are deleted at the end, but for those taken off the list.
+
+    A result must be written before that, as nothing that reads these tables can be run afterwards.  Queries
+    that return a DataFrame leave their tables, for the owner of the folder to clear.
+    """
+    held: list[str] = []
+    token = _HELD.set(held)
+    try:
+        yield held
+    finally:
+        _HELD.reset(token)
+        for path in held:
+            delete(spark, path)

@@ -2,7 +2,7 @@
 
 1. quality rules: documents that the word statistics or the compression bands reject go;
 2. line dedup: lines on over a tenth of a source's documents go (a source stands for a site), n_chars follows;
-3. near-dedup: of each SimHash group of five-word shingles the document with the smallest id stays;
+3. near-dedup: of documents that share four fifths of their five-word shingles, the one with the smallest id stays;
 4. mix: each document is there as often as its source's target takes it, perhaps never;
 5. packing: pieces of at most 1024 ids with their sequence and place.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellgrid.llm import line_dedup, mixing, packing, quality, simhash
 from cellgrid.llm.common import small_batches, table
-from cellgrid.plans.shared import materialize
+from cellgrid.plans.shared import delete, materialize, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return materialize(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    """The last stage's rows; what the stages wrote on the way is deleted as soon as the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with scratch(spark) as held:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            mine = held.pop()
+        if before:
+            delete(spark, before)
+        before = mine
+    return docs

@@ -338,6 +338,15 @@ def test_linear_algebra(spark):
     assert linalg.kroneckerproduct(cells(a), cells(b), 9, 5).count() == 7 * 9 * 9 * 5
 
 
+def test_tall_matrices(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((60, 4))
+    df = spark.createDataFrame([(i, row.tolist(), float(row @ [1, 2, 3, 4])) for i, row in enumerate(x)], "i int, x array<double>, y double").repartition(3)
+    values, turned = linalg.svd_tall(df, "x")
+    u = np.array([r["u"] for r in turned.orderBy("i").collect()])
+    assert np.allclose(values, np.linalg.svd(x)[1]) and np.allclose(u.T @ u, np.eye(4)) and np.allclose(linalg.solve_tall(df, "x", "y"), [1, 2, 3, 4])
+
+
 def test_fourier(spark):
     rng = np.random.default_rng(2)
     for n in (1, 2, 5, 8):
