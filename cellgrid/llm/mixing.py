@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrid.llm.common import word_count
+from cellgrid.operators import ranged
 from cellgrid.plans.shared import materialize
 
 # Fixed values of the production mix: weights in the order of source names, share of all sizes, most copies.
@@ -32,10 +33,9 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     weight; a target stops at ``most`` times its source's size and the excess is shared again by weight
     until none is above.  One row of sums reaches the driver in each round.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))
-    named = materialize(sizes.select("source", "source_size", weight.alias("weight")), "weights")
+    order = [F.col("source").isNull(), F.col("source")]
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_i", F.lit(len(weights))) + 1).cast("int"))
+    named = materialize(ranged.indexed(sizes, order).select("source", "source_size", weight.alias("weight")), "weights")
     cap = F.col("source_size") * float(most)
     total = (named.agg(F.sum("source_size")).first()[0] or 0) * share
     full, rate = F.lit(False), 0.0
