@@ -373,6 +373,16 @@ def innerwt(a: Column, w: Column, b: Column) -> Column:
     return inner(F.zip_with(a, w, lambda x, y: x.cast("double") * y), b)
 
 
+def inner2(a: Column, m: Column, b: Column) -> Column:
+    """a . (m b) for a packed matrix m of rows."""
+    return inner(a, F.transform(m, lambda row: inner(row, b)))
+
+
+def inner2d(a: Column, b: Column) -> Column:
+    """Sum of the products of all cells of two packed matrices."""
+    return inner(F.flatten(a), F.flatten(b))
+
+
 def norm(v: Column) -> Column:
     """Unit vector; a zero vector becomes NaN."""
     n = vector_norm(v)

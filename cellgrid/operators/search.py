@@ -129,19 +129,26 @@ def spline_slopes(x: np.ndarray, f: np.ndarray) -> np.ndarray:
     n, h, s = len(x), np.diff(x), np.diff(f) / np.diff(x)
     if n == 2:
         return np.array([s[0], s[0]])
-    a, b = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i], 2 * (h[i - 1] + h[i]), h[i - 1]
-        b[i] = 3 * (h[i] * s[i - 1] + h[i - 1] * s[i])
+    # bands of a tridiagonal system: before, on and behind the diagonal
+    lo, mid, up, b = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    lo[1:-1], mid[1:-1], up[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
+    b[1:-1] = 3 * (h[1:] * s[:-1] + h[:-1] * s[1:])
     if n == 3:
-        a[0, :2], b[0] = (1, 1), 2 * s[0]
-        a[2, 1:], b[2] = (1, 1), 2 * s[1]
+        mid[0], up[0], b[0] = 1, 1, 2 * s[0]
+        lo[2], mid[2], b[2] = 1, 1, 2 * s[1]
     else:
-        a[0, :2] = h[1], h[0] + h[1]
+        mid[0], up[0] = h[1], h[0] + h[1]
         b[0] = ((h[0] + 2 * (h[0] + h[1])) * h[1] * s[0] + h[0] ** 2 * s[1]) / (h[0] + h[1])
-        a[-1, -2:] = h[-1] + h[-2], h[-2]
+        lo[-1], mid[-1] = h[-1] + h[-2], h[-2]
         b[-1] = (h[-1] ** 2 * s[-2] + (2 * (h[-1] + h[-2]) + h[-1]) * h[-2] * s[-1]) / (h[-1] + h[-2])
-    return np.linalg.solve(a, b)
+    for i in range(1, n):
+        ratio = lo[i] / mid[i - 1]
+        mid[i] -= ratio * up[i - 1]
+        b[i] -= ratio * b[i - 1]
+    b[-1] /= mid[-1]
+    for i in range(n - 2, -1, -1):
+        b[i] = (b[i] - up[i] * b[i + 1]) / mid[i]
+    return b
 
 
 def hermite(x: np.ndarray, f: np.ndarray, d: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Callable
+from functools import reduce as fold
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -296,23 +298,33 @@ def circ_mean(img: DataFrame, ci: float, cj: float) -> DataFrame:
     return img.groupBy(r.alias("r")).agg(F.avg("v").alias("v"))
 
 
-def resample(img: DataFrame, shape: tuple[int, int], target: DataFrame, at_i: Column, at_j: Column, method: str = "linear", boundary: str = "truncate") -> DataFrame:
-    """Values of the image at places given for each row of ``target``: nearest cell, or bilinear over four."""
+def interp_nd(cells: DataFrame, dims: list[str], shape: list[int], target: DataFrame, at: list[Column], method: str = "linear", boundary: str = "truncate") -> DataFrame:
+    """Values of an array ``(dims..., v)`` at places given for each row of ``target``: nearest cell, or linear over the 2^n around."""
     # rows that are repeated are asked for once and repeated in the end
     once = target.groupBy(*target.columns).agg(F.count("*").cast("int").alias("_times"))
-    held = once.withColumns({"_a": at_i.cast("double"), "_b": at_j.cast("double")}).withColumn("_id", F.struct(*[F.col(c) for c in target.columns]))
-    cells = img.select(F.col("i").cast("long").alias("_i"), F.col("j").cast("long").alias("_j"), F.col("v").cast("double").alias("_v"))
+    place = [f"_a{n}" for n in range(len(dims))]
+    held = once.withColumns({p: c.cast("double") for p, c in zip(place, at, strict=True)}).withColumn("_id", F.struct(*[F.col(c) for c in target.columns]))
+    keys = [f"_i{n}" for n in range(len(dims))]
+    source = cells.select(*[F.col(d).cast("long").alias(k) for d, k in zip(dims, keys, strict=True)], F.col("v").cast("double").alias("_v"))
     if method == "sample":
-        corners = F.array(F.struct(F.floor(F.col("_a") + 0.5).alias("i"), F.floor(F.col("_b") + 0.5).alias("j"), F.lit(1.0).alias("w")))
+        corners = F.array(F.struct(*[F.floor(F.col(p) + 0.5).alias(f"i{n}") for n, p in enumerate(place)], F.lit(1.0).alias("w")))
     else:
-        fa, fb = F.floor("_a"), F.floor("_b")
-        ra, rb = F.col("_a") - fa, F.col("_b") - fb
-        corners = F.filter(F.array(*[F.struct((fa + p).alias("i"), (fb + q).alias("j"), ((ra if p else 1 - ra) * (rb if q else 1 - rb)).alias("w")) for p in (0, 1) for q in (0, 1)]), lambda c: c["w"] > 0)
-    asked = held.select("_id", "_times", F.explode(corners).alias("c")).select("_id", "_times", F.col("c.w").alias("_w"), _edge(F.col("c.i"), shape[0], boundary).cast("long").alias("_i"), _edge(F.col("c.j"), shape[1], boundary).cast("long").alias("_j"))
-    sums = asked.join(cells, ["_i", "_j"], "left").groupBy("_id", "_times").agg(F.sum(F.coalesce("_v", F.lit(0.0)) * F.col("_w")).alias("value"))
+        low = [F.floor(p) for p in place]
+        part = [F.col(p) - f for p, f in zip(place, low, strict=True)]
+        weight = lambda up: fold(lambda x, y: x * y, [q if u else 1 - q for q, u in zip(part, up, strict=True)])
+        corners = F.array(*[F.struct(*[(f + u).alias(f"i{n}") for n, (f, u) in enumerate(zip(low, up, strict=True))], weight(up).alias("w")) for up in product((0, 1), repeat=len(dims))])
+        corners = F.filter(corners, lambda c: c["w"] > 0)
+    asked = held.select("_id", "_times", F.explode(corners).alias("c"))
+    asked = asked.select("_id", "_times", F.col("c.w").alias("_w"), *[_edge(F.col(f"c.i{n}"), size, boundary).cast("long").alias(k) for n, (k, size) in enumerate(zip(keys, shape, strict=True))])
+    sums = asked.join(source, keys, "left").groupBy("_id", "_times").agg(F.sum(F.coalesce("_v", F.lit(0.0)) * F.col("_w")).alias("value"))
     return sums.select("_id", "value", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("_id.*", "value")
 
 
+def resample(img: DataFrame, shape: tuple[int, int], target: DataFrame, at_i: Column, at_j: Column, method: str = "linear", boundary: str = "truncate") -> DataFrame:
+    """Values of the image at places given for each row of ``target``: nearest cell, or bilinear over four."""
+    return interp_nd(img, ["i", "j"], list(shape), target, [at_i, at_j], method, boundary)
+
+
 def rot2d(img: DataFrame, shape: tuple[int, int], degrees: float, method: str = "linear") -> DataFrame:
     """Rotation about the middle, by looking up where each cell comes from."""
     c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
@@ -322,6 +334,19 @@ def rot2d(img: DataFrame, shape: tuple[int, int], degrees: float, method: str =
     return moved.withColumnRenamed("value", "v")
 
 
+def rotnewsz(shape: tuple[int, int], degrees: float) -> tuple[int, int]:
+    """Size of the smallest image that holds another one turned."""
+    c, s = abs(math.cos(math.radians(degrees))), abs(math.sin(math.radians(degrees)))
+    return math.ceil(shape[0] * c + shape[1] * s - 1e-9), math.ceil(shape[1] * c + shape[0] * s - 1e-9)
+
+
+def warp2d(img: DataFrame, shape: tuple[int, int], fit: dict[str, list[float]], degree: int, method: str = "linear") -> DataFrame:
+    """The image seen through a polynomial warp: each cell shows what lies where the fit sends its place."""
+    i, j = F.col("i").cast("double"), F.col("j").cast("double")
+    moved = resample(img, shape, img.select("i", "j"), warp_columns(i, j, fit["x"], degree), warp_columns(i, j, fit["y"], degree), method)
+    return moved.withColumnRenamed("value", "v")
+
+
 def fitwarp2d(pairs: DataFrame, x: str, y: str, u: str, v: str, degree: int) -> dict[str, list[float]]:
     """Least-squares polynomial coefficients of x and y in powers of (u, v): the normal equations are one
     distributed aggregate of at most degree^4 sums, solved on the driver."""

@@ -134,6 +134,12 @@ def hist_auto(spark: SparkSession, d: str) -> DataFrame:
     return histograms.hist(read(spark, d, "orders"), "o_totalprice").select(r(F.col("centre"), 4).alias("centre"), "bin", "hist")
 
 
+@query("""WITH c AS (SELECT greatest(0, least(9, CAST(floor((l_quantity - 1) / 5) AS BIGINT))) AS bin, round(sum(l_tax), 4) AS hist FROM lineitem GROUP BY 1) SELECT 1 + (b + 0.5e0) * 5 AS centre, b AS bin, coalesce(hist, 0) AS hist FROM range(10) t(b) LEFT JOIN c ON c.bin = b""")
+def whist_quantity(spark: SparkSession, d: str) -> DataFrame:
+    got = histograms.hist(read(spark, d, "lineitem"), "l_quantity", 1.0, 51.0, 5.0, "l_tax")
+    return got.select("centre", "bin", r(F.col("hist"), 4).alias("hist"))
+
+
 @query("SELECT g AS i0, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM (SELECT unnest(range(CAST(max(c_custkey) + 1 AS BIGINT))) AS g FROM customer) LEFT JOIN orders ON o_custkey = g GROUP BY 1")
 def indadd_custkey(spark: SparkSession, d: str) -> DataFrame:
     size = read(spark, d, "customer").agg(F.max("c_custkey") + 1).first()[0]

@@ -58,6 +58,14 @@ def literal_cells(spark: SparkSession, d: str) -> DataFrame:
     return generate.literal(spark, [[1, 2, 3], [4, None]]).unionAll(generate.empty(spark, 2))
 
 
+_POINTS = "SELECT k AS line, j AS nth, radians(k * 30 - 180) AS lon, radians(j - 90) AS lat FROM range(12) t(k), range(181) u(j) UNION ALL SELECT k + 12, j, radians(j - 180), radians(k * 30 - 90) FROM range(7) t(k), range(361) u(j)"
+
+
+@query(f"SELECT line, nth, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_POINTS})")
+def graticule(spark: SparkSession, d: str) -> DataFrame:
+    return generate.earth_graticule(spark, 30).select("line", "nth", r(F.col("lon")).alias("lon"), r(F.col("lat")).alias("lat"))
+
+
 # selection -----------------------------------------------------------------------------------------
 
 

@@ -97,3 +97,25 @@ def warp_fit(spark: SparkSession, d: str) -> DataFrame:
     pairs = read(spark, d, "nation").select("n_nationkey", u.cast("double").alias("u"), v.cast("double").alias("v"), (2 * u + 0.5 * v + 1).alias("x"), (v - 0.25 * u * v).alias("y"))
     fit = signal.fitwarp2d(pairs, "x", "y", "u", "v", 2)
     return pairs.select("n_nationkey", *[r(signal.warp_columns(F.col("u"), F.col("v"), fit[c], 2), 5).alias(c) for c in ("x", "y")])
+
+
+@query("""WITH c AS (SELECT l_linenumber - 1 AS i, l_suppkey % 5 AS j, l_partkey % 4 AS k, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3), p AS (SELECT s_suppkey, s_suppkey % 12 / 2 AS a, s_nationkey % 8 / 2 AS b, s_nationkey % 6 / 2 AS d FROM supplier)
+    SELECT s_suppkey, round(coalesce((SELECT sum(v * (1 - abs(i - a)) * (1 - abs(j - b)) * (1 - abs(k - d))) FROM c WHERE abs(i - a) < 1 AND abs(j - b) < 1 AND abs(k - d) < 1), 0), 6) AS value FROM p""")
+def interp_cube(spark: SparkSession, d: str) -> DataFrame:
+    cube = read(spark, d, "lineitem").groupBy((F.col("l_linenumber") - 1).alias("i"), (F.col("l_suppkey") % 5).alias("j"), (F.col("l_partkey") % 4).alias("k")).agg(F.count("*").alias("v"))
+    asked = read(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 12 / 2).alias("a"), (F.col("s_nationkey") % 8 / 2).alias("b"), (F.col("s_nationkey") % 6 / 2).alias("c"))
+    return signal.interp_nd(cube, ["i", "j", "k"], [7, 5, 4], asked, [F.col("a"), F.col("b"), F.col("c")]).select("s_suppkey", r(F.col("value")).alias("value"))
+
+
+@query(f"SELECT c.i, c.j, coalesce((SELECT a.v FROM {IMG} a WHERE a.i = c.i + 1 AND a.j = c.j - 2), 0) AS v FROM {IMG} c")
+def warp2d_shift(spark: SparkSession, d: str) -> DataFrame:
+    """A warp of the first degree that moves the image by a cell down and two to the right."""
+    fit = {"x": [1.0, 1.0, 0.0, 0.0], "y": [-2.0, 0.0, 1.0, 0.0]}
+    return signal.warp2d(image(spark, d), SHAPE, fit, 2).select("i", "j", "v")
+
+
+@query("SELECT n_nationkey, CAST(ceil(n_nationkey * sqrt(3) / 2 + n_regionkey / 2 - 1e-9) AS INT) AS rows, CAST(ceil(n_regionkey * sqrt(3) / 2 + n_nationkey / 2 - 1e-9) AS INT) AS columns FROM nation")
+def turned_sizes(spark: SparkSession, d: str) -> DataFrame:
+    sizes = {(a, b): signal.rotnewsz((a, b), 30.0) for a in range(25) for b in range(5)}
+    known = spark.createDataFrame([(*k, *v) for k, v in sizes.items()], "a int, b int, rows int, columns int")
+    return read(spark, d, "nation").join(F.broadcast(known), (F.col("n_nationkey") == F.col("a")) & (F.col("n_regionkey") == F.col("b"))).select("n_nationkey", "rows", "columns")

@@ -80,6 +80,26 @@ def raw_arrays(spark: SparkSession, d: str) -> DataFrame:
     return _cells(binary.readraw(spark, folder, "long", [4, 3]))
 
 
+@query(_CELLS)
+def raw_arrays_swapped(spark: SparkSession, d: str) -> DataFrame:
+    folder = new_path(spark, "raw")
+    binary.save(_packed(spark, d).select(F.concat("name", F.lit(".raw")).alias("name"), binary.raw_bytes(F.col("data"), "double", swap=True).alias("content")), folder)
+    return _cells(binary.readraw(spark, folder, "double", [4, 3], swap=True))
+
+
+@query(f"SELECT name, data[1] AS first, data[12] AS last, data[1] + 1 AS glued FROM {_PACKED}")
+def flex_glued(spark: SparkSession, d: str) -> DataFrame:
+    """A chunk written behind the one that the files hold already."""
+    folder, into = new_path(spark, "flex"), new_path(spark, "glued")
+    x = _packed(spark, d).withColumn("file", F.concat("name", F.lit(".flex")))
+    binary.save(x.withColumn("bytes", binary.raw_bytes(F.col("data"), "long")), folder, "file", "bytes")
+    binary.glue(spark, folder, x.select("file", binary.raw_bytes(F.array(F.col("data")[0] + 1), "float").alias("bytes")), into, "file", "bytes")
+    chunks = [{"type": "long", "dims": [4, 3]}, {"type": "float", "dims": [1]}]
+    got = binary.readflex(spark, into, chunks).groupBy(F.regexp_extract("file", r"([^/.]+)[.]flex$", 1).alias("name"))
+    whole, extra = F.col("dtype") == "long", F.col("dtype") == "float"
+    return got.agg(F.max(F.when(whole, F.col("data")[0])).alias("first"), F.max(F.when(whole, F.col("data")[11])).alias("last"), F.max(F.when(extra, F.col("data")[0])).alias("glued"))
+
+
 @query(f"SELECT name, part, v FROM (SELECT name, 0 AS part, data[1] AS v FROM {_PACKED} UNION ALL SELECT name, 1, data[2] + data[3] / 4 FROM {_PACKED})")
 def flex_arrays(spark: SparkSession, d: str) -> DataFrame:
     """Two chunks of different types in each file, told by a header that is written and read as well."""

@@ -96,13 +96,14 @@ def vector_compare(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT vec_id, e[1] AS a, e[2] AS b, e[3] AS c, e[4] AS d, e[5] AS x, e[6] AS y FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)), n AS (SELECT *, a * d - b * c AS det, a * a + b * b + c * c + d * d AS q, sqrt((a - d) * (a - d) / 4 + b * b) AS h FROM m)
     SELECT vec_id, round(det, 6) AS det, round(d / det * abs(det), 5) AS inv00, round((d * x - b * y) / det * abs(det), 5) + 0e0 AS x0, round((a + d) / 2 - h, 5) AS low, round((a + d) / 2 + h, 5) AS high, round(sqrt((q + sqrt(greatest(0, q * q - 4 * det * det))) / 2), 5) AS s0,
-    round(CASE WHEN b * b >= 4 * c THEN (-b - sqrt(b * b - 4 * c)) / 2 ELSE -b / 2 END, 5) AS root FROM n""")
+    round(CASE WHEN b * b >= 4 * c THEN (-b - sqrt(b * b - 4 * c)) / 2 ELSE -b / 2 END, 5) AS root, round(CASE WHEN abs(a) >= abs(c) THEN a ELSE c END, 6) AS pivot, round(x * (a * x + b * y) + y * (c * x + d * y), 6) + 0e0 AS form, round(q, 6) AS squares FROM n""")
 def small_matrices(spark: SparkSession, d: str) -> DataFrame:
     e = lambda k: F.col("e")[k]
     m, sym = F.array(F.array(e(0), e(1)), F.array(e(2), e(3))), F.array(F.array(e(0), e(1)), F.array(e(1), e(3)))
     size = F.abs(linalg.det(m))
     return vectors(spark, d).select("vec_id", r(linalg.det(m)).alias("det"), r(linalg.inv(m)[0][0] * size, 5).alias("inv00"), (r(linalg.solve(m, F.array(e(4), e(5)))[0] * size, 5) + 0.0).alias("x0"), r(linalg.eigens_sym(sym)["values"][0], 5).alias("low"), r(linalg.eigens_sym(sym)["values"][1], 5).alias("high"),
-        r(linalg.svd(m)["s"][0], 5).alias("s0"), r(S.polyroots(F.array(F.lit(1.0), e(1), e(2)))[0]["re"], 5).alias("root"))
+        r(linalg.svd(m)["s"][0], 5).alias("s0"), r(S.polyroots(F.array(F.lit(1.0), e(1), e(2)))[0]["re"], 5).alias("root"),
+        r(linalg.lu_decomp(m)["lu"][0][0]).alias("pivot"), (r(E.inner2(F.array(e(4), e(5)), m, F.array(e(4), e(5)))) + 0.0).alias("form"), r(E.inner2d(m, m)).alias("squares"))
 
 
 @query("""WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT count(DISTINCT k) AS n, round(sum(v * v), 4) AS energy, round(sum(v * v), 4) AS kept FROM c""")
@@ -134,3 +135,17 @@ def projections(spark: SparkSession, d: str) -> DataFrame:
     twice = t.t_linear(scale=2.0, post=[1, 0]) ** 3
     return read(spark, d, "customer").select("c_custkey", r(t.t_sinusoidal().apply(x, y)[0]).alias("sinusoidal"), r(t.t_sin_lat().apply(x, y)[1]).alias("sin_lat"), r(t.t_orthographic().apply(x, y)[0]).alias("orthographic"), r(t.t_stereographic().apply(x, y)[0]).alias("stereographic"), r(t.t_az_eqa().apply(x, y)[1]).alias("equal_area"),
         r(back[0]).alias("back_x"), r(back[1]).alias("back_y"), r(t.t_unit_sphere().apply(x, y)[0]).alias("unit"), r(turn.apply(x, y)[0], 5).alias("turned"), r(twice.apply(x, y)[0], 5).alias("thrice"))
+
+
+_THERE_AND_BACK = ["t_radial", "t_unit_sphere", "t_carree", "t_gnomonic", "t_az_eqd", "t_hammer"]
+
+
+@query(f"SELECT c_custkey, {', '.join(f'round(x, 6) AS {n}' for n in _THERE_AND_BACK)}, round(x, 6) AS conic, round(x, 6) AS lambert, round(x, 6) AS turned, round(x, 6) AS warped, round(pi() / 180 * x, 6) AS degree, round(2 * (x * 180 / pi() + 1 - 3) + 10, 6) AS fits FROM {_LONLAT}")
+def projections_and_back(spark: SparkSession, d: str) -> DataFrame:
+    """Transforms with their inverse behind them, and a linear one from the keys of an image's header."""
+    x, y = F.radians(F.col("c_nationkey") * 5 - 60), F.radians(F.col("c_custkey") % 140 - 70 + 0.25)
+    t = transforms
+    around = {n: getattr(t, n)() for n in _THERE_AND_BACK} | {"conic": t.t_conic(0.3, 0.9), "lambert": t.t_lambert(0.3, 0.9), "turned": t.t_rot_sphere(0.4, 0.2), "warped": t.t_quadratic(0.3)}
+    back = [r((~a).apply(*a.apply(x / 2, y / 2))[0] * 2).alias(n) for n, a in around.items()]
+    header = t.t_fits({"CRPIX1": 3, "CRVAL1": 10, "CDELT1": 2, "CRPIX2": 1, "CRVAL2": 0, "CDELT2": 1})
+    return read(spark, d, "customer").select("c_custkey", *back, r(E.DEG2RAD * x).alias("degree"), r(header.apply(E.RAD2DEG * x, y)[0]).alias("fits"))

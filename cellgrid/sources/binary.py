@@ -68,6 +68,13 @@ def _encoded(columns: list[Column], encode: Callable[..., bytes]) -> Column:
     return of(*columns)
 
 
+def glue(spark: SparkSession, folder: str, more: DataFrame, into: str, name: str = "name", content: str = "content") -> int:
+    """Files of a folder with further bytes behind them, by name, written to another folder; files without stay as they are."""
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("content").alias("_old"))
+    both = files.join(more.select(F.col(name).alias("name"), F.col(content).alias("_new")), "name", "left")
+    return save(both.select("name", F.concat("_old", F.coalesce("_new", F.lit(b""))).alias("content")), into)
+
+
 ARRAY = "dtype string, shape array<long>, data array<double>"
 
 
@@ -111,12 +118,12 @@ def write_flexhdr(chunks: list[dict]) -> str:
     return "".join(f"{c['type']} {len(c['dims'])} {' '.join(map(str, c['dims']))}\n" for c in chunks)
 
 
-def raw_bytes(data: Column, dtype: str) -> Column:
-    """A packed array as little-endian bytes."""
+def raw_bytes(data: Column, dtype: str, swap: bool = False) -> Column:
+    """A packed array as little-endian bytes, or big-endian ones."""
 
     @F.pandas_udf("binary")
     def of(v: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else np.asarray(x).astype("<" + RAW_TYPES[dtype]).tobytes() for x in v])
+        return pd.Series([None if x is None else np.asarray(x).astype((">" if swap else "<") + RAW_TYPES[dtype]).tobytes() for x in v])
 
     return of(data)
 
