@@ -98,9 +98,11 @@ def fit_bands(measured: DataFrame) -> dict[str, dict[int, tuple[float, float]]]:
     All texts that pass the word rules count, copies (of one plain and compressed size) once.  Counts of
     hundredths of the ratio reach the driver: at most 130 bins times 100 * MOST_RATIO of them.
     """
-    good = measured.where("not base_failed")
-    kinds = good.select(F.lit("whole").alias("kind"), "n_bytes", "packed").unionAll(good.select(F.lit("chunk"), F.explode("chunks").alias("c")).select("chunk", "c.*"))
-    once = kinds.where("n_bytes > 0").groupBy("kind", "n_bytes", "packed").agg(F.lit(1))
+    sized = lambda kind, n, packed: F.struct(F.lit(kind).alias("kind"), n.alias("n_bytes"), packed.alias("packed"))
+    sizes = F.concat(F.array(sized("whole", F.col("n_bytes"), F.col("packed"))), F.transform("chunks", lambda c: sized("chunk", c["n_bytes"], c["packed"])))
+    # a filter in the array, not on rows, and one array for both kinds: so a text is measured once
+    kinds = measured.select(F.explode(F.filter(sizes, lambda x: ~F.col("base_failed") & (x["n_bytes"] > 0))).alias("x")).select("x.*")
+    once = kinds.groupBy("kind", "n_bytes", "packed").agg(F.lit(1))
     hundredths = F.least(F.floor(100 * F.col("n_bytes") / F.col("packed")), F.lit(100 * MOST_RATIO)).cast("int")
     counts = once.groupBy("kind", _length_bin(F.col("n_bytes")).alias("bin"), hundredths.alias("ratio")).agg(F.count("*").alias("n"))
     held: dict[str, dict[int, dict[int, int]]] = {"whole": {}, "chunk": {}}
