@@ -17,6 +17,8 @@ from cellgrid.plans.shared import materialize
 
 # Rows of a chunk: a task holds one, and the driver one carried row for each.
 CHUNK = 1 << 20
+# Distinct values up to which, all groups together, they are scanned by a window over each group.
+FEW_VALUES = 1 << 20
 
 
 def keys_of(order: list) -> list[Column]:
@@ -95,10 +97,19 @@ def running(df: DataFrame, i: str, v: str, out: str, kind: str = "sum", before:
 def values_at(df: DataFrame, by: list[str], v: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """For each group ``_total``, its good values, and the value at each place (from 0, of the total) in their order.
 
-    Distinct values are counted first, and their counts dealt into ranges of group and value; of the ranges
-    only those that hold a place are scanned, so no group and no value is too large for a task.
+    Distinct values are counted first.  If they are more than FEW_VALUES, their counts are dealt into ranges of
+    group and value, of which only those that hold a place are scanned, so no group and no value is too large for
+    a task.
     """
     counts = df.where(F.col(v).isNotNull()).groupBy(*by, F.col(v).alias("_v")).agg(F.count("*").alias("_n"))
+    if by:
+        counts = materialize(counts, "counts")
+        if counts.count() <= FEW_VALUES:
+            every = Window.partitionBy(*by)
+            scanned = counts.withColumns({"_u": F.sum("_n").over(every.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_total": F.sum("_n").over(every)})
+            at = lambda f: f(F.col("_total")).cast("long")
+            hit = lambda f: F.max(F.when((at(f) < F.col("_u")) & (at(f) >= F.col("_u") - F.col("_n")), F.col("_v")))
+            return scanned.groupBy(*by).agg(F.max("_total").alias("_total"), *[hit(f).alias(name) for name, f in places.items()])
     held = ranges(counts, [*by, "_v"])
     sums = held.groupBy(*by, "_r").agg(F.sum("_n").alias("_t"))
     if by:

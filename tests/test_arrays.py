@@ -1,6 +1,7 @@
 """Literal cases of the operators, with missing cells, NaN, ties and empty groups."""
 
 import math
+from pathlib import Path
 from statistics import NormalDist
 
 import numpy as np
@@ -11,6 +12,7 @@ from cellgrid.functions import aggregates as A
 from cellgrid.functions import elementwise as E
 from cellgrid.functions import special as S
 from cellgrid.operators import generate, graph, histograms, linalg, ranged, search, selection, sequences, sets, signal, transforms
+from cellgrid.plans import shared
 
 NAN, INF = float("nan"), float("inf")
 
@@ -45,6 +47,13 @@ def test_percentiles(spark):
     assert sequences.oddpctover(vector(spark, [-3, 3, -5, 10]), [], "v", 0.5, median=True).first()[0] == -3
 
 
+def test_percentiles_by_window_and_by_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(None if k == 2 else k, float(i * 37 % 101 % (9 if k else 50))) for k in range(3) for i in range(40 * k + 1)], "k int, v double")
+    few = sequences.pctover(df, ["k"], "v", {"a": 0.3, "b": 0.77}).orderBy("k").collect()
+    monkeypatch.setattr(ranged, "FEW_VALUES", 0)
+    assert sequences.pctover(df, ["k"], "v", {"a": 0.3, "b": 0.77}).orderBy("k").collect() == few and len(few) == 3
+
+
 def test_extremes_with_nan(spark):
     for values in ([NAN, 0, 1, 2], [0, 1, 2, NAN]):
         df = vector(spark, values)
@@ -171,6 +180,7 @@ def test_histograms_of_nothing_and_of_nan(spark):
 @pytest.fixture
 def small_chunks(monkeypatch):
     monkeypatch.setattr(ranged, "CHUNK", 7)
+    monkeypatch.setattr(ranged, "FEW_VALUES", 3)
 
 
 SCANS = {
@@ -420,6 +430,17 @@ def test_generators(spark):
     assert generate.meshgrid([spark.createDataFrame([(0, 1.0), (1, 2.0)], "i long, v double")] * 2).count() == 4
 
 
+def test_scratch_tables_go(spark):
+    with shared.scratch(spark) as held:
+        kept = shared.materialize(spark.range(3), "kept")
+        mine = held.pop()
+        gone = shared.materialize(spark.range(2), "gone")
+        path = held[0]
+        assert gone.count() == 2
+    assert kept.count() == 3 and Path(mine).exists() and not Path(path).exists()
+    assert shared.materialize(spark.range(1), "after").count() == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5), (None, 3), (200, 150)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
