@@ -85,7 +85,8 @@ def brute_similar(rows, k=5, least=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small >= least * large and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     for i, (d, _) in enumerate(rows):
         low[find(i)].append(d)
