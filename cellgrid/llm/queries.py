@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import line_dedup, media_gif, mixing, packing, quality, simhash, substring_dedup, token_files, url_filter, warc
+from cellgrid.llm import line_dedup, media_gif, mixing, packing, pieces, quality, simhash, spelling, substring_dedup, token_files, url_filter, warc, whitening
 from cellgrid.llm.common import table
 from cellgrid.plans.shared import materialize
 
 SHINGLE_WORDS = 3
 RADIUS = 2
 WINDOW = 35
+TYPO_EVERY = 199
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -65,6 +66,22 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.word_counts(table(spark, sf_dir, "documents"), typo_every=TYPO_EVERY))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", pieces.encoded(F.col("text")).alias("e"))
+    ids = F.col("e.ids")
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    covered = F.coalesce(F.array_max("e.ends"), F.lit(0)).cast("long")
+    return found.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), sha(F.array_join(ids.cast("array<string>"), " ")).alias("ids_sha256"), sha(pieces.decoded(ids)).alias("decoded_sha256"), covered.alias("covered_bytes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_media_gif": op2_media_gif,
@@ -76,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_warc_bundles": op10_warc_bundles,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
