@@ -79,9 +79,15 @@ def bigram_order(words: DataFrame) -> dict[str, int]:
 
     The driver gets one row per bigram, so at most the square of the alphabet: 8,100 for the words of ``word_counts``.
     """
-    places = F.sequence(F.lit(1), F.greatest(F.char_length("word") - 1, F.lit(1)))
-    grams = words.where(F.char_length("word") > 1).select(F.explode(F.transform(places, lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("gram"))
-    counted = grams.groupBy("gram").agg(F.count("*").alias("n")).collect()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter[str] = Counter()
+        for b in batches:
+            for word in b["word"]:
+                held.update(map("".join, zip(word, word[1:], strict=False)))
+        yield pd.DataFrame({"gram": list(held.keys()), "n": list(held.values())})
+
+    counted = words.select("word").mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     return {r["gram"]: i for i, r in enumerate(sorted(counted, key=lambda r: (r["n"], r["gram"])))}
 
 
