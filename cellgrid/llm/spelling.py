@@ -85,7 +85,8 @@ def bigram_order(words: DataFrame) -> dict[str, int]:
         for b in batches:
             for word in b["word"]:
                 held.update(map("".join, zip(word, word[1:], strict=False)))
-        yield pd.DataFrame({"gram": list(held.keys()), "n": list(held.values())})
+        if held:
+            yield pd.DataFrame({"gram": list(held.keys()), "n": list(held.values())})
 
     counted = words.select("word").mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     return {r["gram"]: i for i, r in enumerate(sorted(counted, key=lambda r: (r["n"], r["gram"])))}
