@@ -34,11 +34,11 @@ DATE = "2025-01-01T00:00:00Z"
 BUNDLES = "bundle string, content binary, records array<struct<record_id:string,frame:int,offset:long,length:long>>"
 
 
-def _name(page_id: object) -> str:
-    return "<urn:page:null>" if page_id is None or page_id != page_id else f"<urn:page:{int(page_id)}>"
+def _name(page_id: int | str | None) -> str:
+    return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def record(page_id: object, url: str | None, payload: bytes, digest: str, refers: object, revisit: bool, date: str = DATE) -> bytes:
+def record(page_id: int | str | None, url: str | None, payload: bytes, digest: str, refers: int | str | None, revisit: bool, date: str = DATE) -> bytes:
     """One record: a response with its payload, or a revisit that names the response's record."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
@@ -123,13 +123,14 @@ def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), _payload(F.col(html_col)).alias("payload")).withColumn("sha", F.sha1("payload"))
     again = rows.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("newest"), F.count("*").alias("n"))
     again = materialize(again.where("n > 1").select("sha", "newest"), "repeated-payloads")
-    typed = rows.join(again, "sha", "left").select("page_id", "url", "payload", "newest")
+    # ids travel as text: in pandas a column of longs with a null among them would be rounded to floats
+    ids = [F.col(c).cast("string").alias(c) for c in ("page_id", "newest")]
+    typed = rows.join(again, "sha", "left").select(*ids, "url", "payload")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def records() -> Iterator[tuple[str, bytes]]:
             for b in batches:
-                for page, url, payload, newest in zip(b["page_id"].astype("Int64"), b["url"], b["payload"], b["newest"].astype("Int64"), strict=True):
-                    page, newest = (None if x is pd.NA else int(x) for x in (page, newest))
+                for page, url, payload, newest in zip(b["page_id"], b["url"], b["payload"], b["newest"], strict=True):
                     revisit = newest is not None and page != newest
                     yield _name(page), record(page, url, bytes(payload), base32_sha1(payload), newest, revisit)
 
@@ -148,14 +149,14 @@ def _parsed(data: bytes) -> tuple:
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
         raise ValueError("a record's payload does not have its digest")
-    ids = [None if (x := fields.get(k)) is None or x == "<urn:page:null>" else int(x[10:-1]) for k in ("WARC-Record-ID", "WARC-Refers-To")]
+    ids = [None if (x := fields.get(k)) is None or x == "<urn:page:null>" else x[10:-1] for k in ("WARC-Record-ID", "WARC-Refers-To")]
     return ids[0], fields["WARC-Target-URI"], size, digest, kind, ids[1], payload if kind == "response" else None
 
 
 def read_bundles(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
     """One row ``(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload)`` per record,
     sought by the index: only frames that hold a record asked for are read.  payload is null unless asked for."""
-    shown = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    shown = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opener = zstandard.ZstdDecompressor()
@@ -169,10 +170,10 @@ def read_bundles(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
                         plain = opener.decompress(content[start : start + packed], max_output_size=size)
                     row = _parsed(plain[r["offset"] : r["offset"] + r["length"]])
                     out.append(row if with_payload else (*row[:-1], None))
-                frame = pd.DataFrame(out, columns=[x.split()[0] for x in shown.split(", ")])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in shown.split(", ")])
 
-    return bundles.select("content", "records").mapInPandas(unpack, shown)
+    read = bundles.select("content", "records").mapInPandas(unpack, shown)
+    return read.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def find_record(bundles: DataFrame, page_id: int) -> DataFrame:

@@ -18,6 +18,7 @@ def folder(odd, spark, tmp_path_factory):
     html = ["", None, "<p>one</p>", "<p>one</p>", "é" * 5000, "<p>two</p>", "<p>one</p>", "x" * 300_000]
     urls = [None, "", "http://a.com/x", "HTTP://www.Example.com/en/a?b", "https://x.net/fr/1#c", "ftp://b.example.com/en/", "no scheme", "http://net/es/"]
     rows = [(i * 7 % 31, u, h) for i, (u, h) in enumerate(zip(urls * 3, html * 3, strict=True))] + [(500, None, None), (500, None, None)]
+    rows += [(2**60 + 1, "http://a.com/1", "far"), (2**60 + 2, None, "<p>two</p>"), (2**60 + 3, "http://a.com/3", "far"), (None, "http://a.com/0", "far")]
     spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{at}/pages.parquet")
     return str(at)
 
