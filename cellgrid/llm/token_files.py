@@ -69,7 +69,7 @@ def tokenize_to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return pd.DataFrame({"file": [name], "block": [block], "data": [bytes(held[:block_bytes])], "ids": [mine]})
 
         for b in batches:
-            for doc, text, part in zip(b["doc_id"].astype("Int64"), b["text"], b["part"], strict=True):
+            for doc, text, part in zip(b["doc_id"], b["text"], b["part"], strict=True):
                 name = f"tokens-{part:06d}"
                 found = token_ids(text, path)
                 if found.max(initial=0) >= IN_TEXT:
@@ -77,7 +77,7 @@ def tokenize_to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 data = np.append(np.where(found == END_OF_DOCUMENT, IN_TEXT, found), END_OF_DOCUMENT).astype("<u2").tobytes()
                 held += data
                 total += len(data)
-                ends.append((total, None if doc is pd.NA else int(doc)))
+                ends.append((total, None if doc is None else int(doc)))
                 while len(held) >= block_bytes:
                     yield row((block + 1) * block_bytes)
                     del held[:block_bytes]
@@ -85,7 +85,8 @@ def tokenize_to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if held:
             yield row(total)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
+    # ids travel as text: in pandas a column of longs with a null among them would be rounded to floats
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
     return rows.mapInPandas(write, "file string, block long, data binary, ids array<long>")
 
 
@@ -122,9 +123,12 @@ def count_tokens(blocks: DataFrame, eod: int = END_OF_DOCUMENT, dtype: str = "<u
 
     A separator ends a document and is not counted; two in a row give a document of 0 ids.  Ids after the
     last separator are a document too if ``open_end``.  Blocks hold whole ids and are numbered by order in
-    ``block``; other columns are ignored; an empty table, or an empty file, gives no rows.
+    ``block``; other columns are ignored; an empty table, or an empty file, gives no rows.  A block that ends
+    within an id, as the last one of a truncated file does, is an error that names the file.
     """
-    seen = blocks.where(F.col("data").isNotNull()).select("file", "block", separators(F.col("data"), eod, dtype).alias("s"))
+    cut = F.raise_error(F.concat(F.col("file"), F.lit(" ends within an id, in block "), F.col("block").cast("string"))).cast("binary")
+    whole_ids = F.when(F.length("data") % np.dtype(dtype).itemsize == 0, F.col("data")).otherwise(cut)
+    seen = blocks.where(F.col("data").isNotNull()).select("file", "block", separators(whole_ids, eod, dtype).alias("s"))
     seen = materialize(seen.select("file", "block", F.col("s.n").alias("n"), F.col("s.at").alias("at"), F.size("s.at").cast("long").alias("ends")), "separators")
     briefs = seen.select("file", "block", "n", "ends", F.when(F.col("ends") > 0, F.element_at("at", -1)).cast("long").alias("last"))
     before = materialize(_before(briefs, blocks_per_group), "prefix")
