@@ -24,8 +24,9 @@ LIMITS = ((0, 1.2, 5.0), (512, 1.3, 5.0), (1024, 1.4, 6.0), (4096, 1.4, 8.0), (6
 # A band reaches beyond the quartiles by so many times their distance, and by this share of the median at least:
 # a part for all lengths, and one that falls with the root of the bytes as chance evens out.
 REACH, SPREAD, CHANCE = 2.0, 0.06, 2.0
-# Texts that stand for no knowledge of a length, spread evenly over its limits.
-PRIOR = 20
+# Texts that stand for no knowledge of a length, spread evenly over its limits.  A length is judged with those
+# beside it, up to NEAR half-octaves away, and further ones if they have fewer than ENOUGH texts.
+PRIOR, NEAR, ENOUGH = 4, 1, 50
 CHUNK_BYTES, LEAST_CHUNK = 4096, 1024
 MAX_BAD_CHUNKS = 0.25
 MIN_WORDS = 50
@@ -76,6 +77,11 @@ def measure(text: Column) -> Column:
     return of(text)
 
 
+def _key(text: Column) -> Column:
+    """What tells texts apart; a null one is as an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("key")
+
+
 def _length_bin(n_bytes: Column) -> Column:
     return F.floor(2 * F.log2(n_bytes.cast("double"))).cast("int")
 
@@ -92,23 +98,35 @@ def band(length_bin: int, ratios: dict[int, int]) -> tuple[float, float]:
     return max(low, first - reach), min(high, third + reach)
 
 
+def with_neighbours(bins: dict[int, dict[int, int]], at: int) -> dict[int, int]:
+    """A length's counts with those NEAR it, and of ever further lengths until they are ENOUGH or all."""
+    held: dict[int, int] = {}
+    for far in range(max((abs(b - at) for b in bins), default=0) + 1):
+        for b in {at - far, at + far}:
+            for ratio, n in bins.get(b, {}).items():
+                held[ratio] = held.get(ratio, 0) + n
+        if far >= NEAR and sum(held.values()) >= ENOUGH:
+            break
+    return held
+
+
 def fit_bands(measured: DataFrame) -> dict[str, dict[int, tuple[float, float]]]:
-    """Bands by length bin, for whole texts and for chunks, of a table with FIELDS.
+    """Bands by length bin, for whole texts and for chunks, of a table with ``key``, a hash of the text, and FIELDS.
 
-    All texts that pass the word rules count, copies (of one plain and compressed size) once.  Counts of
-    hundredths of the ratio reach the driver: at most 130 bins times 100 * MOST_RATIO of them.
+    All texts that pass the word rules count, and all their chunks; copies of a text count once, so that a hot
+    one does not make the band.  Counts of hundredths of the ratio reach the driver: at most 130 bins times
+    100 * MOST_RATIO of them.
     """
+    once = measured.groupBy("key").agg(F.first(F.struct("base_failed", "n_bytes", "packed", "chunks")).alias("m"))
     sized = lambda kind, n, packed: F.struct(F.lit(kind).alias("kind"), n.alias("n_bytes"), packed.alias("packed"))
-    sizes = F.concat(F.array(sized("whole", F.col("n_bytes"), F.col("packed"))), F.transform("chunks", lambda c: sized("chunk", c["n_bytes"], c["packed"])))
-    # a filter in the array, not on rows, and one array for both kinds: so a text is measured once
-    kinds = measured.select(F.explode(F.filter(sizes, lambda x: ~F.col("base_failed") & (x["n_bytes"] > 0))).alias("x")).select("x.*")
-    once = kinds.groupBy("kind", "n_bytes", "packed").agg(F.lit(1))
+    sizes = F.concat(F.array(sized("whole", F.col("m.n_bytes"), F.col("m.packed"))), F.transform("m.chunks", lambda c: sized("chunk", c["n_bytes"], c["packed"])))
+    kinds = once.where("not m.base_failed").select(F.explode(F.filter(sizes, lambda x: x["n_bytes"] > 0)).alias("x")).select("x.*")
     hundredths = F.least(F.floor(100 * F.col("n_bytes") / F.col("packed")), F.lit(100 * MOST_RATIO)).cast("int")
-    counts = once.groupBy("kind", _length_bin(F.col("n_bytes")).alias("bin"), hundredths.alias("ratio")).agg(F.count("*").alias("n"))
+    counts = kinds.groupBy("kind", _length_bin(F.col("n_bytes")).alias("bin"), hundredths.alias("ratio")).agg(F.count("*").alias("n"))
     held: dict[str, dict[int, dict[int, int]]] = {"whole": {}, "chunk": {}}
     for kind, length_bin, ratio, n in counts.collect():
         held[kind].setdefault(length_bin, {})[ratio] = n
-    return {kind: {b: band(b, ratios) for b, ratios in bins.items()} for kind, bins in held.items()}
+    return {kind: {b: band(b, with_neighbours(bins, b)) for b in bins} for kind, bins in held.items()}
 
 
 def _inside(n_bytes: Column, packed: Column, bands: dict[int, tuple[float, float]]) -> Column:
@@ -135,11 +153,12 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     over is one from 1 KB on).  Null counts as empty: no words, not kept.  Null ids and repeated rows stay,
     an empty table gives no rows, other columns are ignored.
     """
-    measured = materialize(docs.select(F.col(id_col).alias("doc_id"), measure(F.col(text_col)).alias("m")).select("doc_id", "m.*"), "measures")
+    measured = docs.select(F.col(id_col).alias("doc_id"), _key(F.col(text_col)), measure(F.col(text_col)).alias("m"))
+    measured = materialize(measured.select("doc_id", "key", "m.*"), "measures")
     bands = fit_bands(measured)
-    m = F.struct(*measured.columns[1:])
+    m = F.struct(*measured.columns[2:])
     bad = F.size(F.filter("chunks", lambda c: ~_inside(c["n_bytes"], c["packed"], bands["chunk"])))
-    return measured.select("*", bad.cast("long").alias("n_bad_chunks"), verdict(m, bands).alias("kept"))
+    return measured.drop("key").select("*", bad.cast("long").alias("n_bad_chunks"), verdict(m, bands).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -147,6 +166,6 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Texts are measured twice, first for the bands and then for the verdict, rather than shuffled.
     """
-    bands = fit_bands(docs.select(measure(F.col(text_col)).alias("m")).select("m.*"))
+    bands = fit_bands(docs.select(_key(F.col(text_col)), measure(F.col(text_col)).alias("m")).select("key", "m.*"))
     rows = docs.select(F.struct("*").alias("row")).withColumn("m", measure(F.col(f"row.{text_col}")))
     return rows.where(verdict(F.col("m"), bands)).select("row.*")

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 import zstandard
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -226,6 +227,12 @@ def test_separator_scan(spark, tmp_path, group):
     assert len(got) == len(want)
 
 
+def test_a_truncated_token_file_is_named(spark, tmp_path):
+    (tmp_path / "cut").write_bytes(b"\x01\x00\x02")
+    with pytest.raises(Exception, match="cut ends within an id"):
+        token_files.count_tokens(token_files.read_token_files(spark, str(tmp_path)), eod=0)
+
+
 def test_document_tokens(odd, odd_rows, empty):
     path = tokens.vocabulary()
     got = token_files.document_tokens(odd)
@@ -336,14 +343,20 @@ def brute_kept(texts):
     cut = [[d] if len(d) <= 4096 else [c for i in range(0, len(d), 4096) if len(c := d[i : i + 4096]) >= 1024] for d in data]
     whole, parts = [ratio(d) for d in data], [[ratio(c) for c in cs] for cs in cut]
     bands = []
-    for sizes in ({w for w, f in zip(whole, failed, strict=True) if not f}, {c for cs, f in zip(parts, failed, strict=True) if not f for c in cs}):
+    first = {d: i for i, d in reversed(list(enumerate(data)))}.values()  # each text once, all of its chunks
+    for sizes in ([whole[i] for i in first if not failed[i]], [c for i in first if not failed[i] for c in parts[i]]):
         bins = defaultdict(list)
         for n, m in sizes:
             bins[math.floor(2 * math.log2(n))].append(math.floor(100 * n / m) / 100 + 0.005)
         made = {}
-        for b, found in bins.items():
+        for b in bins:
+            found = []
+            for far in range(200):
+                found += [x for other in {b - far, b + far} for x in bins.get(other, [])]
+                if far >= 1 and len(found) >= 50:
+                    break
             low, high = max(x for x in quality.LIMITS if x[0] <= 2 ** (b / 2))[1:]
-            found += [low + (high - low) * (i + 0.5) / 20 for i in range(20)]
+            found += [low + (high - low) * (i + 0.5) / 4 for i in range(4)]
             q1, q2, q3 = (np.quantile(found, q, method="inverted_cdf") for q in (0.25, 0.5, 0.75))
             reach = max(2 * (q3 - q1), q2 * (0.06 + 2 / math.sqrt(2 ** (b / 2))))
             made[b] = max(low, q1 - reach), min(high, q3 + reach)
@@ -364,6 +377,28 @@ def test_quality_query_on_documents(spark):
     assert len(banned) >= 10 and len(banned & good) <= 0.005 * len(good)
 
 
+def test_bands_do_not_depend_on_the_size_of_the_corpus(spark):
+    """Texts taken twenty times, with a word more each, give the bands that the texts alone give."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    more = docs.crossJoin(spark.range(20)).select(F.concat_ws(" ", "text", F.concat(F.lit("w"), "id")).alias("text"))
+    measured = lambda d: d.select(quality._key(F.col("text")), quality.measure(F.col("text")).alias("m")).select("key", "m.*")
+    one, many = quality.fit_bands(measured(docs)), quality.fit_bands(measured(more))
+    shared = [(one[k][b], many[k][b]) for k in one for b in one[k] if b in many[k] and 16 <= b]
+    assert len(shared) > 15
+    far = [max(abs(x - y) for x, y in zip(a, b, strict=True)) for a, b in shared]
+    assert sorted(far)[len(far) // 2] < 0.1 and max(far) < 0.5, list(zip(far, shared, strict=True))
+    copies = quality.fit_bands(measured(docs.crossJoin(spark.range(20)).select("text")))
+    assert copies == one
+
+
+def test_lengths_take_in_their_neighbours():
+    bins = {10: {200: 30}, 11: {210: 8}, 13: {220: 15}, 20: {300: 5}}
+    assert quality.with_neighbours(bins, 10) == {200: 30, 210: 8, 220: 15}
+    assert quality.with_neighbours(bins, 20) == {300: 5, 220: 15, 210: 8, 200: 30}
+    assert quality.with_neighbours({10: {200: 250}, 11: {210: 30}, 12: {200: 9}}, 10) == {200: 250, 210: 30}
+    assert quality.with_neighbours({}, 3) == {}
+
+
 # 6 -------------------------------------------------------------------------------------------------
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/e"), ("block", "bad.org", ""), ("allow", "com", "/"), ("block", "", "")]
@@ -552,11 +587,12 @@ def test_warc(spark, tmp_path, least, frame):
     pages = [None, "", "<p>é</p>", "same", "same", "same", "long " * 4000, "a\r\n\r\nb", "Content-Length: 9", None]
     urls = [None, "http://é.com/ x", "http://a.com/\r\nX: y", *[f"http://b/{i}" for i in range(7)]]
     rows = [(i if i != 6 else None, u, h) for i, (u, h) in enumerate(zip(urls, pages, strict=True))] + [(5, "http://twice", "same"), (None, "http://n", "same")]
+    rows += [(2**60 + 1, "http://x", "far"), (2**60 + 2, "http://y", "other"), (2**60 + 3, "http://z", "far")]
     frame_of = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
     bundles = warc.write_bundles(frame_of, min_bytes=least, frame_bytes=frame, bundle_bytes=300).cache()
     got = warc.read_bundles(bundles, with_payload=True).collect()
     assert Counter((r[0], r[2], r[3], r[4], r[5]) for r in got) == Counter(brute_warc(rows, least))
-    assert all(bytes(r["payload"]).decode() in {p or "" for p in pages} for r in got if r["record_type"] == "response")
+    assert all(bytes(r["payload"]).decode() in {r[2] or "" for r in rows} for r in got if r["record_type"] == "response")
     one = warc.read_bundles(warc.find_record(bundles, 4)).collect()
     assert [r["page_id"] for r in one] == [4]
     import zstandard
