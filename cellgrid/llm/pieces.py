@@ -187,7 +187,7 @@ class Encoder:
 
     def _pieces(self, norm: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a normalised text, and the bytes that each covers."""
-        ids = np.array(self.inner.encode(norm), np.int32)
+        ids = self.inner.encode(norm, return_type="numpy")
         if not self.unknown[ids].any():
             return ids, self.widths[ids]
         # what an unknown piece covers is not in the vocabulary
@@ -261,6 +261,6 @@ def decoded(ids: Column, model: str = MODEL) -> Column:
     @F.pandas_udf("string")
     def of(lists: pd.Series) -> pd.Series:
         library = encoder(vocabulary(model)).library
-        return pd.Series([library.decode([] if x is None else x.tolist()) for x in lists], dtype=object)
+        return pd.Series([library.decode(np.zeros(0, np.int32) if x is None else x) for x in lists], dtype=object)
 
     return of(ids)
