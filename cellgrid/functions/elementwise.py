@@ -33,7 +33,13 @@ def _known(value: Column, *xs: Column) -> Column:
 
 
 def wrap_cast(x: Column | str, dtype: str) -> Column:
-    """Cast as C does: toward zero, wrapping at the type's width; unsigned types live in the next wider one."""
+    """Cast as C does: toward zero, wrapping at the type's width; unsigned types live in the next wider one.
+
+    What is no finite number is missing in a whole type.
+    """
+    if dtype not in ("float", "double", "ldouble"):
+        size = F.abs(_c(x).cast("double"))
+        x = F.when(~F.isnan(size) & (size != F.lit(math.inf)), _c(x))
     c = F.floor(F.abs(_c(x).cast("double"))) * F.signum(_c(x).cast("double"))
     unsigned = {"byte": (8, "smallint"), "ushort": (16, "int"), "ulong": (32, "bigint")}
     signed = {"sbyte": (8, "tinyint"), "short": (16, "smallint"), "long": (32, "int")}
@@ -333,6 +339,30 @@ def clog(z) -> Column:
     return czip(log(cabs(z)), carg(z))
 
 
+def casin(z) -> Column:
+    """Principal arc sine: -i log(i z + sqrt(1 - z^2))."""
+    root = csqrt(cplus(r2c(F.lit(1.0)), cmult(r2c(F.lit(-1.0)), cmult(z, z))))
+    w = clog(cplus(cmult(i2c(F.lit(1.0)), z), root))
+    return czip(im(w), -re(w))
+
+
+def cacos(z) -> Column:
+    """Principal arc cosine: a right angle less the arc sine."""
+    s = casin(z)
+    return czip(F.lit(math.pi / 2) - re(s), -im(s))
+
+
+def cacosh(z) -> Column:
+    """Principal inverse of the hyperbolic cosine: log(z + sqrt(z + 1) sqrt(z - 1))."""
+    return clog(cplus(z, cmult(csqrt(cplus(z, r2c(F.lit(1.0)))), csqrt(cplus(z, r2c(F.lit(-1.0)))))))
+
+
+def catanh(z) -> Column:
+    """Principal inverse of the hyperbolic tangent: half of log(1 + z) - log(1 - z)."""
+    up, down = clog(cplus(r2c(F.lit(1.0)), z)), clog(cplus(r2c(F.lit(1.0)), cmult(r2c(F.lit(-1.0)), z)))
+    return czip((re(up) - re(down)) / 2, (im(up) - im(down)) / 2)
+
+
 # polynomials, colours, packed vectors ---------------------------------------------------------------
 
 
@@ -378,6 +408,18 @@ def inner2(a: Column, m: Column, b: Column) -> Column:
     return inner(a, F.transform(m, lambda row: inner(row, b)))
 
 
+def inner2t(a: Column, b: Column, c: Column) -> Column:
+    """The matrix of a (b c) for packed matrices: rows of a on rows of what columns of b and c make."""
+    columns = lambda m: F.transform(F.sequence(F.lit(1), F.size(m[0])), lambda k: F.transform(m, lambda row: F.element_at(row, k.cast("int"))))
+    times = lambda x, y: F.transform(x, lambda row: F.transform(columns(y), lambda column: inner(row, column)))
+    return times(a, times(b, c))
+
+
+def combcoords(x: Column, y: Column, z: Column) -> Column:
+    """Three coordinates as one packed vector."""
+    return F.array(*[c.cast("double") for c in (x, y, z)])
+
+
 def inner2d(a: Column, b: Column) -> Column:
     """Sum of the products of all cells of two packed matrices."""
     return inner(F.flatten(a), F.flatten(b))

@@ -94,7 +94,8 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     inverse, square = 1 / moved, 1 / (moved * moved)
     series = inverse * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square * (1 / 1680 - square / 1188))))
     value = (moved - 0.5) * np.log(moved) - moved + math.log(2 * math.pi) / 2 + series - shift
-    reflected = np.where(x < 0.5, math.log(math.pi) - np.log(np.abs(np.sin(math.pi * np.fmod(x, 2)))) - value, value)
+    with np.errstate(all="ignore"):  # at the poles
+        reflected = np.where(x < 0.5, math.log(math.pi) - np.log(np.abs(np.sin(math.pi * np.fmod(x, 2)))) - value, value)
     return np.where((x <= 0) & (x == np.floor(x)) | np.isinf(x), np.inf, reflected)
 
 

@@ -7,16 +7,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.operators import ranged
+
 
 def bin_of(v: Column, step: float, low: float, bins: int) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((v - low) / step))).cast("long")
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(bins - 1.0), (v - low) / step))).cast("long")
 
 
 def _filled(df: DataFrame, sums: DataFrame, sizes: dict[str, int], out: str, by: list[str]) -> DataFrame:
     grid = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
     for name, n in sizes.items():
         grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return grid.join(sums, [*by, *sizes], "left").select(*by, *sizes, F.coalesce(out, F.lit(0)).alias(out))
+    return ranged.same_keys(grid, sums, [*by, *sizes], "left").select(*by, *sizes, F.coalesce(out, F.lit(0)).alias(out))
 
 
 def histogram(df: DataFrame, v: str, step: float, low: float, bins: int, weight: str | None = None, by: list[str] | None = None, out: str = "hist") -> DataFrame:
@@ -38,9 +40,11 @@ def histogram2d(df: DataFrame, a: str, b: str, steps: tuple, lows: tuple, bins:
 def hist(df: DataFrame, v: str, low: float | None = None, high: float | None = None, step: float | None = None, weight: str | None = None) -> DataFrame:
     """``(centre, bin, hist)`` with limits and step taken from the data where they are not given, by one job.
 
-    Without a good value there is one bin around 0, or around the limits given, that holds nothing.
+    Without a good value there is one bin around 0, or around the limits given, that holds nothing.  Infinite
+    values set no limit; they are in the first and last bin.
     """
-    number = F.when(~F.isnan(F.col(v).cast("double")), F.col(v))
+    size = F.abs(F.col(v).cast("double"))
+    number = F.when(~F.isnan(size) & (size != F.lit(math.inf)), F.col(v))
     lo, hi, n = df.agg(F.min(number), F.max(number), F.count(number)).first()
     lo, hi = (0.0, 0.0) if not n else (lo, hi)
     low, high = lo if low is None else low, hi if high is None else high

@@ -50,8 +50,8 @@ def vsearch(knots: DataFrame, x: str, probes: DataFrame, v: str, mode: str = "sa
         return hit.select("_probe.*", F.col(out).cast("long"))
     if mode == "sample":
         sizes = knots.groupBy(*by).agg((F.count(x) - 1).alias("_last"))
-        run = run.join(sizes, by) if by else run.crossJoin(F.broadcast(sizes))  # one row
-        found: Column = F.least(below, F.col("_last"))
+        run = ranged.same_keys(run, sizes, by, "left") if by else run.crossJoin(F.broadcast(sizes))  # one row
+        found: Column = F.when(F.col("_last").isNotNull(), F.least(below, F.col("_last")))
     elif mode.startswith("bin"):
         found = below - 1
     elif mode.startswith("insert"):
@@ -78,7 +78,10 @@ def vsearchvec(knots: DataFrame, columns: list[str], probes: DataFrame, wanted:
 
 
 def interpolate(knots: DataFrame, x: str, y: str, probes: DataFrame, v: str, by: list[str] | None = None, out: str = "yi") -> DataFrame:
-    """Linear interpolation; outside the knots the end segments are extended and ``err`` is 1."""
+    """Linear interpolation; outside the knots the end segments are extended and ``err`` is 1.
+
+    Missing keys are equal to each other.  Probes of a group without knots have no value, and ``err`` is 1.
+    """
     by = by or []
     near = {"_x1": (x, 1), "_y1": (y, 1), "_x0": (x, -1), "_y0": (y, -1)}
     if by:
@@ -88,9 +91,9 @@ def interpolate(knots: DataFrame, x: str, y: str, probes: DataFrame, v: str, by:
         spans = materialize(ranged.neighbours(ranged.indexed(knots.select(x, y), [x]), "_i", near), "knots")
     ends = knots.groupBy(*by).agg(F.min(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_first"), F.max(x).alias("_hi"))
     second = spans.where("_x0 is null" if by else "_i = 0").select(*by, F.col("_x1").alias("_sx"), F.col("_y1").alias("_sy"))
-    ends = ends.join(second, by) if by else ends.crossJoin(F.broadcast(second))  # one row each
+    ends = ranged.same_keys(ends, second, by) if by else ends.crossJoin(F.broadcast(second))  # one row each
     run = _running(spans, x, [y, "_x1", "_y1", "_x0", "_y0"], probes, v, by, True)
-    run = run.join(ends, by) if by else run.crossJoin(F.broadcast(ends))
+    run = ranged.same_keys(run, ends, by, "left") if by else run.crossJoin(F.broadcast(ends))
     under, top = F.col("_left").isNull(), F.col("_left._x1").isNull()
     xa = F.when(under, F.col("_first.x")).when(top, F.col("_left._x0")).otherwise(F.col(f"_left.{x}"))
     ya = F.when(under, F.col("_first.y")).when(top, F.col("_left._y0")).otherwise(F.col(f"_left.{y}"))
@@ -173,7 +176,7 @@ def hermite_integral(x: np.ndarray, f: np.ndarray, d: np.ndarray, a: float, b: f
 def cubic_interpolate(knots: DataFrame, by: list[str], x: str, y: str, probes: DataFrame, v: str, method: str = "pchip") -> DataFrame:
     """``value`` and ``slope`` at each probe from its group's knots, by ``pchip`` or ``spline``; null for fewer than two knots."""
     packed = knots.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("_k"))
-    both = probes.join(packed, by, "left")
+    both = ranged.same_keys(probes, packed, by, "left")
     slopes = {"pchip": pchip_slopes, "spline": spline_slopes}[method]
 
     @F.pandas_udf("value double, slope double")

@@ -196,6 +196,16 @@ def glue(parts: list[DataFrame], i: str, sizes: list[int]) -> DataFrame:
     return whole
 
 
+def augment(parts: list[DataFrame], sizes: list[int]) -> DataFrame:
+    """Cell matrices ``(i, j, v)`` side by side: columns behind columns."""
+    return glue(parts, "j", sizes)
+
+
+def mstack(parts: list[DataFrame], sizes: list[int]) -> DataFrame:
+    """Cell matrices ``(i, j, v)`` below one another: rows behind rows."""
+    return glue(parts, "i", sizes)
+
+
 def append(a: DataFrame, b: DataFrame, i: str, size_a: int) -> DataFrame:
     """b behind a on one dimension."""
     return a.unionByName(b.withColumn(i, F.col(i) + size_a))

@@ -14,8 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from cellgrid.operators import ranged, search
+from cellgrid.operators import ranged, search, splines
+from cellgrid.plans.shared import materialize
 
 
 def window(by: list[str], order: list[str]) -> WindowSpec:
@@ -54,11 +56,12 @@ def cumuprodover(df: DataFrame, by: list[str], order: list[str], v: str, out: st
 
 
 def locf(df: DataFrame, by: list[str], order: list[str], v: str, out: str = "locf") -> DataFrame:
-    """Last good value carried forward; 0 before the first."""
+    """Last good value carried forward; before the first 0 for numbers, and null for all else."""
+    start = F.lit(0) if isinstance(df.schema[v].dataType, NumericType) else F.lit(None)
     if not by:
-        return _long_run(df, order, v, out, "last").withColumn(out, F.coalesce(out, F.lit(0)))
+        return _long_run(df, order, v, out, "last").withColumn(out, F.coalesce(out, start))
     run = window(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.coalesce(F.last(v, ignorenulls=True).over(run), F.lit(0)))
+    return df.withColumn(out, F.coalesce(F.last(v, ignorenulls=True).over(run), start))
 
 
 def numdiff(df: DataFrame, by: list[str], order: list[str], v: str, out: str = "numdiff") -> DataFrame:
@@ -133,7 +136,8 @@ def conv1d(df: DataFrame, by: list[str], i: str, v: str, kernel: list[float], re
 
 def partial(df: DataFrame, by: list[str], order: list[str], v: str, direction: str = "c", out: str = "partial") -> DataFrame:
     """Derivative at unit spacing: ``c`` centred and periodic, ``f`` difference from the cell before, ``b`` from the cell behind
-    (in backward order), ``p`` monotone cubic, ``s`` cubic spline.  The last two hold a group in memory."""
+    (in backward order), ``p`` monotone cubic, ``s`` cubic spline.  The last two hold a group in memory; without groups
+    they work in ranges, and missing cells are left out of the curve."""
     if direction == "c":
         return diffcentred(df, by, order, v, out)
     if direction == "f":
@@ -141,6 +145,11 @@ def partial(df: DataFrame, by: list[str], order: list[str], v: str, direction: s
     if direction == "b":
         held = with_index(df, by, [F.col(c).desc() for c in order], "_b")
         return numdiff(held, by, ["_b"], v, out).drop("_b")
+    if not by:
+        held = materialize(ranged.indexed(df, order), "indexed")
+        found = splines.slopes(held.select("_i", v), "_i", v, {"p": "pchip", "s": "spline"}[direction])
+        found = found.select(F.col("x").cast("long").alias("_i"), F.col("d").alias(out))
+        return held.join(found, "_i", "left").drop("_i")
     slopes = {"p": search.pchip_slopes, "s": search.spline_slopes}[direction]
 
     def each(g: pd.DataFrame) -> pd.DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cellgrid.operators import ranged
 from cellgrid.operators.graph import connected_components
+from cellgrid.operators.linalg import by_shape
 
 # Cells of a tile's side: a task holds a tile and its surroundings.
 TILE = 128
@@ -23,11 +24,9 @@ TILE = 128
 def _fourier(kind: str, re: Column, im: Column) -> Column:
     @F.pandas_udf("re array<double>, im array<double>")
     def of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(a, b, strict=True):
-            z = None if x is None or y is None else getattr(np.fft, kind)(np.asarray(x, float) + 1j * np.asarray(y, float))
-            rows.append((None, None) if z is None else (z.real.tolist(), z.imag.tolist()))
-        return pd.DataFrame(rows, columns=["re", "im"])
+        z = [None if x is None or y is None else np.asarray(x, float) + 1j * np.asarray(y, float) for x, y in zip(a, b, strict=True)]
+        found = by_shape(z, lambda rows: getattr(np.fft, kind)(rows, axis=1))
+        return pd.DataFrame([(None, None) if x is None else (x.real, x.imag) for x in found], columns=["re", "im"])
 
     return of(re, im)
 
@@ -46,11 +45,11 @@ def realfft(x: Column) -> Column:
 
     @F.pandas_udf("array<double>")
     def of(v: pd.Series) -> pd.Series:
-        out = []
-        for x in v:
-            z = None if x is None else np.fft.rfft(np.asarray(x, float))
-            out.append(None if z is None else np.concatenate([z.real, z.imag[1 : (len(x) + 1) // 2]]).tolist())
-        return pd.Series(out)
+        def packed(x: np.ndarray) -> np.ndarray:
+            z = np.fft.rfft(x, axis=1)
+            return np.concatenate([z.real, z.imag[:, 1 : (x.shape[1] + 1) // 2]], axis=1)
+
+        return pd.Series(by_shape([None if x is None else np.asarray(x, float) for x in v], packed), dtype=object)
 
     return of(x)
 
@@ -58,16 +57,13 @@ def realfft(x: Column) -> Column:
 def realifft(packed: Column) -> Column:
     @F.pandas_udf("array<double>")
     def of(v: pd.Series) -> pd.Series:
-        out = []
-        for p in v:
-            if p is None:
-                out.append(None)
-                continue
-            p, n = np.asarray(p, float), len(p)
-            z = p[: n // 2 + 1].astype(complex)
-            z[1 : (n + 1) // 2] += 1j * p[n // 2 + 1 :]
-            out.append(np.fft.irfft(z, n).tolist())
-        return pd.Series(out)
+        def unpacked(p: np.ndarray) -> np.ndarray:
+            n = p.shape[1]
+            z = p[:, : n // 2 + 1].astype(complex)
+            z[:, 1 : (n + 1) // 2] += 1j * p[:, n // 2 + 1 :]
+            return np.fft.irfft(z, n, axis=1)
+
+        return pd.Series(by_shape([None if p is None else np.asarray(p, float) for p in v], unpacked), dtype=object)
 
     return of(packed)
 
@@ -85,33 +81,54 @@ def fftconvolve(x: Column, kernel: Column) -> Column:
 # long vectors and arrays as cells --------------------------------------------------------------------
 
 
-def _axis_dft(cells: DataFrame, by: list[str], i: str, inverse: bool) -> DataFrame:
-    """Transform along one dimension ``i`` of complex cells ``(by, i, re, im)``: a group's vector is one task's row."""
-    packed = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(i).cast("long").alias("i"), "re", "im"))).alias("z"))
+def _axis_dft(cells: DataFrame, by: list[str], i: str, n: int, inverse: bool) -> DataFrame:
+    """Transform along one dimension ``i`` of complex cells ``(by, i, re, im)``: a group's vector is one task's row.
+
+    Absent cells of the ``n`` are 0; one beyond these, or there twice, is an error.
+    """
+    one = F.struct(F.col(i).cast("long").alias("i"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    packed = cells.groupBy(*by).agg(F.collect_list(one).alias("z"))
     kind = "ifft" if inverse else "fft"
-    done = packed.select(*by, _fourier(kind, F.col("z.re"), F.col("z.im")).alias("w"))
+
+    @F.pandas_udf("re array<double>, im array<double>")
+    def of(places: pd.Series, re: pd.Series, im: pd.Series) -> pd.DataFrame:
+        z = np.zeros((len(places), n), complex)
+        for row, at, x, y in zip(z, places, re, im, strict=True):
+            if len(at) != len(np.unique(at)) or at.min() < 0 or at.max() >= n:
+                raise ValueError(f"cells of a vector of {n} are there twice, or beyond it")
+            row[at] = np.asarray(x, float) + 1j * np.asarray(y, float)
+        done = getattr(np.fft, kind)(z, axis=1)
+        return pd.DataFrame({"re": list(done.real), "im": list(done.imag)})
+
+    done = packed.select(*by, of(F.col("z.i"), F.col("z.re"), F.col("z.im")).alias("w"))
     return done.select(*by, F.posexplode(F.arrays_zip(F.col("w.re").alias("re"), F.col("w.im").alias("im"))).alias(i, "z")).select(*by, F.col(i).cast("long").alias(i), "z.re", "z.im")
 
 
 def fft_cells(cells: DataFrame, by: list[str], i: str, rows: int, columns: int, inverse: bool = False) -> DataFrame:
-    """Transform of vectors of ``rows * columns`` cells ``(by, i, re, im)``, each dense, however long they are.
+    """Transform of vectors of ``rows * columns`` cells ``(by, i, re, im)``, however long they are; absent cells are 0.
 
     The index is taken as a matrix: columns are transformed, turned by the twiddle factors, and rows are
     transformed, so no task holds more of a vector than one row or column.
     """
     n = rows * columns
     apart = cells.select(*by, F.floor(F.col(i) / columns).alias("_a"), F.pmod(F.col(i).cast("long"), F.lit(columns)).alias("_b"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
-    first = _axis_dft(apart, [*by, "_b"], "_a", inverse)
+    first = _axis_dft(apart, [*by, "_b"], "_a", rows, inverse)
     angle = F.col("_a") * F.col("_b") * F.lit((2 if inverse else -2) * math.pi / n)
     re, im = F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle), F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)
-    second = _axis_dft(first.select(*by, "_a", "_b", re.alias("re"), im.alias("im")), [*by, "_a"], "_b", inverse)
+    second = _axis_dft(first.select(*by, "_a", "_b", re.alias("re"), im.alias("im")), [*by, "_a"], "_b", columns, inverse)
     return second.select(*by, (F.col("_a") + F.col("_b") * rows).cast("long").alias(i), "re", "im")
 
 
-def fftnd(cells: DataFrame, by: list[str], dims: list[str], inverse: bool = False) -> DataFrame:
-    """Transform of dense complex cells along several dimensions, one after another."""
-    for d in dims:
-        cells = _axis_dft(cells, [*by, *[x for x in dims if x != d]], d, inverse)
+def fftnd(cells: DataFrame, by: list[str], dims: list[str], inverse: bool = False, shape: list[int] | None = None) -> DataFrame:
+    """Transform of complex cells along several dimensions, one after another; absent cells are 0.
+
+    Without a ``shape`` the largest indices tell it, by one job.
+    """
+    if shape is None:
+        most = cells.agg(*[F.max(d) for d in dims]).first()
+        shape = [0 if m is None else int(m) + 1 for m in most]
+    for d, n in zip(dims, shape, strict=True):
+        cells = _axis_dft(cells, [*by, *[x for x in dims if x != d]], d, n, inverse)
     return cells.select(*by, *dims, "re", "im")
 
 
@@ -225,14 +242,19 @@ def med2d(img: DataFrame, by: list[str], shape: tuple[int, int], height: int, wi
     return _tiled(img, by, shape, (height // 2, width // 2), boundary, lambda w: _quiet(np.nanmedian, w))
 
 
+def med2df(img: DataFrame, by: list[str], shape: tuple[int, int], height: int, width: int, boundary: str = "periodic") -> DataFrame:
+    """Median over all cells of an odd box: ``med2d``, which has no other kind of window."""
+    return med2d(img, by, shape, height, width, boundary)
+
+
 def box2d(img: DataFrame, by: list[str], shape: tuple[int, int], wi: int, wj: int, edgezero: bool = False) -> DataFrame:
-    """Moving mean over an odd box by two sliding windows; cells nearer to an edge than half a box are kept, or zero."""
+    """Moving mean over an odd box, absent and missing cells counting as 0; cells nearer to an edge than half a box
+    are kept, or zero."""
     hi, hj = wi // 2, wj // 2
-    rows = Window.partitionBy(*by, "j").orderBy("i").rowsBetween(-hi, hi)
-    cols = Window.partitionBy(*by, "i").orderBy("j").rowsBetween(-hj, hj)
     inside = F.col("i").between(hi, shape[0] - 1 - hi) & F.col("j").between(hj, shape[1] - 1 - hj)
-    part = img.withColumn("_r", F.sum("v").over(rows)).withColumn("_s", F.sum("_r").over(cols))
-    return part.select(*by, "i", "j", F.when(inside, F.col("_s") / (wi * wj)).otherwise(F.lit(0.0) if edgezero else F.col("v")).alias("v"))
+    means = _tiled(img, by, shape, (hi, hj), "truncate", lambda w: np.nansum(w, axis=(2, 3)) / (wi * wj)).withColumnRenamed("v", "_m")
+    both = ranged.same_keys(img, means, [*by, "i", "j"], "left")
+    return both.select(*by, "i", "j", F.when(inside, F.col("_m")).otherwise(F.lit(0.0) if edgezero else F.col("v")).alias("v"))
 
 
 def patch2d(img: DataFrame, by: list[str], shape: tuple[int, int], bad: str | None = None) -> DataFrame:
@@ -314,10 +336,12 @@ def interp_nd(cells: DataFrame, dims: list[str], shape: list[int], target: DataF
         weight = lambda up: fold(lambda x, y: x * y, [q if u else 1 - q for q, u in zip(part, up, strict=True)])
         corners = F.array(*[F.struct(*[(f + u).alias(f"i{n}") for n, (f, u) in enumerate(zip(low, up, strict=True))], weight(up).alias("w")) for up in product((0, 1), repeat=len(dims))])
         corners = F.filter(corners, lambda c: c["w"] > 0)
-    asked = held.select("_id", "_times", F.explode(corners).alias("c"))
-    asked = asked.select("_id", "_times", F.col("c.w").alias("_w"), *[_edge(F.col(f"c.i{n}"), size, boundary).cast("long").alias(k) for n, (k, size) in enumerate(zip(keys, shape, strict=True))])
-    sums = asked.join(source, keys, "left").groupBy("_id", "_times").agg(F.sum(F.coalesce("_v", F.lit(0.0)) * F.col("_w")).alias("value"))
-    return sums.select("_id", "value", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("_id.*", "value")
+    # a place with a missing part has no value, but its row stays
+    known = fold(lambda x, y: x & y, [F.col(p).isNotNull() for p in place])
+    asked = held.select("_id", "_times", known.alias("_known"), F.explode_outer(F.when(known, corners)).alias("c"))
+    asked = asked.select("_id", "_times", "_known", F.col("c.w").alias("_w"), *[_edge(F.col(f"c.i{n}"), size, boundary).cast("long").alias(k) for n, (k, size) in enumerate(zip(keys, shape, strict=True))])
+    sums = asked.join(source, keys, "left").groupBy("_id", "_times", "_known").agg(F.sum(F.coalesce("_v", F.lit(0.0)) * F.col("_w")).alias("value"))
+    return sums.select("_id", F.when(F.col("_known"), F.col("value")).alias("value"), F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("_id.*", "value")
 
 
 def resample(img: DataFrame, shape: tuple[int, int], target: DataFrame, at_i: Column, at_j: Column, method: str = "linear", boundary: str = "truncate") -> DataFrame:

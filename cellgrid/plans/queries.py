@@ -564,10 +564,12 @@ def mercator(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey", r(x).alias("x"), r(y).alias("y"))
 
 
-@query("SELECT i AS i0, round(CAST(i * 3 AS DOUBLE) / 999 + 1, 9) AS v FROM range(1000) t(i)")
+@query("SELECT o_orderkey, round(1 + 3 * CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS DOUBLE) / ((SELECT count(*) FROM orders) - 1), 9) AS v FROM orders")
 def xlinvals(spark: SparkSession, d: str) -> DataFrame:
-    return generate.axislinvals(spark, [1000], 0, 1.0, 4.0).select("i0", r(F.col("v"), 9).alias("v"))
+    """Orders in a row, at even distances from 1 to 4."""
+    orders = sequences.with_index(read(spark, d, "orders").select("o_orderkey"), [], ["o_orderkey"])
+    return orders.join(generate.axislinvals(spark, [orders.count()], 0, 1.0, 4.0), "i0").select("o_orderkey", r(F.col("v"), 9).alias("v"))
 
 
 # the other modules register their queries when they are imported
-from cellgrid.plans import queries_arrays, queries_images, queries_sources, queries_values  # noqa: E402, F401
+from cellgrid.plans import queries_arrays, queries_images, queries_large, queries_sources, queries_values  # noqa: E402, F401

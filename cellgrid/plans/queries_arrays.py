@@ -9,26 +9,39 @@ from cellgrid.functions import elementwise as E
 from cellgrid.operators import generate, linalg, search, selection, sequences, signal
 from cellgrid.plans.registry import ITEMS, ORDER, SQL_ORDER, items, query, r, read
 
-GRID = "(SELECT CAST(k % 5 AS BIGINT) AS i0, CAST(k // 5 AS BIGINT) AS i1, k FROM range(20) t(k))"
+# vectors as cells: i0 is the element, i1 the vector
+CELLS = "(SELECT CAST(unnest(range(len(embedding))) AS BIGINT) AS i0, vec_id AS i1, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("i1"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i0", "v")).select(F.col("i0").cast("long").alias("i0"), "i1", "v")
+
 
 # generators ----------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT i0, i1, 0.0 AS zeroes, 1.0 AS ones, CAST(k AS DOUBLE) AS sequence, CAST(i1 AS DOUBLE) AS yvals, round(exp(ln(2) + i0 * ln(16) / 4), 6) AS xlog, i0 * 10 + i1 AS coords, round(sqrt((i0 - 2) ** 2 + (i1 - 2) ** 2), 6) AS rvals, 7.5 AS filled FROM {GRID}""")
+@query("""WITH g AS (SELECT unnest(range(7 * (SELECT count(*) FROM customer))) AS k), c AS (SELECT c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS i1 FROM customer)
+    SELECT CAST(k % 7 AS BIGINT) AS i0, CAST(k // 7 AS BIGINT) AS i1, c_acctbal AS kept, CAST(k AS DOUBLE) AS sequence, CAST(k // 7 AS DOUBLE) AS yvals, round(exp(ln(2) + k % 7 * ln(16) / 6), 6) AS xlog, k % 7 * 10 + k // 7 AS coords, round(sqrt((k % 7 - 3) ** 2 + (k // 7 - (SELECT count(*) FROM customer) // 2) ** 2), 6) AS rvals, 7.5 AS filled FROM g JOIN c ON c.i1 = k // 7""")
 def generators(spark: SparkSession, d: str) -> DataFrame:
-    shape, on = [5, 4], ["i0", "i1"]
+    """A grid with a row for each customer, whose balance ones and zeroes leave as it is."""
+    customers = read(spark, d, "customer").select("c_custkey", "c_acctbal")
+    shape, on = [7, customers.count()], ["i0", "i1"]
     made = {"zeroes": generate.zeroes(spark, shape), "ones": generate.ones(spark, shape), "sequence": generate.sequence(spark, shape), "yvals": generate.axisvals(spark, shape, 1), "xlog": generate.axislogvals(spark, shape, 0, 2.0, 32.0), "coords": generate.ndcoords(spark, shape), "rvals": generate.rvals(spark, shape), "filled": generate.constant(spark, shape, 7.5)}
     out = None
     for name, df in made.items():
         v = F.col("v")[0] * 10 + F.col("v")[1] if name == "coords" else r(F.col("v"))
         part = df.select(*on, v.alias(name))
         out = part if out is None else out.join(part, on)
-    return out
+    held = sequences.with_index(customers, [], ["c_custkey"]).select(F.col("i0").alias("i1"), "c_acctbal")
+    return out.join(held, "i1").withColumn("kept", F.col("c_acctbal") * F.col("ones") + F.col("zeroes")).select(*on, "kept", "sequence", "yvals", "xlog", "coords", "rvals", "filled")
 
 
-@query("SELECT i AS i0, j AS i1, CAST(i = j AS DOUBLE) AS v FROM range(6) a(i), range(6) b(j)")
+@query("SELECT CAST(s_suppkey AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, s_acctbal AS v FROM supplier")
 def identity_cells(spark: SparkSession, d: str) -> DataFrame:
-    return generate.identity(spark, 6)
+    """The identity times the suppliers' balances."""
+    balances = read(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.col("s_acctbal").alias("v"))
+    one = generate.identity(spark, balances.agg(F.max("i")).first()[0] + 1)
+    return linalg.matmult(one.where("v != 0").withColumnsRenamed({"i0": "i", "i1": "j"}), balances)
 
 
 @query("SELECT CAST(s_suppkey AS BIGINT) AS i0, CAST(s_suppkey AS BIGINT) AS i1, s_acctbal AS v FROM supplier")
@@ -41,29 +54,38 @@ def meshgrid_names(spark: SparkSession, d: str) -> DataFrame:
     return generate.meshgrid([read(spark, d, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("v")), read(spark, d, "region").select(F.col("r_regionkey").alias("i"), F.col("r_name").alias("v"))])
 
 
-@query("WITH RECURSIVE f(i0, v, w) AS (SELECT CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT i0 + 1, w, v + w FROM f WHERE i0 < 79) SELECT i0, v FROM f")
+@query("WITH RECURSIVE f(i0, v, w) AS (SELECT CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT i0 + 1, w, v + w FROM f WHERE i0 < 60) SELECT p_partkey, v FROM part JOIN f ON i0 = p_size")
 def fibonacci_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return generate.fibonacci(spark, 80)
+    """For each part the number at the place of its size."""
+    parts = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("i0"))
+    return parts.join(generate.fibonacci(spark, parts.agg(F.max("i0")).first()[0] + 1), "i0").select("p_partkey", "v")
 
 
-@query("SELECT CAST(2000 AS BIGINT) AS n, true AS inside, true AS strictly, true AS centred")
+@query("SELECT 40 * count(*) AS n, true AS inside, true AS strictly, true AS centred FROM customer")
 def random_cells(spark: SparkSession, d: str) -> DataFrame:
-    u, s, g = (generate.random(spark, [50, 40], 7), generate.randsym(spark, [50, 40], 7), generate.random(spark, [50, 40], 7, normal=True))
+    """Forty values for each customer, and whether they are spread as they should."""
+    shape = [40, read(spark, d, "customer").count()]
+    u, s, g = (generate.random(spark, shape, 7), generate.randsym(spark, shape, 7), generate.random(spark, shape, 7, normal=True))
     inside = u.agg(F.count("*").alias("n"), (F.bool_and((F.col("v") >= 0) & (F.col("v") < 1)) & (F.abs(F.avg("v") - 0.5) < 0.05)).alias("inside"))
     return inside.crossJoin(s.agg(F.bool_and((F.col("v") > 0) & (F.col("v") < 1)).alias("strictly"))).crossJoin(g.agg(((F.abs(F.avg("v")) < 0.1) & (F.abs(F.stddev("v") - 1) < 0.1)).alias("centred")))  # one row each
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 1.0::DOUBLE), (1, 0, 2), (2, 0, 3), (0, 1, 4), (1, 1, NULL), (2, 1, 0)) t(i0, i1, v)")
+@query("""WITH p AS (SELECT n_regionkey AS i1, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i0, CAST(n_nationkey AS DOUBLE) AS v FROM nation WHERE n_nationkey > 2), n AS (SELECT max(i0) AS m FROM p)
+    SELECT CAST(g.i0 AS BIGINT) AS i0, CAST(r_regionkey AS BIGINT) AS i1, coalesce(v, -1) AS v FROM region CROSS JOIN (SELECT unnest(range(m + 1)) AS i0 FROM n) g LEFT JOIN p ON p.i0 = g.i0 AND p.i1 = r_regionkey""")
 def literal_cells(spark: SparkSession, d: str) -> DataFrame:
-    return generate.literal(spark, [[1, 2, 3], [4, None]]).unionAll(generate.empty(spark, 2))
-
+    """The nations of each region, without the first three, as a nested list, short ones filled with -1."""
+    held = read(spark, d, "nation").where("n_nationkey > 2").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("ns")).orderBy("n_regionkey")
+    lists = [[float(x) for x in row["ns"]] for row in held.collect()]
+    return generate.literal(spark, lists, -1.0).unionAll(generate.empty(spark, 2))
 
-_POINTS = "SELECT k AS line, j AS nth, radians(k * 30 - 180) AS lon, radians(j - 90) AS lat FROM range(12) t(k), range(181) u(j) UNION ALL SELECT k + 12, j, radians(j - 180), radians(k * 30 - 90) FROM range(7) t(k), range(361) u(j)"
 
-
-@query(f"SELECT line, nth, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_POINTS})")
+@query("SELECT c_custkey, round(radians(c_custkey * 7 % 360 // 30 * 30 - 180), 6) AS lon, round(radians(c_custkey * 11 % 181 - 90), 6) AS lat, round(radians(c_custkey * 13 % 361 - 180), 6) AS along FROM customer")
 def graticule(spark: SparkSession, d: str) -> DataFrame:
-    return generate.earth_graticule(spark, 30).select("line", "nth", r(F.col("lon")).alias("lon"), r(F.col("lat")).alias("lat"))
+    """The points of a meridian and of the equator that each customer is sent to."""
+    points = generate.earth_graticule(spark, 30)
+    at = read(spark, d, "customer").select("c_custkey", F.floor(F.col("c_custkey") * 7 % 360 / 30).alias("line"), (F.col("c_custkey") * 11 % 181).cast("long").alias("nth"), (F.col("c_custkey") * 13 % 361).cast("long").alias("k"))
+    equator = points.where("line = 15").select(F.col("nth").alias("k"), F.col("lon").alias("along"))
+    return at.join(points, ["line", "nth"]).join(equator, "k").select("c_custkey", *[r(F.col(c)).alias(c) for c in ("lon", "lat", "along")])
 
 
 # selection -----------------------------------------------------------------------------------------
@@ -108,14 +130,14 @@ def sec_items(spark: SparkSession, d: str) -> DataFrame:
     return selection.slice_dim(items(spark, d, "l_tax"), "i0", 1, 3)
 
 
-@query(f"SELECT i0, i1, CASE WHEN i0 BETWEEN 1 AND 3 AND i1 BETWEEN 2 AND 3 THEN 1.0 ELSE CAST(k AS DOUBLE) END AS v FROM {GRID}")
+@query(f"SELECT i0, i1, CASE WHEN i0 BETWEEN 1 AND 3 AND i1 BETWEEN 2 AND 41 THEN 1.0 ELSE v END AS v FROM {CELLS}")
 def insert_block(spark: SparkSession, d: str) -> DataFrame:
-    return selection.insert(generate.sequence(spark, [5, 4]), generate.ones(spark, [3, 2]), ["i0", "i1"], "v", [1, 2])
+    return selection.insert(_cells(spark, d), generate.ones(spark, [3, 40]), ["i0", "i1"], "v", [1, 2])
 
 
-@query(f"SELECT i0, i1, CASE WHEN i0 = 2 AND i1 = 1 THEN NULL ELSE CAST(k AS DOUBLE) END AS v FROM {GRID}")
+@query(f"SELECT i0, i1, CASE WHEN i0 = 2 AND i1 = 1 THEN NULL ELSE v END AS v FROM {CELLS}")
 def setbadat_cell(spark: SparkSession, d: str) -> DataFrame:
-    return selection.setbadat(generate.sequence(spark, [5, 4]), ["i0", "i1"], [2, 1], "v")
+    return selection.setbadat(_cells(spark, d), ["i0", "i1"], [2, 1], "v")
 
 
 # reshaping -----------------------------------------------------------------------------------------
@@ -137,15 +159,16 @@ def xchg_sums(spark: SparkSession, d: str) -> DataFrame:
     return selection.xchg(_sums(spark, d), "i", "j")
 
 
-@query(f"SELECT CAST(i1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, i0 AS c, CAST(k AS DOUBLE) AS v FROM {GRID}")
+@query(f"SELECT i1 AS a, CAST(0 AS BIGINT) AS b, i0 AS c, v FROM {CELLS}")
 def mv_reorder(spark: SparkSession, d: str) -> DataFrame:
-    x = generate.sequence(spark, [5, 4, 1]).withColumnsRenamed({"i0": "a", "i1": "b", "i2": "c"})
+    x = _cells(spark, d).withColumnsRenamed({"i0": "a", "i1": "b"}).select("a", "b", F.lit(0).cast("long").alias("c"), "v")
     return selection.reorder(selection.mv(x, ["a", "b", "c"], 0, -1), ["a", "b", "c"], [0, 1, 2])
 
 
-@query(f"SELECT i0, CASE i1 WHEN 1 THEN 0 ELSE 1 END AS part, CAST(k AS DOUBLE) AS v FROM {GRID} WHERE i1 IN (1, 3)")
+@query(f"SELECT i0, CASE i1 WHEN 1 THEN 0 ELSE 1 END AS part, v FROM {CELLS} WHERE i1 IN (1, 3)")
 def squeeze_using(spark: SparkSession, d: str) -> DataFrame:
-    x = selection.squeeze(generate.sequence(spark, [5, 4, 1]), {"i0": 5, "i1": 4, "i2": 1})
+    x = _cells(spark, d).withColumn("i2", F.lit(0).cast("long"))
+    x = selection.squeeze(x, {"i0": 64, "i1": read(spark, d, "embeddings").count(), "i2": 1})
     a, b = selection.using(x, "i1", [1, 3])
     return a.withColumn("part", F.lit(0)).unionAll(b.withColumn("part", F.lit(1)))
 
@@ -155,14 +178,14 @@ def dup_names(spark: SparkSession, d: str) -> DataFrame:
     return selection.dup(read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"), F.col("n_name").alias("v")), "i", 25, 3)
 
 
-@query(f"SELECT i0 * 2 + a AS i0, i1 * 3 + b AS i1, CAST(k AS DOUBLE) AS v FROM {GRID}, range(2) t(a), range(3) u(b)")
+@query(f"SELECT i0 * 2 + a AS i0, i1 * 3 + b AS i1, v FROM {CELLS}, range(2) t(a), range(3) u(b)")
 def inflate_cells(spark: SparkSession, d: str) -> DataFrame:
-    return selection.inflate_n(generate.sequence(spark, [5, 4]), {"i0": 2, "i1": 3})
+    return selection.inflate_n(_cells(spark, d), {"i0": 2, "i1": 3})
 
 
-@query("SELECT i + 4 * a AS i0, j + 3 * b AS i1, CAST(i + 4 * j AS DOUBLE) AS v FROM range(4) t(i), range(3) u(j), range(2) w(a), range(3) x(b)")
+@query(f"SELECT i0 + 64 * a AS i0, i1 + (SELECT count(*) FROM embeddings) * b AS i1, v FROM {CELLS}, range(2) w(a), range(3) x(b)")
 def dupn_cells(spark: SparkSession, d: str) -> DataFrame:
-    return selection.dup_n(generate.sequence(spark, [4, 3]), {"i0": (4, 2), "i1": (3, 3)})
+    return selection.dup_n(_cells(spark, d), {"i0": (64, 2), "i1": (read(spark, d, "embeddings").count(), 3)})
 
 
 @query("SELECT n_regionkey, n_name, CAST(t AS BIGINT) AS copy FROM nation, range(2) u(t)")
@@ -170,18 +193,26 @@ def dummy_names(spark: SparkSession, d: str) -> DataFrame:
     return selection.dummy(read(spark, d, "nation").select("n_regionkey", "n_name"), 2, "copy")
 
 
-@query("SELECT r_regionkey AS i, r_name AS v, CAST(0 AS BIGINT) AS k FROM region UNION ALL SELECT n_nationkey, n_name, 1 FROM nation WHERE n_nationkey < 5")
+@query("SELECT c_custkey AS i, c_name AS v, CAST(0 AS BIGINT) AS k FROM customer UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier")
 def cat_dog(spark: SparkSession, d: str) -> DataFrame:
-    a = read(spark, d, "region").select(F.col("r_regionkey").alias("i"), F.col("r_name").alias("v"))
-    b = read(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("v"))
+    a = read(spark, d, "customer").select(F.col("c_custkey").alias("i"), F.col("c_name").alias("v"))
+    b = read(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_name").alias("v"))
     parts = selection.dog(selection.cat([a, b], "k"), "k", 2)
     return selection.cat(parts, "k")
 
 
-@query(f"SELECT i0 + 5 * t AS i0, i1, CAST(k AS DOUBLE) + 100 * t AS v FROM {GRID}, range(3) u(t)")
+@query(f"SELECT i0 AS i, i1 + t * (SELECT count(*) FROM embeddings) AS j, v * (1 + t) AS v FROM {CELLS}, range(2) u(t) UNION ALL SELECT i0 + 64, i1, -v FROM {CELLS} WHERE i0 < 64")
+def stacked_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Twice the vectors beside themselves, and their negatives below."""
+    x, n = _cells(spark, d).withColumnsRenamed({"i0": "i", "i1": "j"}), read(spark, d, "embeddings").count()
+    wide = selection.augment([x, x.withColumn("v", F.col("v") * 2)], [n, n])
+    return selection.mstack([wide, x.withColumn("v", -F.col("v"))], [64, 64])
+
+
+@query(f"SELECT i0 + 64 * t AS i0, i1, v + 100 * t AS v FROM {CELLS}, range(3) u(t)")
 def glue_grids(spark: SparkSession, d: str) -> DataFrame:
-    x = generate.sequence(spark, [5, 4])
-    return selection.glue([x, x.withColumn("v", F.col("v") + 100), x.withColumn("v", F.col("v") + 200)], "i0", [5, 5, 5])
+    x = _cells(spark, d)
+    return selection.glue([x, x.withColumn("v", F.col("v") + 100), x.withColumn("v", F.col("v") + 200)], "i0", [64, 64, 64])
 
 
 @query(f"SELECT CAST(least(i, j) AS BIGINT) AS a, CAST(greatest(i, j) AS BIGINT) AS b, v FROM {_SUMS} WHERE i <= j UNION ALL SELECT CAST(j AS BIGINT), CAST(i AS BIGINT), v FROM {_SUMS} WHERE i < j")
@@ -269,10 +300,10 @@ def rldvec_flags(spark: SparkSession, d: str) -> DataFrame:
     return sequences.rldvec(sequences.rlevec(items(spark, d, *flags), ["l_orderkey"], ["i0"], flags), ["l_orderkey"], flags)
 
 
-@query("""WITH k AS (SELECT DISTINCT l_linenumber AS a, CAST(l_quantity AS INT) AS b FROM lineitem WHERE l_discount > 0.04), n AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS at FROM k)
+@query("""WITH k AS (SELECT DISTINCT l_linenumber AS a, CAST(l_quantity AS INT) AS b FROM lineitem), n AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS at FROM k)
     SELECT p_partkey, (SELECT count(*) FROM n WHERE (n.a, n.b) < (p.a, p.b)) AS found FROM (SELECT p_partkey, CAST(p_partkey % 9 AS INT) AS a, p_size AS b FROM part) p""")
 def vsearchvec_parts(spark: SparkSession, d: str) -> DataFrame:
-    k = read(spark, d, "lineitem").where("l_discount > 0.04").select(F.col("l_linenumber").alias("a"), F.col("l_quantity").cast("int").alias("b"))
+    k = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("a"), F.col("l_quantity").cast("int").alias("b"))
     p = read(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 9).cast("int").alias("a"), F.col("p_size").alias("b"))
     return search.vsearchvec(k, ["a", "b"], p, ["a", "b"]).select("p_partkey", "found")
 
@@ -340,7 +371,7 @@ def convolve_cube(spark: SparkSession, d: str) -> DataFrame:
     return signal.convolve_nd(cube, [], ["i", "j", "k"], [7, 5, 4], {(0, 0, 0): 0.5, (1, 0, 0): 0.2, (0, -1, 1): 0.3}).select("i", "j", "k", r(F.col("v"), 4).alias("v"))
 
 
-@query("SELECT CAST((i + 10 - 2) % 10 AS BIGINT) AS i, CAST((j + 6 - 1) % 6 AS BIGINT) AS j, CAST(i + 4 * j AS DOUBLE) AS v FROM range(4) t(i), range(3) u(j)")
+@query(f"WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT (i0 + 100 - 32) % 100 AS i, (i1 + n + 10 - n // 2) % (n + 10) AS j, v FROM {CELLS}, n")
 def kernctr_cells(spark: SparkSession, d: str) -> DataFrame:
-    kernel = generate.sequence(spark, [4, 3]).withColumnsRenamed({"i0": "i", "i1": "j"})
-    return signal.kernctr(kernel, ["i", "j"], [4, 3], [10, 6])
+    n = read(spark, d, "embeddings").count()
+    return signal.kernctr(_cells(spark, d).withColumnsRenamed({"i0": "i", "i1": "j"}), ["i", "j"], [64, n], [100, n + 10])
