@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.operators import dense, linalg, paths, sequences, signal, splines
+from cellgrid.operators import dense, forces, linalg, paths, sequences, signal, splines
 from cellgrid.plans.registry import query, r, read
 from cellgrid.plans.shared import materialize
 
@@ -169,3 +169,29 @@ def order_paths(spark: SparkSession, d: str) -> DataFrame:
     after = steps.select("o_custkey", (F.col("i0") - 1).alias("i0"), F.col("o_orderkey").alias("dst"))
     edges = steps.join(after, ["o_custkey", "i0"]).select(F.col("o_orderkey").alias("src"), "dst")
     return paths.path_join(edges).select("path", "nth", "node")
+
+
+# forces ----------------------------------------------------------------------------------------------
+
+POINTS = "(SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+WAYS = f"""(SELECT p.vec_id, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz, 0.01 + sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS r FROM {POINTS} p, {POINTS} q
+    WHERE abs(trunc(p.x * 16) - trunc(q.x * 16)) <= 1 AND abs(trunc(p.y * 16) - trunc(q.y * 16)) <= 1 AND abs(trunc(p.z * 16) - trunc(q.z * 16)) <= 1)"""
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).cast("array<double>").alias("p"))
+
+
+@query(f"""SELECT vec_id, round(-sum((0.01 / r ** 2 + 0.02 / r - 0.05 / sqrt(r)) * dx), 6) + 0e0 AS x, round(-sum((0.01 / r ** 2 + 0.02 / r - 0.05 / sqrt(r)) * dz), 6) + 0e0 AS z FROM {WAYS} GROUP BY 1""")
+def repulsed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    got = forces.repulse(_points(spark, d), "vec_id", "p", 1 / 16, 0.01, 0.02, -0.05)
+    return got.select("vec_id", (r(F.col("force")[0]) + 0.0).alias("x"), (r(F.col("force")[2]) + 0.0).alias("z"))
+
+
+@query(f"""WITH l AS (SELECT p.vec_id AS a, q.vec_id AS b, p.x - q.x AS dx, (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 AS r2 FROM {POINTS} p JOIN {POINTS} q ON q.vec_id = p.vec_id // 7)
+    SELECT vec_id, round(coalesce((SELECT sum(-dx * 0.5 * (2 * r2 + 3 * sqrt(r2))) FROM l WHERE a = vec_id), 0) + coalesce((SELECT sum(dx * 0.5 * (2 * r2 + 3 * sqrt(r2))) FROM l WHERE b = vec_id), 0), 6) + 0e0 AS x FROM embeddings""")
+def attracted_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector is linked to the one at a seventh of its number."""
+    points = _points(spark, d)
+    links = points.select(F.col("vec_id").alias("src"), F.floor(F.col("vec_id") / 7).alias("dst"), F.lit(0.5).alias("strength"))
+    return forces.attract(points, "vec_id", "p", links, 3.0, 2.0).select("vec_id", (r(F.col("force")[0]) + 0.0).alias("x"))
