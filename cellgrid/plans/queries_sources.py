@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellgrid.functions import rice
 from cellgrid.plans.registry import query, r, read
 from cellgrid.plans.shared import new_path
-from cellgrid.sources import binary, text
+from cellgrid.sources import binary, spans, text
 
 _SUPPLIERS = "SELECT s_suppkey, s_acctbal, CAST(s_nationkey AS INT) AS s_nationkey FROM supplier"
 
@@ -146,10 +147,80 @@ def stl_mesh(spark: SparkSession, d: str) -> DataFrame:
     face = F.array(n, F.lit(0.0), g, g, F.lit(1.0), g, F.lit(1.0), F.lit(0.5), g)
     mesh = read(spark, d, "nation").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", face.alias("f")))), lambda x: x["f"])).alias("corners"))  # one small mesh
     binary.save(mesh.select(F.lit("nations.stl").alias("name"), binary.stl_of(F.col("corners")).alias("content")), folder)
-    return binary.rstl(spark, folder).select("face", "corner", *[r(F.col(c), 4).alias(c) for c in "xyz"])
+    return spans.rstl(spark, folder).select("face", "corner", *[r(F.col(c), 4).alias(c) for c in "xyz"])
 
 
 @query("SELECT count(DISTINCT (CASE c WHEN 0 THEN n_nationkey WHEN 1 THEN n_regionkey ELSE 1 END, c, n_regionkey)) AS vertices, CAST(75 AS BIGINT) AS corners FROM nation, (VALUES (0), (1), (2)) t(c)")
 def stl_vertices(spark: SparkSession, d: str) -> DataFrame:
     vertices, index = binary.mesh_vertices(stl_mesh(spark, d).withColumn("file", F.lit("f")))
     return vertices.agg(F.count("*").alias("vertices")).crossJoin(index.agg(F.count("*").alias("corners")))  # one row each
+
+
+# large files in ranges -------------------------------------------------------------------------------
+
+# the vectors in thousandths, by 256 in an image of 64 columns
+_PLATES = "(SELECT vec_id // 256 AS plate, row_number() OVER (PARTITION BY vec_id // 256 ORDER BY vec_id) - 1 AS j, generate_subscripts(embedding, 1) - 1 AS i, CAST(floor(1000 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS v FROM embeddings)"
+
+
+def _thousandths(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(1000) * x.cast("double"))).alias("x"))
+
+
+def _plates(spark: SparkSession, d: str) -> DataFrame:
+    """At most 256 vectors each, as packed images."""
+    plates = _thousandths(spark, d).groupBy(F.floor(F.col("vec_id") / 256).alias("plate"))
+    rows = plates.agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("rows"))
+    return rows.select("plate", F.flatten(F.col("rows.x")).alias("data"), F.array(F.lit(64), F.size("rows")).alias("shape"))
+
+
+def _plate_cells(cells: DataFrame) -> DataFrame:
+    plate = F.regexp_extract("file", r"([0-9]+)[.][a-z]+$", 1).cast("long")
+    return cells.select(plate.alias("plate"), F.col("i")[0].alias("i"), F.col("i")[1].alias("j"), F.col("v").cast("long").alias("v"))
+
+
+@query("""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(floor(1000 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS v FROM embeddings),
+    d AS (SELECT vec_id, i // 32 AS b, coalesce(v - lag(v) OVER (PARTITION BY vec_id ORDER BY i), 0) AS d FROM x),
+    f AS (SELECT vec_id, b, CASE WHEN d < 0 THEN -2 * d - 1 ELSE 2 * d END AS f FROM d),
+    m AS (SELECT vec_id, b, sum(f) AS s, CAST(floor(greatest((sum(f) - 17) / 32, 0)) AS BIGINT) // 2 AS m FROM f GROUP BY 1, 2),
+    k AS (SELECT *, CASE WHEN m = 0 THEN 0 ELSE length(bin(m)) END AS k FROM m),
+    l AS (SELECT vec_id, b, 5 + CASE WHEN any_value(s) = 0 THEN 0 WHEN any_value(k) >= 25 THEN 1024 ELSE sum((f >> k) + 1 + k) END AS bits FROM f JOIN k USING (vec_id, b) GROUP BY 1, 2)
+    SELECT vec_id, CAST(ceil((32 + sum(bits)) / 8) AS BIGINT) AS len, CAST(64 AS BIGINT) AS size, (SELECT sum(v * (i + 1)) FROM x WHERE x.vec_id = l.vec_id) AS read_back FROM l GROUP BY 1""")
+def rice_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes that each vector takes, and a sum over what is read back from them."""
+    coded = _thousandths(spark, d).select("vec_id", rice.rice_compress(F.col("x")).alias("c"))
+    back = coded.select("vec_id", "c.len", "c.size", rice.rice_expand(F.col("c.data"), F.col("c.size")).alias("x"))
+    weighted = F.aggregate(F.transform("x", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return back.select("vec_id", "len", "size", weighted.alias("read_back"))
+
+
+@query(f"SELECT plate, i, j, v FROM {_PLATES}")
+def fits_tiled(spark: SparkSession, d: str) -> DataFrame:
+    """Images stored as Rice-coded tiles, whose sides don't divide the image's."""
+    folder = new_path(spark, "tiled")
+    binary.save(_plates(spark, d).select(F.concat(F.col("plate").cast("string"), F.lit(".fits")).alias("name"), spans.tiled_fits_of(F.col("data"), F.col("shape"), "i4", [24, 10]).alias("content")), folder)
+    return _plate_cells(spans.fits_tiled_cells(spark, folder))
+
+
+@query(f"SELECT plate, i, j, v FROM {_PLATES}")
+def fits_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Images read in spans of 1000 pixels."""
+    folder = new_path(spark, "fits")
+    binary.save(_plates(spark, d).select(F.concat(F.col("plate").cast("string"), F.lit(".fits")).alias("name"), binary.fits_of(F.col("data"), F.col("shape"), "i2").alias("content")), folder)
+    return _plate_cells(spans.fits_cells(spark, folder, per=1000))
+
+
+@query("SELECT l_orderkey, unit, v FROM (SELECT l_orderkey, 0 AS unit, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1 UNION ALL SELECT l_orderkey, 1, sum(l_quantity) / 2 FROM lineitem GROUP BY 1)")
+def flex_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of all orders in a range of keys in one file of two chunks, read in spans of 100 numbers."""
+    folder = new_path(spark, "flex")
+    orders = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("n"), (F.sum("l_quantity") / 2).alias("q"))
+    files = orders.groupBy(F.floor(F.col("l_orderkey") / 4096).alias("file")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "n", "q"))).alias("o"))
+    wide = 4096  # a place for each key that a file may hold
+    place = lambda x: F.pmod(x["l_orderkey"], F.lit(wide)).cast("int")
+    held = F.map_from_entries(F.transform("o", lambda x: F.struct(place(x).alias("k"), x.alias("x"))))
+    chunk = lambda c: F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda k: F.coalesce(F.try_element_at(F.col("held"), k)[c], F.lit(-1.0)))
+    content = F.concat(binary.raw_bytes(chunk("n"), "short"), binary.raw_bytes(chunk("q"), "double", swap=True))
+    binary.save(files.withColumn("held", held).select(F.concat(F.col("file").cast("string"), F.lit(".flex")).alias("name"), content.alias("content")), folder)
+    got = spans.raw_cells(spark, folder, [{"type": "short", "dims": [wide]}, {"type": "double", "dims": [wide], "swap": True}], per=100)
+    key = F.regexp_extract("file", r"([0-9]+)[.]flex$", 1).cast("long") * wide + F.col("i")[0]
+    return got.where("v >= 0").select(key.alias("l_orderkey"), "unit", "v")

@@ -1,7 +1,7 @@
 """Binary array files: raw arrays with text headers, FITS images and tables, PNM images, STL meshes.
 
-Files are read whole by Spark's ``binaryFile`` source, one row per file, and opened into cells in Arrow
-batches; a file is the unit of work, as its header comes first.  Writers encode packed arrays into a column of
+Here files are read whole by Spark's ``binaryFile`` source, one row per file, and opened into packed arrays in Arrow
+batches; ``spans`` deals ranges of large files to tasks.  Writers encode packed arrays into a column of
 bytes, and ``save`` has the executors write such columns as files.
 """
 
@@ -144,14 +144,14 @@ def _fits_value(text: str) -> object:
         return float(text.replace("D", "E")) if text else None
 
 
-def fits_units(content: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(header, data) of each unit of a file."""
+def fits_places(read: Callable[[int, int], bytes], length: int) -> Iterator[tuple[dict, int, int]]:
+    """(header, where its data begin, their bytes) of each unit of a file, of which ``read(at, n)`` gives ranges."""
     at = 0
-    while at + FITS_BLOCK <= len(content):
+    while at + FITS_BLOCK <= length:
         header: dict[str, object] = {}
         ended = False
-        while not ended and at < len(content):
-            block = content[at : at + FITS_BLOCK].decode("latin-1")
+        while not ended and at < length:
+            block = read(at, FITS_BLOCK).decode("latin-1")
             at += FITS_BLOCK
             for card in (block[i : i + FITS_CARD] for i in range(0, FITS_BLOCK, FITS_CARD)):
                 name = card[:8].strip().upper()
@@ -160,10 +160,16 @@ def fits_units(content: bytes) -> Iterator[tuple[dict, bytes]]:
                     header[name] = _fits_value(card[10:])
         dims = [int(header.get(f"NAXIS{i}", 0)) for i in range(1, int(header.get("NAXIS", 0)) + 1)]
         size = (abs(int(header.get("BITPIX", 8))) // 8) * int(header.get("GCOUNT", 1)) * (int(header.get("PCOUNT", 0)) + int(np.prod(dims)) if dims else 0)
-        yield header, content[at : at + size]
+        yield header, at, size
         at += -(-size // FITS_BLOCK) * FITS_BLOCK
 
 
+def fits_units(content: bytes) -> Iterator[tuple[dict, bytes]]:
+    """(header, data) of each unit of a file."""
+    for header, at, size in fits_places(lambda at, n: content[at : at + n], len(content)):
+        yield header, content[at : at + size]
+
+
 def rfitshdr(spark: SparkSession, path: str) -> DataFrame:
     """``(file, unit, header)``: a map of text per unit."""
 
@@ -192,39 +198,40 @@ def rfits(spark: SparkSession, path: str, bscale: bool = True) -> DataFrame:
     return _opened(spark, path, "unit int, shape array<long>, data array<double>", parse)
 
 
-def rfits_table(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, unit, row, fields)`` of binary tables: numbers of each column by name, repeated names numbered."""
+def fits_fields(header: dict) -> np.dtype:
+    """The layout of a binary table's rows: repeated names are numbered, a column of a varying length is a pair (length, place)."""
+    fields, seen = [], {}
+    for i in range(1, int(header["TFIELDS"]) + 1):
+        count, code = re.match(r"(\d*)([A-Z])", str(header[f"TFORM{i}"]).strip()).groups()
+        name = str(header.get(f"TTYPE{i}") or f"COL_{i}").strip()
+        seen[name] = seen.get(name, -1) + 1
+        n = int(count or 1)
+        kind, shape = (f"S{n}", ()) if code == "A" else ({"P": ">i4", "Q": ">i8"}[code], (2 * n,)) if code in "PQ" else (FITS_COLUMNS[code], () if n == 1 else (n,))
+        fields.append((name if not seen[name] else f"{name}_{seen[name]}", kind, shape))
+    return np.dtype(fields)
 
-    def parse(content: bytes) -> Iterator[tuple]:
-        for k, (h, data) in enumerate(fits_units(content)):
-            if str(h.get("XTENSION", "")).strip() != "BINTABLE":
-                continue
-            fields, seen = [], {}
-            for i in range(1, int(h["TFIELDS"]) + 1):
-                count, code = re.match(r"(\d*)([A-Z])", str(h[f"TFORM{i}"])).groups()
-                name = str(h.get(f"TTYPE{i}") or f"COL_{i}").strip()
-                seen[name] = seen.get(name, -1) + 1
-                n = int(count or 1)
-                fields.append((name if not seen[name] else f"{name}_{seen[name]}", f"S{n}" if code == "A" else FITS_COLUMNS[code], () if code == "A" or n == 1 else (n,)))
-            for r, row in enumerate(np.frombuffer(data, np.dtype(fields), int(h["NAXIS2"]))):
-                yield k, r, {f[0]: [x.decode("latin-1").rstrip() if isinstance(x, bytes) else str(x) for x in np.atleast_1d(row[f[0]]).tolist()] for f in fields}
 
-    return _opened(spark, path, "unit int, row long, fields map<string,array<string>>", parse)
+FITS_BITPIX = {"u1": 8, "i2": 16, "i4": 32, "i8": 64, "f4": -32, "f8": -64}
 
 
-def fits_bytes(data: np.ndarray, header: dict | None = None) -> bytes:
-    """A FITS file of one image; the array's last axis is the first dimension.  NaN stays NaN."""
-    bitpix = {"u1": 8, "i2": 16, "i4": 32, "i8": 64, "f4": -32, "f8": -64}[data.dtype.str[1:]]
-    cards = [f"SIMPLE  = {'T':>20}", f"BITPIX  = {bitpix:>20}", f"NAXIS   = {data.ndim:>20}"] + [f"NAXIS{i + 1:<3}= {n:>20}" for i, n in enumerate(reversed(data.shape))]
-    for name, value in (header or {}).items():
-        text = f"'{value}'" if isinstance(value, str) else {True: "T", False: "F"}.get(value, str(value)) if isinstance(value, bool) else f"{value!r:>20}"
+def fits_unit(header: dict, body: bytes) -> bytes:
+    """A unit of a FITS file: cards in the order given, data, both filled up to whole blocks."""
+    cards = []
+    for name, value in header.items():
+        text = f"'{value}'" if isinstance(value, str) else f"{'T' if value else 'F':>20}" if isinstance(value, bool) else f"{value!r:>20}"
         cards.append(f"{name.upper():<8}= {text}")
     head = "".join(f"{c:<80}" for c in [*cards, "END"])
-    body = data.astype(FITS_PIXELS[bitpix]).tobytes()
     pad = lambda n: -n % FITS_BLOCK
     return (head + " " * pad(len(head))).encode() + body + bytes(pad(len(body)))
 
 
+def fits_bytes(data: np.ndarray, header: dict | None = None) -> bytes:
+    """A FITS file of one image; the array's last axis is the first dimension.  NaN stays NaN."""
+    bitpix = FITS_BITPIX[data.dtype.str[1:]]
+    axes = {f"NAXIS{i + 1}": n for i, n in enumerate(reversed(data.shape))}
+    return fits_unit({"SIMPLE": True, "BITPIX": bitpix, "NAXIS": data.ndim, **axes, **(header or {})}, data.astype(FITS_PIXELS[bitpix]).tobytes())
+
+
 def fits_of(data: Column, shape: Column, dtype: str = "f8", header: dict | None = None) -> Column:
     """A packed array, first dimension fastest, and its shape as the bytes of a FITS image."""
     return _encoded([data, shape], lambda x, n: fits_bytes(x.astype(dtype).reshape(n[::-1]), header))
@@ -298,17 +305,6 @@ def parse_stl(content: bytes) -> np.ndarray:
     return np.array([x.split()[1:4] for x in re.findall(rb"vertex[^\n]*", content)], float).reshape(-1, 3, 3)
 
 
-def rstl(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, face, corner, x, y, z)``."""
-
-    def parse(content: bytes) -> Iterator[tuple]:
-        for f, face in enumerate(parse_stl(content).tolist()):
-            for c, (x, y, z) in enumerate(face):
-                yield f, c, x, y, z
-
-    return _opened(spark, path, "face long, corner int, x double, y double, z double", parse)
-
-
 def mesh_vertices(corners: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct vertices ``(vertex, x, y, z)`` numbered per file, and ``(face, corner, vertex)``."""
     from pyspark.sql import Window
@@ -337,5 +333,10 @@ def cells(packed: DataFrame, data: str = "data", shape: str = "shape") -> DataFr
     """Packed arrays as cells: the other columns, ``i`` (coordinates) and ``v``."""
     others = [c for c in packed.columns if c not in (data, shape)]
     flat = packed.select(*others, F.col(shape).alias("_s"), F.posexplode(data).alias("_p", "v"))
-    state = F.aggregate("_s", F.struct(F.array().cast("array<bigint>").alias("i"), F.col("_p").cast("long").alias("r")), lambda s, n: F.struct(F.concat(s["i"], F.array(F.pmod(s["r"], n))).alias("i"), F.floor(s["r"] / n).alias("r")))
-    return flat.select(*others, state["i"].alias("i"), "v")
+    return flat.select(*others, coordinates(F.col("_s"), F.col("_p")).alias("i"), "v")
+
+
+def coordinates(shape: Column, place: Column) -> Column:
+    """Coordinates of a place in an array whose first dimension is the fastest."""
+    start = F.struct(F.array().cast("array<bigint>").alias("i"), place.cast("long").alias("r"))
+    return F.aggregate(shape, start, lambda s, n: F.struct(F.concat(s["i"], F.array(F.pmod(s["r"], n))).alias("i"), F.floor(s["r"] / n).alias("r")))["i"]

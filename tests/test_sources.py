@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellgrid.sources import binary, text
+from cellgrid.sources import binary, spans, text
 from cellgrid.streaming import running
 
 
@@ -60,7 +60,7 @@ def test_fits_table(spark, tmp_path):
     head = "".join(f"{c:<80}" for c in cards)
     body = struct.pack(">ihhc", 1, 2, 3, b"x") + struct.pack(">ihhc", -4, 5, 6, b"y")
     path = put(tmp_path / "t.fits", empty + head.ljust(2880).encode() + body.ljust(2880, b"\0"))
-    rows = binary.rfits_table(spark, path).orderBy("row").collect()
+    rows = spans.rfits_table(spark, path).orderBy("row").collect()
     assert [r["fields"] for r in rows] == [{"FOO": ["1"], "FOO_1": ["2", "3"], "COL_3": ["x"]}, {"FOO": ["-4"], "FOO_1": ["5", "6"], "COL_3": ["y"]}]
 
 
@@ -73,7 +73,7 @@ def test_pnm_and_stl(spark, tmp_path):
     assert bits["data"] == [0, 1, 0, 1, 0, 1]
     faces = np.array([[[0, 0, 0], [1, 0, 0], [0, 1, 0]], [[1, 0, 0], [1, 1, 0], [0, 1, 0]]], float)
     path = put(tmp_path / "m.stl", binary.stl_bytes(faces))
-    vertices, index = binary.mesh_vertices(binary.rstl(spark, path))
+    vertices, index = binary.mesh_vertices(spans.rstl(spark, path))
     assert vertices.count() == 4 and index.count() == 6
     files = spark.read.format("binaryFile").load(f"{tmp_path}/0.pgm")
     assert files.select(binary.imageformat(F.col("content"))).first()[0] == "PNM"
