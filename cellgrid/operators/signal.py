@@ -132,6 +132,82 @@ def fftnd(cells: DataFrame, by: list[str], dims: list[str], inverse: bool = Fals
     return cells.select(*by, *dims, "re", "im")
 
 
+def fftconvolve_long(cells: DataFrame, by: list[str], i: str, v: str, n: int, kernel: list[float], centred: bool = False, tile: int = 1 << 16, out: str = "v") -> DataFrame:
+    """Periodic convolution of vectors of ``n`` cells, of any length, with a kernel of thousands of numbers: ``(by, i, out)``.
+
+    Overlap and save: a tile of the result, as long as four kernels at least, takes its own cells and those a kernel's
+    length before, so each cell is sent to one tile or two and no task holds more than a tile.  The kernel's first number is at
+    offset 0, or its middle with ``centred``, as in ``conv1d``; a kernel longer than the vector is wrapped around it.
+
+    Absent cells are 0, and all ``n`` of a group come out.  Where the kernel meets a null the result is null, and where
+    it meets an infinite cell or one that is no number, NaN.  A cell beyond the vector, or there twice, is an error.
+    """
+    wrapped = np.zeros(min(len(kernel), n))
+    np.add.at(wrapped, np.arange(len(kernel)) % max(n, 1), np.asarray(kernel, float))
+    k, shift = len(wrapped), (len(kernel) - 1) // 2 if centred else 0
+    if k == 0:
+        raise ValueError("a kernel and a vector have one number at least")
+    size = max(tile, 4 * k)
+    m = 1 << (size + k - 2).bit_length()
+    spectrum = np.fft.rfft(wrapped, m)
+    tiles = -(-n // size)
+
+    def to(place: Column) -> Column:
+        return F.struct(F.floor(place / size).cast("long").alias("_t"), place.alias("_p"))
+
+    def early(place: Column) -> Column:
+        """The next tile, for a cell that lies less than a kernel's length before it."""
+        ahead = F.floor(place / size).cast("long") + 1
+        return F.when((ahead * size - place < k) & ahead.between(0, tiles - 1), F.struct(ahead.alias("_t"), place.alias("_p")))
+
+    at = F.col(i).cast("long")
+    checked = F.when((at >= 0) & (at < n), at).otherwise(F.raise_error(F.concat(F.lit(f"beyond a vector of {n}: "), F.coalesce(at.cast("string"), F.lit("a null index")))).cast("long"))
+    sent = cells.select(*by, checked.alias("_at"), F.col(v).cast("double").alias("_v"), F.col(v).isNull().alias("_null"))
+    spots = F.array_compact(F.array(to(F.col("_at")), early(F.col("_at")), early(F.col("_at") - n)))
+    sent = sent.withColumn("_s", F.explode(spots)).select(*by, "_s._t", "_s._p", "_v", "_null")
+    # a mark before its first cell makes each tile of a group one, though no cell be sent to it
+    groups = cells.select(*by).distinct() if by else cells.limit(1).select()
+    tile_of = groups.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+    sent = sent.unionByName(tile_of.withColumns({"_p": F.col("_t") * size - k, "_v": F.lit(0.0), "_null": F.lit(False)}))
+
+    def each(g: pd.DataFrame) -> pd.DataFrame:
+        t = int(g["_t"].iloc[0])
+        groups, g = g, g[g["_p"] >= t * size - k + 1]
+        place = g["_p"].to_numpy() - (t * size - k + 1)
+        if len(np.unique(place)) < len(place):
+            raise ValueError("a cell of the vector is there twice")
+        x, null, odd = np.zeros(size + k - 1), np.zeros(size + k, bool), np.zeros(size + k, bool)
+        value = g["_v"].to_numpy(float)
+        gone = g["_null"].to_numpy(bool)
+        finite = np.isfinite(value)
+        x[place] = np.where(finite, value, 0)
+        null[place + 1], odd[place + 1] = gone, ~finite & ~gone
+        length = min(size, n - t * size)
+        y = np.fft.irfft(np.fft.rfft(x, m) * spectrum, m)[k - 1 : k - 1 + length]
+        met = lambda flags: np.diff(np.stack([np.cumsum(flags)[:length], np.cumsum(flags)[k : k + length]]), axis=0)[0] > 0
+        where = (t * size + np.arange(length) - shift) % n
+        return pd.DataFrame({**{c: [groups[c].iloc[0]] * length for c in by}, i: where, out: y, "_null": met(null), "_odd": met(odd)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"`{i}` long", f"`{out}` double", "_null boolean", "_odd boolean"])
+    done = sent.groupBy(*by, "_t").applyInPandas(each, schema)
+    number = F.when(F.col("_odd"), F.lit(float("nan"))).otherwise(F.col(out))
+    return done.select(*by, i, F.when(~F.col("_null"), number).alias(out))
+
+
+def fftconvolve_cells(cells: DataFrame, kernel: DataFrame, by: list[str], i: str, rows: int, columns: int) -> DataFrame:
+    """Periodic convolution of vectors of ``rows * columns`` cells ``(by, i, v)`` with a kernel of any length ``(i, v)``.
+
+    The product of both transforms, each by ``fft_cells``, transformed back; absent cells are 0.  The kernel's cell 0 is at
+    offset 0.
+    """
+    z = lambda df, keys: df.select(*keys, i, F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    a = fft_cells(z(cells, by), by, i, rows, columns)
+    k = fft_cells(z(kernel, []), [], i, rows, columns).select(i, F.col("re").alias("_re"), F.col("im").alias("_im"))
+    product = a.join(k, i).select(*by, i, (F.col("re") * F.col("_re") - F.col("im") * F.col("_im")).alias("re"), (F.col("re") * F.col("_im") + F.col("im") * F.col("_re")).alias("im"))
+    return fft_cells(product, by, i, rows, columns, inverse=True).select(*by, i, F.col("re").alias("v"))
+
+
 def kernctr(kernel: DataFrame, dims: list[str], kernel_shape: list[int], shape: list[int]) -> DataFrame:
     """A small kernel's cells shifted so that its middle is at the origin of an array of ``shape``, around the ends."""
     return kernel.withColumns({d: F.pmod(F.col(d) - k // 2, F.lit(n)).cast("long") for d, k, n in zip(dims, kernel_shape, shape, strict=True)})

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.operators import dense, forces, linalg, paths, sequences, signal, splines
-from cellgrid.plans.registry import query, r, read
+from cellgrid.plans.registry import ORDER, query, r, read
 from cellgrid.plans.shared import materialize
 
 # systems ---------------------------------------------------------------------------------------------
@@ -195,3 +195,22 @@ def attracted_vectors(spark: SparkSession, d: str) -> DataFrame:
     points = _points(spark, d)
     links = points.select(F.col("vec_id").alias("src"), F.floor(F.col("vec_id") / 7).alias("dst"), F.lit(0.5).alias("strength"))
     return forces.attract(points, "vec_id", "p", links, 3.0, 2.0).select("vec_id", (r(F.col("force")[0]) + 0.0).alias("x"))
+
+
+# long convolutions -----------------------------------------------------------------------------------
+
+_PRICES = "(SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS t, CAST(round(100 * l_extendedprice) AS HUGEINT) AS x, count(*) OVER () AS n FROM lineitem)"
+
+
+@query(f"""WITH p AS {_PRICES}, w AS (SELECT t, x, n FROM p UNION ALL SELECT t - n, x, n FROM p WHERE t >= n - 2000),
+    s AS (SELECT t, sum(x) OVER k AS a, sum(x * t) OVER k AS b FROM w WINDOW k AS (ORDER BY t ROWS BETWEEN 2000 PRECEDING AND CURRENT ROW))
+    SELECT t AS i0, round((CAST(2001 * a - t * a + b AS DOUBLE) + 0.25) / 200100) AS v FROM s WHERE t >= 0""")
+def weighed_prices(spark: SparkSession, d: str) -> DataFrame:
+    """All prices as one vector, each result the sum of 2001 of them with weights that fall along a line.
+
+    A quarter of the last unit is added, so that no sum lies halfway between two whole numbers.
+    """
+    prices = read(spark, d, "lineitem").select("l_orderkey", *ORDER)
+    x = materialize(sequences.with_index(prices, [], ["l_orderkey", *ORDER]).select("i0", "l_extendedprice"), "prices")
+    got = signal.fftconvolve_long(x, [], "i0", "l_extendedprice", x.count(), [1 - k / 2001 for k in range(2001)])
+    return got.select("i0", F.round(F.col("v") + 0.25 / 200100).alias("v"))

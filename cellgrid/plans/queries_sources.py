@@ -33,6 +33,19 @@ def text_columns_with_gaps(spark: SparkSession, d: str) -> DataFrame:
     return text.rcols(spark, path, ["s_suppkey", "s_acctbal"], sep=",", exclude="^[0-9]*7,", types=["bigint", "double"], undef=-1.0)
 
 
+@query("SELECT n - 1 - (k - 3) // 2 AS nth, key, name FROM (SELECT *, max((k - 3) // 2) OVER () + 1 AS n FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS k, count(*) OVER () AS total, c_custkey AS key, c_name AS name FROM customer) WHERE k >= 3 AND k < total - 5 AND (k - 3) % 2 = 0)")
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every second line between the fourth and the fifth but one, turned; the first line names the columns."""
+    path = new_path(spark, "lines")
+    customers = read(spark, d, "customer").select("c_custkey", "c_name").orderBy("c_custkey")
+    head = spark.range(1).select(F.lit("key name").alias("line"), F.lit(-1).cast("long").alias("k"))
+    body = text.swcols(customers.withColumn("name", F.translate("c_name", " ", "_")), ["c_custkey", "name"])
+    both = head.unionByName(body.withColumn("k", F.split("line", " ")[0].cast("long")))
+    both.orderBy("k").select("line").coalesce(1).write.text(path)
+    names = text.column_ids(spark, path)
+    return text.rcols(spark, path, names, types=["bigint", "string"], lines="-6:3:2", colids=True)
+
+
 @query("SELECT CAST(s_suppkey AS DOUBLE) AS key, CAST(s_nationkey AS DOUBLE) AS nation FROM supplier WHERE s_nationkey >= 10")
 def text_grep(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "lines")
