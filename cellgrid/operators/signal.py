@@ -10,7 +10,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellgrid.operators import ranged
@@ -396,8 +396,54 @@ def circ_mean(img: DataFrame, ci: float, cj: float) -> DataFrame:
     return img.groupBy(r.alias("r")).agg(F.avg("v").alias("v"))
 
 
+def _sinc(x: Column) -> Column:
+    return F.when(x == 0, 1.0).otherwise(F.sin(math.pi * x) / (math.pi * x))
+
+
+def _soft_box(x: Column) -> Column:
+    """Transform of a box whose edges are hyperbolic tangents: a sinc that the width of the edges damps."""
+    y = x * (math.pi**2 / TANH_STEEPNESS)
+    return _sinc(x) * F.when(y == 0, 1.0).otherwise(y / F.sinh(y))
+
+
+# The tangents' steepness, the share of a raised cosine's foot, and the steps of a cell in which kernels are tabulated.
+TANH_STEEPNESS, HANN, HAMMING, STEPS = 5.0, 0.5, 0.54, 1000
+# Kernels over the two cells on each side of a place, by the distance from it.
+KERNELS: dict[str, Callable[[Column], Column]] = {
+    "tanh": _soft_box,
+    "sinc": _sinc,
+    "sinc2": lambda x: _sinc(x) * _sinc(x),
+    "lanczos": lambda x: F.when(F.abs(x) < 2, _sinc(x) * _sinc(x / 2)).otherwise(0.0),
+    "hann": lambda x: F.when(F.abs(x) < 1, HANN + (1 - HANN) * F.cos(math.pi * x)).otherwise(0.0),
+    "hamming": lambda x: F.when(F.abs(x) < 1, HAMMING + (1 - HAMMING) * F.cos(math.pi * x)).otherwise(0.0),
+}
+
+
+def warp2d_kernel(spark: SparkSession, name: str) -> DataFrame:
+    """``(x, k)``: a kernel of ``warp2d`` at every step from 0 to two cells away, its weights as they are before they are made to sum to 1."""
+    x = (F.col("id") / STEPS).alias("x")
+    return spark.range(2 * STEPS + 1).select(x).select("x", KERNELS[name](F.col("x")).alias("k"))
+
+
+def _taps(part: Column, method: str) -> tuple[list[int], Column]:
+    """Offsets from the cell below a place and an array of their weights, for the part of a cell that is left."""
+    if method == "linear":
+        return [0, 1], F.array(1 - part, part)
+    if method == "cubic":  # slopes are half the differences of the cells on both sides
+        s, u = part * part, part * part * part
+        return [-1, 0, 1, 2], F.array(s - (part + u) / 2, 1 - 2.5 * s + 1.5 * u, part / 2 + 2 * s - 1.5 * u, (u - s) / 2)
+    offsets = [-1, 0, 1, 2]
+    step = F.floor(part * STEPS) / STEPS
+    weights = F.array(*[KERNELS[method](step - k) for k in offsets])
+    total = F.aggregate(weights, F.lit(0.0), lambda x, y: x + y)
+    return offsets, F.transform(weights, lambda w: w / total)
+
+
 def interp_nd(cells: DataFrame, dims: list[str], shape: list[int], target: DataFrame, at: list[Column], method: str = "linear", boundary: str = "truncate") -> DataFrame:
-    """Values of an array ``(dims..., v)`` at places given for each row of ``target``: nearest cell, or linear over the 2^n around."""
+    """Values of an array ``(dims..., v)`` at places given for each row of ``target``.
+
+    ``method`` is "sample" (the nearest cell), "linear" (over the 2^n cells around), "cubic" or one of KERNELS (over 4^n).
+    """
     # rows that are repeated are asked for once and repeated in the end
     once = target.groupBy(*target.columns).agg(F.count("*").cast("int").alias("_times"))
     place = [f"_a{n}" for n in range(len(dims))]
@@ -408,10 +454,12 @@ def interp_nd(cells: DataFrame, dims: list[str], shape: list[int], target: DataF
         corners = F.array(F.struct(*[F.floor(F.col(p) + 0.5).alias(f"i{n}") for n, p in enumerate(place)], F.lit(1.0).alias("w")))
     else:
         low = [F.floor(p) for p in place]
-        part = [F.col(p) - f for p, f in zip(place, low, strict=True)]
-        weight = lambda up: fold(lambda x, y: x * y, [q if u else 1 - q for q, u in zip(part, up, strict=True)])
-        corners = F.array(*[F.struct(*[(f + u).alias(f"i{n}") for n, (f, u) in enumerate(zip(low, up, strict=True))], weight(up).alias("w")) for up in product((0, 1), repeat=len(dims))])
-        corners = F.filter(corners, lambda c: c["w"] > 0)
+        taps = [_taps(F.col(p) - f, method) for p, f in zip(place, low, strict=True)]
+        held = held.withColumns({f"_w{n}": w for n, (_, w) in enumerate(taps)})
+        weight = lambda at: fold(lambda x, y: x * y, [F.col(f"_w{n}")[k] for n, k in enumerate(at)])
+        every = product(*[range(len(offsets)) for offsets, _ in taps])
+        corners = F.array(*[F.struct(*[(f + taps[n][0][k]).alias(f"i{n}") for n, (f, k) in enumerate(zip(low, at, strict=True))], weight(at).alias("w")) for at in every])
+        corners = F.filter(corners, lambda c: c["w"] != 0)
     # a place with a missing part has no value, but its row stays
     known = fold(lambda x, y: x & y, [F.col(p).isNotNull() for p in place])
     asked = held.select("_id", "_times", known.alias("_known"), F.explode_outer(F.when(known, corners)).alias("c"))
@@ -421,7 +469,7 @@ def interp_nd(cells: DataFrame, dims: list[str], shape: list[int], target: DataF
 
 
 def resample(img: DataFrame, shape: tuple[int, int], target: DataFrame, at_i: Column, at_j: Column, method: str = "linear", boundary: str = "truncate") -> DataFrame:
-    """Values of the image at places given for each row of ``target``: nearest cell, or bilinear over four."""
+    """Values of the image at places given for each row of ``target``, by the methods of ``interp_nd``."""
     return interp_nd(img, ["i", "j"], list(shape), target, [at_i, at_j], method, boundary)
 
 
@@ -440,11 +488,18 @@ def rotnewsz(shape: tuple[int, int], degrees: float) -> tuple[int, int]:
     return math.ceil(shape[0] * c + shape[1] * s - 1e-9), math.ceil(shape[1] * c + shape[0] * s - 1e-9)
 
 
-def warp2d(img: DataFrame, shape: tuple[int, int], fit: dict[str, list[float]], degree: int, method: str = "linear") -> DataFrame:
-    """The image seen through a polynomial warp: each cell shows what lies where the fit sends its place."""
+def warp2d(img: DataFrame, shape: tuple[int, int], fit: dict[str, list[float]], degree: int, method: str = "linear", noval: float = 0.0) -> DataFrame:
+    """The image seen through a polynomial warp: each cell shows what lies where the fit sends its place.
+
+    With a method of KERNELS a cell whose 4 x 4 surroundings are not all within the image is ``noval``.
+    """
     i, j = F.col("i").cast("double"), F.col("j").cast("double")
-    moved = resample(img, shape, img.select("i", "j"), warp_columns(i, j, fit["x"], degree), warp_columns(i, j, fit["y"], degree), method)
-    return moved.withColumnRenamed("value", "v")
+    x, y = warp_columns(i, j, fit["x"], degree), warp_columns(i, j, fit["y"], degree)
+    moved = resample(img, shape, img.select("i", "j"), x, y, method).withColumnRenamed("value", "v")
+    if method not in KERNELS:
+        return moved
+    within = F.floor(x).between(1, shape[0] - 3) & F.floor(y).between(1, shape[1] - 3)
+    return moved.withColumn("v", F.when(within, F.col("v")).otherwise(F.lit(noval)))
 
 
 def fitwarp2d(pairs: DataFrame, x: str, y: str, u: str, v: str, degree: int) -> dict[str, list[float]]:

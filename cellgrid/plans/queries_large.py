@@ -214,3 +214,31 @@ def weighed_prices(spark: SparkSession, d: str) -> DataFrame:
     x = materialize(sequences.with_index(prices, [], ["l_orderkey", *ORDER]).select("i0", "l_extendedprice"), "prices")
     got = signal.fftconvolve_long(x, [], "i0", "l_extendedprice", x.count(), [1 - k / 2001 for k in range(2001)])
     return got.select("i0", F.round(F.col("v") + 0.25 / 200100).alias("v"))
+
+
+# curves between cells --------------------------------------------------------------------------------
+
+_KEYS = "CASE WHEN abs({x}) <= 1 THEN (1.5 * abs({x}) - 2.5) * {x} * {x} + 1 ELSE ((-0.5 * abs({x}) + 2.5) * abs({x}) - 4) * abs({x}) + 2 END"
+_SINC = "CASE WHEN {x} = 0 THEN 1 ELSE sin(pi() * {x}) / (pi() * {x}) END"
+
+
+@query(f"""WITH c AS {IMG}, p AS (SELECT vec_id, vec_id * 0.75e0 AS a, vec_id % 240 / 4 AS b FROM embeddings), k AS (SELECT unnest([-1, 0, 1, 2]) AS k),
+    t AS (SELECT vec_id, a - (floor(a) + k.k) AS x, b - (floor(b) + l.k) AS y, c.v FROM p, k, k l JOIN c ON c.i = floor(a) + k.k AND c.j = floor(b) + l.k)
+    SELECT vec_id, round(coalesce((SELECT sum(v * ({_KEYS.format(x="x")}) * ({_KEYS.format(x="y")})) FROM t WHERE t.vec_id = p.vec_id), 0), 6) + 0e0 AS value FROM p""")
+def cubic_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors as one image, looked up between its cells."""
+    img, shape = _image(spark, d)
+    asked = read(spark, d, "embeddings").select("vec_id", (F.col("vec_id") * 0.75).alias("a"), (F.col("vec_id") % 240 / 4).alias("b"))
+    got = signal.interp_nd(img, ["i", "j"], list(shape), asked, [F.col("a"), F.col("b")], "cubic")
+    return got.select("vec_id", (r(F.col("value")) + 0.0).alias("value"))
+
+
+@query(f"""WITH c AS {IMG}, m AS (SELECT max(i) + 1 AS n, max(j) + 1 AS k FROM c), t AS (SELECT unnest([-1, 0, 1, 2]) AS k),
+    u AS (SELECT k, 0.25e0 - k AS x, 0.375e0 - k AS y FROM t), w AS (SELECT k, ({_SINC.format(x="x")}) * ({_SINC.format(x="(x / 2)")}) AS a, ({_SINC.format(x="y")}) * ({_SINC.format(x="(y / 2)")}) AS b FROM u),
+    s AS (SELECT c.i, c.j, sum(e.v * p.a * q.b) / ((SELECT sum(a) FROM w) * (SELECT sum(b) FROM w)) AS v FROM c, w p, w q JOIN c e ON e.i = c.i + p.k AND e.j = c.j - 1 + q.k GROUP BY 1, 2)
+    SELECT c.i, c.j, round(CASE WHEN c.i BETWEEN 1 AND n - 3 AND c.j - 1 BETWEEN 1 AND k - 3 THEN s.v ELSE -1 END, 6) + 0e0 AS v FROM c JOIN m ON true LEFT JOIN s USING (i, j)""")
+def warped_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The same image moved by parts of a cell, with a windowed kernel."""
+    img, shape = _image(spark, d)
+    fit = {"x": [0.25, 1.0, 0.0, 0.0], "y": [-0.625, 0.0, 1.0, 0.0]}
+    return signal.warp2d(img, shape, fit, 2, "lanczos", -1.0).select("i", "j", (r(F.col("v")) + 0.0).alias("v"))
