@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.operators import dense, forces, linalg, paths, sequences, signal, splines
+from cellgrid.operators import colours, dense, forces, linalg, paths, sequences, signal, splines
 from cellgrid.plans.registry import ORDER, query, r, read
 from cellgrid.plans.shared import materialize
 
@@ -242,3 +242,22 @@ def warped_vectors(spark: SparkSession, d: str) -> DataFrame:
     img, shape = _image(spark, d)
     fit = {"x": [0.25, 1.0, 0.0, 0.0], "y": [-0.625, 0.0, 1.0, 0.0]}
     return signal.warp2d(img, shape, fit, 2, "lanczos", -1.0).select("i", "j", (r(F.col("v")) + 0.0).alias("v"))
+
+
+# palettes --------------------------------------------------------------------------------------------
+
+_RGB = "(SELECT vec_id, CAST(least(greatest(floor(128 + 256 * CAST(embedding[1] AS DOUBLE)), 0), 255) AS BIGINT) AS r, CAST(least(greatest(floor(128 + 256 * CAST(embedding[2] AS DOUBLE)), 0), 255) AS BIGINT) AS g, CAST(least(greatest(floor(128 + 256 * CAST(embedding[3] AS DOUBLE)), 0), 255) AS BIGINT) AS b FROM embeddings)"
+
+
+@query(f"""WITH p AS {_RGB}, c AS (SELECT *, CASE WHEN sr >= sg AND sr >= sb THEN r WHEN sg >= sb THEN g ELSE b END AS x FROM (SELECT *, 0.299 * (max(r) OVER () - min(r) OVER ()) AS sr, 0.587 * (max(g) OVER () - min(g) OVER ()) AS sg, 0.114 * (max(b) OVER () - min(b) OVER ()) AS sb FROM p)),
+    l AS (SELECT x, sum(count(*)) OVER (ORDER BY x) AS upto, sum(count(*)) OVER () AS n, lead(x) OVER (ORDER BY x) AS next FROM c GROUP BY x),
+    t AS (SELECT coalesce(min(x) FILTER (2 * upto >= n), max(x)) AS t FROM l WHERE next IS NOT NULL),
+    m AS (SELECT (2 * sum(r) + count(*)) // (2 * count(*)) AS mr, (2 * sum(g) + count(*)) // (2 * count(*)) AS mg, (2 * sum(b) + count(*)) // (2 * count(*)) AS mb FROM c, t GROUP BY x <= t),
+    f AS (SELECT vec_id, arg_min((mr, mg, mb), ((r - mr) ** 2 + (g - mg) ** 2 + (b - mb) ** 2, mr, mg, mb)) AS q FROM p, m GROUP BY 1)
+    SELECT vec_id, CAST(q[1] AS INT) AS r, CAST(q[2] AS INT) AS g, CAST(q[3] AS INT) AS b FROM f""")
+def two_colours(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors' first three numbers as colours, of which two are left."""
+    level = lambda k: F.least(F.greatest(F.floor(128 + 256 * F.col("embedding")[k].cast("double")), F.lit(0)), F.lit(255))
+    img = read(spark, d, "embeddings").select("vec_id", *[level(k).alias(c) for k, c in enumerate("rgb")])
+    got, palette = colours.cquant(img, 2)
+    return colours.interlrgb(got.select("vec_id", "colour"), palette).select("vec_id", "r", "g", "b")
