@@ -2,7 +2,8 @@
 
 A text is normalised by the model's own rules: at every place the longest key of its compiled character map
 is replaced, and each character that comes out keeps the range it came from.  Pieces are then found by the
-library in the normalised text, and their lengths lead back to byte ranges of the original.
+library in the normalised text, and their lengths lead back to byte ranges of the original.  Where no piece
+crosses the place before a mark, the library is asked once for each word, as most words come again.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ MARK = "▁"
 # Characters of a block that a longer text is cut into, before a space, and the last character before the cut.
 BLOCK_CHARS = 1 << 20
 BEFORE_SPACE = re.compile(f"[^ {MARK}][ {MARK}]")
+# A word with the marks before it, and characters of words whose ids a worker keeps at most, but for the latest block's.
+WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+KEPT_CHARS = 1 << 21
 # Field numbers of the public model format, and kinds of pieces.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 UNKNOWN, CONTROL, USER, BYTE = 2, 3, 4, 6
@@ -166,6 +170,13 @@ class Encoder:
         usual = [t for t, k in zip(texts, kinds, strict=True) if k not in (CONTROL, UNKNOWN, BYTE)]
         crossing = USER in kinds or any(re.search(f"[^{MARK}]{MARK}", t) for t in usual)
         self.in_blocks = not (crossing or self.map or self.squeeze)
+        self.by_word = self.in_blocks and MARK in usual
+        # bytes of the original that a piece covers where all marks were spaces
+        self.spaced = np.array([1 if k == BYTE else len(t.replace(MARK, " ").encode()) for t, k in zip(texts, kinds, strict=True)], np.int32)
+        # pieces that start, and that end, with a mark
+        self.marked, self.open = np.array([t.startswith(MARK) for t in texts]), np.array([t.endswith(MARK) for t in texts])
+        self.words: dict[str, bytes] = {}
+        self.kept = 0
 
     def normalised(self, text: str, first: bool = True) -> tuple[str, np.ndarray, np.ndarray]:
         """The normalised text, and for each of its characters the range of the text's characters it came from.
@@ -193,8 +204,39 @@ class Encoder:
         # what an unknown piece covers is not in the vocabulary
         return ids, np.array([len(p.surface.encode()) for p in self.inner.encode(norm, return_type="proto").pieces], np.int32)
 
+    def _learn(self, new: set[str]) -> None:
+        """Keep the ids of words; those that start with a mark and end without one go to the library as one text."""
+        joint = [w for w in new if w[0] == MARK and w[-1] != MARK]
+        ids = self.inner.encode("".join(joint), return_type="numpy").astype(np.int32)
+        if joint and not self.unknown[ids].any():
+            cuts = (4 * (np.flatnonzero(self.marked[ids[1:]] & ~self.open[ids[:-1]]) + 1)).tolist()
+            if len(cuts) + 1 != len(joint):
+                raise AssertionError("a piece crosses the place before a mark")
+            data = ids.tobytes()
+            self.words.update(zip(joint, [data[i:j] for i, j in zip([0, *cuts], [*cuts, len(data)], strict=True)], strict=True))
+        for w in new.difference(self.words):
+            self.words[w] = self.inner.encode(w, return_type="numpy").astype(np.int32).tobytes()
+        self.kept += sum(map(len, new))
+
+    def _word_ids(self, norm: str) -> np.ndarray:
+        """Ids of a normalised text, word by word."""
+        if self.kept > KEPT_CHARS:
+            self.words, self.kept = {}, 0
+        words = WORD.findall(norm)
+        if new := set(words).difference(self.words):
+            self._learn(new)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
+
     def _block(self, text: str, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a block of text, and the bytes of it where each begins and ends."""
+        if text and self.by_word and MARK not in text:
+            ahead = self.prefix and first
+            ids = self._word_ids(f"{MARK if ahead else ''}{text.replace(' ', MARK)}")
+            if not self.unknown[ids].any():
+                high = np.cumsum(self.spaced[ids], dtype=np.int32) - np.int32(ahead)
+                if high[-1] != len(text.encode()):
+                    raise AssertionError("the pieces don't cover the text")
+                return ids, np.append(np.int32(0), high[:-1]), high
         norm, begins, ends = self.normalised(text, first)
         if not norm:
             return (np.zeros(0, np.int32),) * 3

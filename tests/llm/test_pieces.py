@@ -63,6 +63,38 @@ def test_spans_tile_the_text(encoder, monkeypatch):
         check_spans(encoder, t)
 
 
+class Counting:
+    """A library that counts the characters it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.chars = inner, 0
+
+    def encode(self, text, **kind):
+        self.chars += len(text)
+        return self.inner.encode(text, **kind)
+
+
+def test_words_that_come_again_are_encoded_once(monkeypatch):
+    encoder = pieces.Encoder(vocabulary(pieces.MODEL))
+    counting = Counting(encoder.inner)
+    monkeypatch.setattr(encoder, "inner", counting)
+    text = "the tiger\nand the  naïve 😀 tiger   " * 500
+    check_spans(encoder, text)
+    assert counting.chars < 100
+    check_spans(encoder, text[:-1])
+    assert counting.chars < 100
+
+
+@pytest.mark.parametrize("kept", [0, 40, 1 << 21])
+def test_words_as_in_the_whole_text(monkeypatch, kept):
+    encoder = pieces.Encoder(vocabulary(pieces.MODEL))
+    monkeypatch.setattr(pieces, "KEPT_CHARS", kept)
+    rng = random.Random(3)
+    parts = [p for p in PARTS if p != "▁"] + ["ing", "er", "\r\n", "日本", "\ue000"]
+    for _ in range(1500):
+        check_spans(encoder, "".join(rng.choices(parts, k=rng.randrange(0, 30))))
+
+
 @pytest.mark.parametrize("squeeze", [False, True])
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_character_map_as_in_the_library(encoder, monkeypatch, rule, squeeze):
