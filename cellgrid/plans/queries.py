@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellgrid.functions import aggregates as A
 from cellgrid.functions import elementwise as E
 from cellgrid.operators import generate, histograms, linalg, search, selection, sequences, sets, signal, transforms
-from cellgrid.plans.registry import EVENTS, ITEMS, ORACLE_SQL, QUERIES, Query, events, items, query, r, read
+from cellgrid.plans.registry import EVENTS, ITEMS, ORACLE_SQL, QUERIES, Query, events, items, query, r, r_binary, read
 from cellgrid.plans.registry import vectors as _vectors
 
 # reductions ----------------------------------------------------------------------------------------
@@ -508,7 +508,7 @@ def badvalues(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, round(((2 * x - 3) * x + 0.5) * x - 7, 7) AS poly, round((77 * x + 150 * p_size + 29 * 3) / 256, 10) AS grey, CAST(abs(x - p_size) <= 0.2 * abs(p_size) AS INT) AS near FROM (SELECT *, p_retailprice / 50 AS x FROM part)")
 def polyval_grey(spark: SparkSession, d: str) -> DataFrame:
     x, s = F.col("p_retailprice") / 50, F.col("p_size").cast("double")
-    return read(spark, d, "part").select("p_partkey", r(E.polyval(F.array(*[F.lit(c) for c in (2.0, -3.0, 0.5, -7.0)]), x), 7).alias("poly"), r(E.rgbtogr(x, s, F.lit(3)), 10).alias("grey"), E.approx_artol(x, s, 0.0, 0.2).alias("near"))
+    return read(spark, d, "part").select("p_partkey", r_binary(E.polyval(F.array(*[F.lit(c) for c in (2.0, -3.0, 0.5, -7.0)]), x), 7).alias("poly"), r_binary(E.rgbtogr(x, s, F.lit(3)), 10).alias("grey"), E.approx_artol(x, s, 0.0, 0.2).alias("near"))
 
 
 @query("SELECT p_partkey, CAST(((p_partkey % 256) + 256) % 256 AS SMALLINT) AS as_byte, CAST((p_partkey * 50 + 32768) % 65536 - 32768 AS SMALLINT) AS as_short, round_even(p_retailprice / 7, 0) AS rounded FROM part")

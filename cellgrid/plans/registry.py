@@ -47,6 +47,14 @@ def r(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
 
 
+def r_binary(c: Column, digits: int = 6) -> Column:
+    """Doubles rounded as DuckDB's ``round`` does, through the double 10**digits times the value; ``r`` goes by the
+    value's shortest decimals.  They part at ties, as where a binary fraction ends just behind the last digit."""
+    scaled = c.cast("double") * 10.0**digits
+    rounded = F.round(scaled, 0) / 10.0**digits
+    return F.when(F.isnan(rounded) | (F.abs(scaled) == F.lit(float("inf"))), c).otherwise(rounded)
+
+
 ITEMS = f"(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {SQL_ORDER}) - 1 AS i0 FROM lineitem)"
 EVENTS = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i0 FROM events)"
 
