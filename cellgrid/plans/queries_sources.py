@@ -116,13 +116,14 @@ def flex_glued(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT name, part, v FROM (SELECT name, 0 AS part, data[1] AS v FROM {_PACKED} UNION ALL SELECT name, 1, data[2] + data[3] / 4 FROM {_PACKED})")
 def flex_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """Two chunks of different types in each file, told by a header that is written and read as well."""
+    """Two chunks of different types in each file, told by a header that is written and read as well; counts in 64 bits, as those
+    of a large table are beyond 16."""
     folder = new_path(spark, "flex")
-    parts = binary.raw_bytes(F.slice("data", 1, 2), "short"), binary.raw_bytes(F.array(F.col("data")[1] + F.col("data")[2] / 4), "double")
+    parts = binary.raw_bytes(F.slice("data", 1, 2), "longlong"), binary.raw_bytes(F.array(F.col("data")[1] + F.col("data")[2] / 4), "double")
     binary.save(_packed(spark, d).select(F.concat("name", F.lit(".flex")).alias("name"), F.concat(*parts).alias("content")), folder)
-    head = binary.write_flexhdr([{"type": "short", "dims": [2]}, {"type": "double", "dims": [1]}])
+    head = binary.write_flexhdr([{"type": "longlong", "dims": [2]}, {"type": "double", "dims": [1]}])
     got = binary.readflex(spark, folder, binary.parse_flexhdr(head))
-    return got.select(F.regexp_extract("file", r"([^/.]+)[.]flex$", 1).alias("name"), F.when(F.col("dtype") == "short", 0).otherwise(1).alias("part"), F.col("data")[0].alias("v"))
+    return got.select(F.regexp_extract("file", r"([^/.]+)[.]flex$", 1).alias("name"), F.when(F.col("dtype") == "longlong", 0).otherwise(1).alias("part"), F.col("data")[0].alias("v"))
 
 
 @query(_CELLS)

@@ -20,6 +20,12 @@ def both(spark, name, folder, tables):
     key = lambda r: r[:2]
     return sorted(map(tuple, got), key=key), sorted(want.fetchall(), key=key)
 
+def test_counts_beyond_16_bits(spark, tmp_path):
+    items = f"SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey FROM '{SF}/lineitem.parquet', range(500)"
+    got, want = both(spark, "flex_arrays", tmp_path, {"lineitem": items})
+    assert max(v for _, _, v in want) > 2**15
+    assert got == want
+
 def test_ties_of_prices_in_cents(spark, tmp_path):
     parts = "SELECT i AS p_partkey, CAST(1 + i * 7919 % 50 AS INT) AS p_size, (90000 + i) / 100 AS p_retailprice FROM range(2000) t(i)"
     got, want = both(spark, "polyval_grey", tmp_path, {"part": parts})
