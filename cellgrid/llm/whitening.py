@@ -63,6 +63,19 @@ def centred(x: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
     return x * n - sums
 
 
+def sums_of_squares(c: np.ndarray) -> np.ndarray:
+    """Sum of squares of each row of whole numbers, exactly; an error only where a sum itself is beyond a long."""
+    most = int(np.abs(c).max(initial=0))
+    if most**2 >= 2**63:
+        raise OverflowError("a deviation is beyond a long")
+    squares = c * c
+    if most**2 * c.shape[1] >= 2**63:  # sums may be: the upper 31 bits and the lower 32 are added up apart
+        high = (squares >> 32).sum(axis=1) + ((squares & 0xFFFFFFFF).sum(axis=1) >> 32)
+        if (high >= 2**31).any():
+            raise OverflowError("a deviation is beyond a long")
+    return squares.sum(axis=1)
+
+
 def summed(parts: DataFrame) -> np.ndarray:
     """Sum over all rows of the packed column ``y``: places are added up by Spark, one row of each reaches the driver."""
     got = parts.select(F.posexplode("y").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
@@ -172,9 +185,7 @@ def projected(x: Column, w: Whitening) -> Column:
     @F.pandas_udf("deviation long, whitened array<double>")
     def of(xs: pd.Series) -> pd.DataFrame:
         c = centred(np.stack(xs.to_numpy()), n, sums) if len(xs) else np.zeros((0, len(sums)), np.int64)
-        if c.size and int(np.abs(c).max()) ** 2 * c.shape[1] >= 2**63:
-            raise OverflowError("a deviation is beyond a long")
-        return pd.DataFrame({"deviation": (c * c).sum(axis=1), "whitened": list((c / n) @ turn)})
+        return pd.DataFrame({"deviation": sums_of_squares(c), "whitened": list((c / n) @ turn)})
 
     return of(x)
 

@@ -96,3 +96,23 @@ def test_blocks_are_certified(spectrum):
     assert np.linalg.norm(v @ vectors - vectors * got) < 1e-12
     if spectrum == "steep":
         assert max(calls) < d  # certified without the whole space
+
+
+def test_sums_of_squares_up_to_a_long():
+    """As of 600,000 rows or more: the largest entry's square times the dimensions is beyond a long, the sums are not."""
+    c = np.random.default_rng(5).integers(-(2**28), 2**28, (50, 64))
+    c[7, 3], c[8, 5] = 2**31, -(2**31) + 1
+    assert int(np.abs(c).max()) ** 2 * 64 >= 2**63
+    assert whitening.sums_of_squares(c).tolist() == (c.astype(object) ** 2).sum(axis=1).tolist()
+    edge = np.array([[3037000499, 0, 0], [2**31, 2**31 - 1, 65535]])  # the second is 131,070 below 2**63
+    assert whitening.sums_of_squares(edge).tolist() == [3037000499**2, 2**62 + (2**31 - 1) ** 2 + 65535**2]
+    for beyond in ([[2**31, 2**31 - 1, 65536]], [[2**31, 2**31]], [[3037000500, 0]], [[2**30] * 8]):
+        with pytest.raises(OverflowError):
+            whitening.sums_of_squares(np.array(beyond))
+    assert whitening.sums_of_squares(np.zeros((0, 3), np.int64)).tolist() == []
+
+
+def test_deviations_of_a_large_table(spark):
+    """One outlier among many rows: the bound of entries is beyond a long, no deviation is."""
+    vectors = [(i, [float(i % 3)] * 8) for i in range(200)] + [(1000, [1.0e4] + [1.0] * 7)]
+    check(whitening.whiten(frame(spark, vectors), components=1).collect(), vectors, 1)
