@@ -53,27 +53,23 @@ def carried(sums: DataFrame, step: Callable, start: object, place: str) -> DataF
     return F.broadcast(sums.sparkSession.createDataFrame(out, kind))  # a row per range or chunk
 
 
-def indexed(df: DataFrame, order: list, name: str = "_i") -> DataFrame:
-    """Rows numbered from 0 in the given order; ties in any order."""
-    held = ranges(df, order)
+def indexed(df: DataFrame, order: list, name: str = "_i", keep: list[str] | None = None) -> DataFrame:
+    """Rows numbered from 0 in the given order; ties in any order.  With ``keep`` only these columns stay.
+
+    Each range is sorted as it is written, and places within it go along, so nothing is dealt out again to number
+    them, and keys that are not kept are not written.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *keys_of(order)).sortWithinPartitions(*keys_of(order))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    held = materialize(dealt.withColumns({"_r": F.spark_partition_id(), "_p": place}).select(*(df.columns if keep is None else keep), "_r", "_p"), "ranges")
     before = carried(held.groupBy("_r").agg(F.count("*").alias("_t")), lambda a, b: a + b, 0, "_r")
-    place = F.row_number().over(Window.partitionBy("_r").orderBy(*keys_of(order)))
-    return held.withColumn("_p", place).join(before, "_r").withColumn(name, F.col("_p") - 1 + F.col("_before")).drop("_r", "_p", "_before")
+    return held.join(before, "_r").withColumn(name, F.col("_p") + F.col("_before")).drop("_r", "_p", "_before")
 
 
 def neighbours(df: DataFrame, i: str, wanted: dict[str, tuple[str, int]]) -> DataFrame:
-    """Columns ``out: (column, distance)`` from the rows at fixed distances of the index; null beyond the ends.
-
-    Chunks hold copies of the few rows at their borders that others need.
-    """
-    back = max(0, *(-d for _, d in wanted.values()))
-    ahead = max(0, *(d for _, d in wanted.values()))
-    home = F.floor(F.col(i) / CHUNK)
-    homes = F.sequence(F.floor(F.greatest(F.col(i) - ahead, F.lit(0)) / CHUNK), F.floor((F.col(i) + back) / CHUNK))
-    w = Window.partitionBy("_c").orderBy(i)
-    spread = df.withColumn("_c", F.explode(homes))
-    seen = spread.withColumns({out: F.lag(c, -d).over(w) if d < 0 else F.lead(c, d).over(w) for out, (c, d) in wanted.items()})
-    return seen.where(F.col("_c") == home).drop("_c")
+    """Columns ``out: (column, distance)`` from the rows at fixed distances of the index; null beyond the ends."""
+    return scans(df, i, {}, wanted)
 
 
 KINDS: dict[str, tuple[Callable, Callable, Callable]] = {
@@ -86,12 +82,38 @@ KINDS: dict[str, tuple[Callable, Callable, Callable]] = {
 
 def running(df: DataFrame, i: str, v: str, out: str, kind: str = "sum", before: bool = False) -> DataFrame:
     """Running fold of ``v`` along the index, missing cells left out; of the cells before only, with ``before``."""
-    whole, together, join = KINDS[kind]
-    held = materialize(df.withColumn("_c", F.floor(F.col(i) / CHUNK).cast("long")), "chunks")
-    last = F.max_by(v, F.when(F.col(v).isNotNull(), F.col(i)))
-    prior = carried(held.groupBy("_c").agg((last if kind == "last" else whole(v)).alias("_t")), together, None, "_c")
-    w = Window.partitionBy("_c").orderBy(i).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    return held.withColumn("_l", whole(v).over(w)).join(prior, "_c").withColumn(out, join(F.col("_before"), F.col("_l"))).drop("_c", "_l", "_before")
+    return scans(materialize(df, "chunks"), i, {out: (kind, v, before)}, {})
+
+
+def scans(df: DataFrame, i: str, runs: dict[str, tuple[str, str, bool]], near: dict[str, tuple[str, int]]) -> DataFrame:
+    """Running folds ``out: (kind, column, of the cells before only)`` and columns ``out: (column, distance)`` from
+    rows at fixed distances (null beyond the ends) along the index, all by one scan of each chunk.
+
+    Chunks hold copies of the few rows at their borders that others need.  With folds the rows are read twice, so
+    they must be written ones.
+    """
+    back, ahead = max([0, *(-d for _, d in near.values())]), max([0, *(d for _, d in near.values())])
+    home = F.floor(F.col(i) / CHUNK).cast("long")
+    homes = F.sequence(F.floor(F.greatest(F.col(i) - ahead, F.lit(0)) / CHUNK), F.floor((F.col(i) + back) / CHUNK))
+    spread = df.withColumn("_c", F.explode(homes) if near else home)
+    w = Window.partitionBy("_c").orderBy(i)
+    seen = {out: F.lag(c, -d).over(w) if d < 0 else F.lead(c, d).over(w) for out, (c, d) in near.items()}
+    sums = []
+    for k, (out, (kind, v, before)) in enumerate(runs.items()):
+        whole = KINDS[kind][0]
+        last = F.max_by(v, F.when(F.col(v).isNotNull(), F.col(i)))
+        sums.append((last if kind == "last" else whole(v)).alias(f"_t{k}"))
+        own = F.when(F.col("_c") == home, F.col(v)) if near else F.col(v)
+        seen[out] = whole(own).over(w.rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+    scanned = spread.withColumns(seen)
+    scanned = scanned.where(F.col("_c") == home) if near else scanned
+    if not runs:
+        return scanned.drop("_c")
+    together = [KINDS[kind][1] for kind, _, _ in runs.values()]
+    totals = df.groupBy(home.alias("_c")).agg(F.struct(*sums).alias("_t"))
+    prior = carried(totals, lambda now, t: [f(a, b) for f, a, b in zip(together, now, t, strict=True)], [None] * len(runs), "_c")
+    joined = scanned.join(prior, "_c")
+    return joined.withColumns({out: KINDS[kind][2](F.col(f"_before._t{k}"), F.col(out)) for k, (out, (kind, _, _)) in enumerate(runs.items())}).drop("_c", "_before")
 
 
 def values_at(df: DataFrame, by: list[str], v: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:

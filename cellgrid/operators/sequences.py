@@ -24,10 +24,10 @@ def window(by: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*ranged.keys_of(order))
 
 
-def with_index(df: DataFrame, by: list[str], order: list[str], name: str = "i0") -> DataFrame:
-    """Cells numbered from 0 within each group."""
+def with_index(df: DataFrame, by: list[str], order: list[str], name: str = "i0", keep: list[str] | None = None) -> DataFrame:
+    """Cells numbered from 0 within each group; without ``by`` of the columns in ``keep`` only, if it is given."""
     if not by:
-        return ranged.indexed(df, order, name)
+        return ranged.indexed(df, order, name, keep)
     return df.withColumn(name, F.row_number().over(window(by, order)).cast("long") - 1)
 
 
@@ -100,6 +100,32 @@ def diffcentred(df: DataFrame, by: list[str], order: list[str], v: str, out: str
     return df.withColumn(out, (right - left) / 2)
 
 
+def along(df: DataFrame, i: str, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Columns ``out: (scan, column)`` of one long vector whose cells ``i`` numbers from 0 without gaps, by one scan.
+
+    The scans are ``cumusumover``, ``locf``, ``numdiff`` and ``diffcentred``, and give what these functions give.  The
+    rows are read more than once, so they must be written ones, as ``with_index`` leaves them.
+    """
+    runs = {out: ("sum" if scan == "cumusumover" else "last", v, False) for out, (scan, v) in wanted.items() if scan in ("cumusumover", "locf")}
+    back = {v: f"_a{k}" for k, v in enumerate(sorted({v for scan, v in wanted.values() if scan in ("numdiff", "diffcentred")}))}
+    ahead = {v: f"_b{k}" for k, v in enumerate(sorted({v for scan, v in wanted.values() if scan == "diffcentred"}))}
+    seen = ranged.scans(df, i, runs, {a: (v, -1) for v, a in back.items()} | {b: (v, 1) for v, b in ahead.items()})
+    n, first, last = 0, {}, {}
+    if ahead:
+        ends = df.agg(F.max(i).alias("n"), *[f(v, i).alias(f"{b}{end}") for v, b in ahead.items() for end, f in (("first", F.min_by), ("last", F.max_by))]).first()
+        n = 0 if ends["n"] is None else ends["n"] + 1
+        first, last = ({v: F.lit(ends[f"{b}{end}"]) for v, b in ahead.items()} for end in ("first", "last"))
+    start = lambda v: F.lit(0) if isinstance(df.schema[v].dataType, NumericType) else F.lit(None)
+    at = F.col(i)
+    of: dict[str, Callable[[str, str], Column]] = {
+        "cumusumover": lambda out, v: F.when(F.col(v).isNotNull(), F.col(out)),
+        "locf": lambda out, v: F.coalesce(out, start(v)),
+        "numdiff": lambda out, v: F.when(at == 0, F.col(v)).otherwise(F.col(v) - F.col(back[v])),
+        "diffcentred": lambda out, v: (F.when(at == n - 1, first[v]).otherwise(F.col(ahead[v])) - F.when(at == 0, last[v]).otherwise(F.col(back[v]))) / 2,
+    }
+    return seen.withColumns({out: of[scan](out, v) for out, (scan, v) in wanted.items()}).drop(*back.values(), *ahead.values())
+
+
 def lags(df: DataFrame, by: list[str], order: list[str], v: str, step: int, count: int) -> DataFrame:
     """Columns lag0 (the cell itself) to lag<count - 1>, ``step`` apart; cells without all of them are dropped."""
     if not by:

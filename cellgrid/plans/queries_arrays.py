@@ -240,7 +240,7 @@ ALL = ["l_orderkey", *ORDER]
 
 
 def _long(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return sequences.with_index(read(spark, d, "lineitem").select(*dict.fromkeys([*ALL, *columns])), [], ALL).select("i0", *columns)
+    return sequences.with_index(read(spark, d, "lineitem").select(*dict.fromkeys([*ALL, *columns])), [], ALL, keep=list(columns)).select("i0", *columns)
 
 
 @query(f"""SELECT i0, round(sum(l_quantity) OVER w, 2) AS cumusum, coalesce(last_value(nullif(l_discount, 0.05) IGNORE NULLS) OVER w, 0) AS locf, round(l_quantity - coalesce(lag(l_quantity) OVER w, 0), 2) AS numdiff,
@@ -248,8 +248,8 @@ def _long(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     WINDOW w AS (ORDER BY i0), f AS (ORDER BY i0 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def long_scans(spark: SparkSession, d: str) -> DataFrame:
     x = _long(spark, d, "l_quantity", "l_discount").withColumn("v", E.setvaltobad("l_discount", 0.05))
-    parts = [sequences.cumusumover(x, [], ["i0"], "l_quantity").select("i0", r(F.col("cumusum"), 2).alias("cumusum")), sequences.locf(x, [], ["i0"], "v").select("i0", "locf"), sequences.numdiff(x, [], ["i0"], "l_quantity").select("i0", r(F.col("numdiff"), 2).alias("numdiff")), sequences.diffcentred(x, [], ["i0"], "l_quantity", "centred").select("i0", r(F.col("centred"), 2).alias("centred"))]
-    return parts[0].join(parts[1], "i0").join(parts[2], "i0").join(parts[3], "i0")
+    seen = sequences.along(x, "i0", {"cumusum": ("cumusumover", "l_quantity"), "locf": ("locf", "v"), "numdiff": ("numdiff", "l_quantity"), "centred": ("diffcentred", "l_quantity")})
+    return seen.select("i0", r(F.col("cumusum"), 2).alias("cumusum"), "locf", r(F.col("numdiff"), 2).alias("numdiff"), r(F.col("centred"), 2).alias("centred"))
 
 
 @query(f"SELECT i0, l_tax AS lag0, lag(l_tax, 3) OVER w AS lag1, (i0 + 5) % (SELECT count(*) FROM lineitem) AS turned FROM {LONG} WINDOW w AS (ORDER BY i0) QUALIFY i0 >= 3")
